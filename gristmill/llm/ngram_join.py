@@ -9,12 +9,14 @@ prefix shingles as the smaller l of the two before its whole sets are compared.
 1. *Profile*: one pass makes each set's size and signature (equal sets are one class from here on) and counts
    all shingles of the corpus into a count sketch of ``CELLS`` cells. Any fixed order is correct; the sketch
    makes it a good one. Its size is constant, so it can be broadcast.
-2. *Prefixes*: a second pass hands prefix entries, packed, to buckets by shingle. Lists of up to ``LIST_PAIRS``
-   classes give all their pairs. A longer list gives its star: each class with the list's smallest one.
+2. *Prefixes*: a second pass hands prefix entries, packed, to buckets by shingle. A list of two classes gives
+   that pair. A longer list gives its star: each class with the one whose shingles are the most common, as a source
+   that others were copied from.
 3. *Verify*: sets of classes that share any prefix shingle are written once; pairs are joined with them and compared.
 4. *Contract*: connected components of the links (alternating large and small stars, distributed). A long list
-   within one component is done. Others get stars around other pivots, then all pairs across components
-   that are left. A pair inside a component is not compared: it cannot change a component.
+   within one component is done. In the others, classes outside the largest component are paired with all
+   classes of another component, where they share enough prefix shingles. A pair inside a component is not
+   compared: it cannot change a component.
 
 So groups of copies cost in proportion to their rows, and components are exact (up to collisions of the
 64-bit hashes, about 1e-12 for each pair of documents). Nulls and texts without words have no shingles, link with nothing
@@ -30,23 +32,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import materialize
 
 WORDS = 5
-CELLS = 1 << 22
+CELLS = 1 << 21
 CHUNKS = 64
-#: Lists of at most so many classes give all their pairs.
-LIST_PAIRS = 4
 #: Largest l, and the cost of comparing two sets in entries of prefix lists.
 MOST_SHARED, COMPARE_COST = 8, 8.0
 #: Prefix entries in a bucket, about, and those a task holds before it hands them on.
 BUCKET_ENTRIES, FLUSH_ENTRIES = 1_000_000, 1_000_000
 #: Bits of the filter that says which classes' sets are needed.
-FILTER_BITS = 1 << 26
-STAR_ROUNDS = 3
+FILTER_BITS = 1 << 24
 
 U = np.uint64
 with np.errstate(over="ignore"):
@@ -111,8 +110,8 @@ def required(n: int) -> int:
     return (3 * n + 3) // 4
 
 
-def prefix(own: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, int]:
-    """The prefix of a set and the number l of its shingles that a partner must share."""
+def prefix(own: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, int, int]:
+    """The prefix of a set, the number l of its shingles that a partner must share, and how common its shingles are."""
     n = len(own)
     seen = counts[cell(own)]
     order = np.lexsort((own, seen))
@@ -122,7 +121,7 @@ def prefix(own: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarra
     share = np.arange(1, most + 1)
     cost = read + COMPARE_COST * read / share
     best = int(np.argmin(cost))
-    return own[order[: base + best + 1]], best + 1
+    return own[order[: base + best + 1]], best + 1, int(1000 * np.log2(seen + 1.0).mean())
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -172,7 +171,7 @@ def profile(documents: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
 
 
 def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries: int) -> DataFrame:
-    """Rows of kind 'pair' (a, b, shared: prefix shingles they share in short lists of one bucket), 'star' (a, pivot b) and 'entry' (class a in the long list of shingle b)."""
+    """Rows of kind 'pair' (a, b, shared: shingles of one bucket that only these two have in their prefixes), 'star' (a, b: one is the pivot) and 'entry' (class a in the longer list of shingle b); n: sizes, l: shares."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(counts)  # CELLS numbers
     buckets = max(16, -(-entries // BUCKET_ENTRIES))
@@ -204,8 +203,8 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sig)
-                some, share = prefix(own, sent.value, noise)
-                held.append((some, sig, len(own), share))
+                some, share, common = prefix(own, sent.value, noise)
+                held.append((some, sig, len(own), common * 16 + share))
                 n += len(some)
                 if n >= FLUSH_ENTRIES:
                     yield flush()
@@ -228,41 +227,36 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
         t, s, n, share = t[once], s[once], n[once], share[once]
         first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         length = np.diff(np.r_[first, len(t)])
+        common, share = share >> 4, share & 15
         out = []
 
-        def rows(kind: str, a: np.ndarray, b: np.ndarray, shared, na, nb, la, lb) -> None:
-            if len(a):
-                out.append(pd.DataFrame({"kind": kind, "a": a, "b": b, "shared": shared, "na": na, "nb": nb, "least": np.minimum(la, lb)}))
-
-        short = [(first[length == k], k) for k in range(2, LIST_PAIRS + 1)]
-        left = [f + i for f, k in short for i in range(k) for _ in range(i + 1, k)]
-        right = [f + j for f, k in short for i in range(k) for j in range(i + 1, k)]
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            near = 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
-            i, j = i[near], j[near]
+        def rows(kind: str, a, b, shared, i, j) -> None:
             if len(i):
-                # s is sorted inside a list, so a < b
-                order = np.lexsort((s[j], s[i]))
-                i, j = i[order], j[order]
-                new = np.flatnonzero(np.r_[True, (s[i][1:] != s[i][:-1]) | (s[j][1:] != s[j][:-1])])
-                rows("pair", s[i[new]], s[j[new]], np.diff(np.r_[new, len(i)]), n[i[new]], n[j[new]], share[i[new]], share[j[new]])
-        big = np.repeat(length > LIST_PAIRS, length)
+                out.append(pd.DataFrame({"kind": kind, "a": a, "b": b, "shared": shared, "na": n[i], "nb": n[j], "la": share[i], "lb": share[j]}))
+
+        # s is sorted inside a list, so a < b
+        i = first[length == 2]
+        order = np.lexsort((s[i + 1], s[i]))
+        i = i[order]
+        new = np.flatnonzero(np.r_[True, (s[i][1:] != s[i][:-1]) | (s[i + 1][1:] != s[i + 1][:-1])]) if len(i) else i
+        rows("pair", s[i[new]], s[i[new] + 1], np.diff(np.r_[new, len(i)]), i[new], i[new] + 1)
+        big = np.repeat(length > 2, length)
         if big.any():
-            pivot = np.repeat(first, length)
-            rows("entry", s[big], t[big].view(np.int64), 0, n[big], n[big], share[big], share[big])
-            star = np.flatnonzero(big & (pivot != np.arange(len(t))))
-            p = pivot[star]
-            near = 4 * np.minimum(n[star], n[p]) >= 3 * np.maximum(n[star], n[p])
-            star, p = star[near], p[near]
-            if len(star):
-                pairs = np.unique(np.stack([s[p], s[star], n[p], n[star]], 1), axis=0)
-                rows("star", pairs[:, 0], pairs[:, 1], 0, pairs[:, 2], pairs[:, 3], 0, 0)
-        names = ["kind", "a", "b", "shared", "na", "nb", "least"]
+            at = np.flatnonzero(big)
+            rows("entry", s[at], t[at].view(np.int64), 0, at, at)
+            top = np.maximum.reduceat(common, first)
+            is_top = common == np.repeat(top, length)
+            pivot = np.minimum.reduceat(np.where(is_top, np.arange(len(t)), len(t)), first)
+            p = np.repeat(pivot, length)[at]
+            near = (p != at) & (4 * np.minimum(n[at], n[p]) >= 3 * np.maximum(n[at], n[p]))
+            lo, hi = np.minimum(at, p)[near], np.maximum(at, p)[near]
+            _, one = np.unique(np.stack([s[lo], s[hi]], 1), axis=0, return_index=True) if len(lo) else (None, lo)
+            rows("star", s[lo[one]], s[hi[one]], 0, lo[one], hi[one])
+        names = ["kind", "a", "b", "shared", "na", "nb", "la", "lb"]
         return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series([], dtype=object if c == "kind" else "int64") for c in names})
 
     packed = documents.select("text").mapInArrow(emit, "bucket int, tokens binary, who binary, docs binary")
-    return packed.groupBy("bucket").applyInPandas(lists, "kind string, a long, b long, shared long, na long, nb long, least long")
+    return packed.groupBy("bucket").applyInPandas(lists, "kind string, a long, b long, shared long, na long, nb long, la long, lb long")
 
 
 def needed_sets(documents: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
@@ -325,47 +319,50 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def must_share(na: str, nb: str, la: str, lb: str) -> Column:
+    """Prefix shingles that two linked sets share at least. Behind one of the prefixes lie ceil(0.75 n) - l shingles, of which all may be shared."""
+    whole = f"(3 * ({na} + {nb}) + 6) div 7"
+    return F.expr(f"greatest(least({la}, {lb}), {whole} - greatest((3 * {na} + 3) div 4 - {la}, (3 * {nb} + 3) div 4 - {lb}))")
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of documents."""
     docs, counts, noise = profile(documents)
     classes = materialize(docs.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "shingle-classes")
     entries = classes.agg(F.sum(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 2).alias("e")).first()["e"] or 0
     found = materialize(prefix_lists(documents, counts, noise, int(entries)), "prefix-lists")
-    long_lists = found.where("kind = 'entry'").select(F.col("b").alias("token"), F.col("a").alias("sig"), "na", "least")
+    entries = found.where("kind = 'entry'").select(F.col("b").alias("token"), F.col("a").alias("sig"), F.col("na").alias("n"), F.col("la").alias("l"))
     stars = found.where("kind = 'star'").select("a", "b").distinct()
-    pairs = found.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
-    # what a pair may share in long lists besides is at most what either has there
-    more = long_lists.groupBy("sig").agg(F.count("*").alias("k"))
-    pairs = pairs.join(more.withColumnsRenamed({"sig": "a", "k": "ka"}), "a", "left").join(more.withColumnsRenamed({"sig": "b", "k": "kb"}), "b", "left")
-    pairs = pairs.where(F.col("shared") >= F.col("least") - F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))).select("a", "b")
-    pairs = materialize(pairs.unionByName(stars).distinct(), "shingle-pairs")
-    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(long_lists.select("sig")).distinct()
+    twos = found.where("kind = 'pair'").groupBy("a", "b", "na", "nb", "la", "lb").agg(F.sum("shared").alias("shared"))
+    # what a class has in longer lists and in lists of two: bounds of what a pair may share there besides
+    longer = entries.groupBy("sig").agg(F.count("*").alias("k"))
+    pairs = twos.join(longer.withColumnsRenamed({"sig": "a", "k": "ka"}), "a", "left").join(longer.withColumnsRenamed({"sig": "b", "k": "kb"}), "b", "left")
+    pairs = pairs.where(F.col("shared") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) >= must_share("na", "nb", "la", "lb")).select("a", "b")
+    pairs = materialize(pairs.union(stars).distinct(), "shingle-pairs")
+    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(entries.select("sig")).distinct()
     sets = needed_sets(documents, classes, needed)
     links = verified(pairs, sets)
     comps = components(links)
 
-    for turn in range(STAR_ROUNDS):
-        left = long_lists.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        open_ = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("sig", "comp", "na"), F.xxhash64("sig", F.lit(turn))).alias("p")).where("lo < hi")
-        left = materialize(left.join(open_.select("token", "p"), "token"), "long-lists")
-        if left.isEmpty():
-            break
-        long_lists = left.select("token", "sig", "na", "least")
-        last = turn == STAR_ROUNDS - 1
-        if last:
-            x, y = left.drop("p").alias("x"), left.drop("p").alias("y")
-            near = "4 * least(x.na, y.na) >= 3 * greatest(x.na, y.na)"
-            cross = x.join(y, "token").where(f"x.sig < y.sig and x.comp <> y.comp and {near}")
-            more = cross.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-        else:
-            near = "4 * least(na, p.na) >= 3 * greatest(na, p.na)"
-            more = left.where(f"comp <> p.comp and {near}").select(F.least("sig", "p.sig").alias("a"), F.greatest("sig", "p.sig").alias("b")).distinct()
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
-        pairs = pairs.unionByName(more)
-        new = verified(more, sets)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comps = components(links)
+    left = entries.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    major = left.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("kinds > 1")
+    left = materialize(left.join(major.select("token", "major"), "token"), "long-lists")
+    two = twos.select(F.col("a").alias("sig"), "shared").union(twos.select("b", "shared")).groupBy("sig").agg(F.sum("shared").alias("s"))
+    # all tokens of a class in lists that are still open, as ints: two of them that collide only let a pair pass
+    own = left.groupBy("sig").agg(F.array_sort(F.collect_set(F.hash("token"))).alias("own"), F.count("*").alias("k"))
+    left = left.join(own, "sig").join(two, "sig", "left").withColumn("s", F.coalesce("s", F.lit(0))).withColumn("t", F.hash("token"))
+    x, y = left.where("comp <> major").alias("x"), left.alias("y")
+    both = F.array_intersect("x.own", "y.own")
+    # collisions of ints inside a class: what its list of distinct ints lacks counts as shared
+    lacks = F.greatest(F.col("x.k") - F.size("x.own"), F.col("y.k") - F.size("y.own"))
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.major")) | (F.col("x.sig") < F.col("y.sig")))
+    met = met & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
+    met = met & (F.size(both) + lacks + F.least("x.s", "y.s") >= must_share("x.n", "y.n", "x.l", "y.l")) & ((F.array_min(both) == F.col("x.t")))
+    more = x.join(y, met).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
+    new = verified(more, sets)
+    if not new.isEmpty():
+        comps = components(links.union(new))
 
     named = classes.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
