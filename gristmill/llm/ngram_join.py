@@ -12,7 +12,7 @@ prefix shingles as the smaller l of the two before its whole sets are compared.
 2. *Prefixes*: a second pass hands prefix entries, packed, to buckets by shingle. A list of two classes gives
    that pair. A longer list gives its star: each class with the one whose shingles are the most common, as a source
    that others were copied from.
-3. *Verify*: sets of classes that share any prefix shingle are written once; pairs are joined with them and compared.
+3. *Verify*: a third pass writes the sets of the classes in candidate pairs; pairs are joined with them and compared.
 4. *Contract*: connected components of the links (alternating large and small stars, distributed). A long list
    within one component is done. In the others, classes outside the largest component are paired with all
    classes of another component, where they share enough prefix shingles. A pair inside a component is not
@@ -47,6 +47,9 @@ BUCKET_ENTRIES, FLUSH_ENTRIES = 1_000_000, 1_000_000
 #: Bits of the filter that says which classes' sets are needed.
 FILTER_BITS = 1 << 24
 
+#: A null id, after all others.
+NO_ID = (1 << 63) - 1
+
 U = np.uint64
 with np.errstate(over="ignore"):
     BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
@@ -259,14 +262,20 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
     return packed.groupBy("bucket").applyInPandas(lists, "kind string, a long, b long, shared long, na long, nb long, la long, lb long")
 
 
-def needed_sets(documents: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
-    """(sig, own: packed sorted hashes) of the needed classes, from their smallest document. A bit filter over ids spares shipping the other sets."""
-    ids = classes.join(needed, "sig").select("sig", "first_id")
-    spot = F.pmod(F.xxhash64("first_id"), F.lit(FILTER_BITS))
-    words = ids.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(first_id), {FILTER_BITS}), 64) as int))")).alias("v"))
+def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose whole sets link. Their sets are made again from each class's smallest document.
+
+    A bit filter over ids tells the tasks which documents' sets are needed; what passes by chance meets nothing in the joins.
+    """
+    ids = classes.select("sig", F.coalesce("first_id", F.lit(NO_ID)).alias("first_id"))
+    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(ids, "sig")
+    named = pairs.join(ids.withColumnsRenamed({"sig": "a", "first_id": "fa"}), "a").join(ids.withColumnsRenamed({"sig": "b", "first_id": "fb"}), "b")
+    named = materialize(named.select("a", "b", "fa", "fb"), "shingle-pairs")
+    spot = f"pmod(xxhash64(first_id), {FILTER_BITS})"
+    words = needed.groupBy(F.expr(f"shiftright({spot}, 6)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({spot}, 64) as int))")).alias("v"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)  # constant size, however many rows are needed
     found = words.toPandas()
-    bits[found["w"].to_numpy()] = found["v"].to_numpy()
+    bits[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64)
     sent = documents.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,17 +284,13 @@ def needed_sets(documents: DataFrame, classes: DataFrame, needed: DataFrame) ->
             hit = np.flatnonzero((sent.value[spot >> 6] >> (spot & 63).astype(np.uint64)) & U(1))
             texts, ids = batch.column(2), batch.column(0)
             for k in range(0, len(hit), 256):
-                own = [shingles(texts[int(i)].as_py()) for i in hit[k : k + 256]]
-                keep = [j for j, x in enumerate(own) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[int(hit[k + j])].as_py() for j in keep], pa.int64()), pa.array([signature(own[j]) for j in keep], pa.int64()), pa.array([own[j].tobytes() for j in keep], pa.binary())], ["doc_id", "sig", "own"])
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).alias("spot"), "text").mapInArrow(sets, "doc_id long, sig long, own binary")
-    rows = rows.withColumnRenamed("sig", "__sig").join(ids, (F.col("__sig") == F.col("sig")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    return materialize(rows.select("sig", "own"), "shingle-sets")
-
+                own = [(int(i), shingles(texts[int(i)].as_py())) for i in hit[k : k + 256]]
+                own = [(i, x) for i, x in own if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py() for i, _ in own], pa.int64()), pa.array([signature(x) for _, x in own], pa.int64()), pa.array([x.tobytes() for _, x in own], pa.binary())], ["doc_id", "sig", "own"])
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose whole sets link."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    made = documents.select(doc_id.alias("doc_id"), F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("spot"), "text").mapInArrow(sets, "doc_id long, sig long, own binary")
+    made = materialize(made, "shingle-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,8 +298,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(batch.num_rows)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    both = pairs.select("a", "b").join(sets.select(F.col("sig").alias("b"), F.col("own").alias("own_b")), "b")
-    both = both.join(sets.select(F.col("sig").alias("a"), F.col("own").alias("own_a")), "a").select("a", "b", "own_a", "own_b")
+    both = named.join(made.toDF("fb", "b", "own_b"), ["b", "fb"]).select("a", "fa", "b", "own_b").join(made.toDF("fa", "a", "own_a"), ["a", "fa"]).select("a", "b", "own_a", "own_b")
     return materialize(both.mapInArrow(compare, "a long, b long"), "shingle-links")
 
 
@@ -339,9 +343,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     pairs = twos.join(longer.withColumnsRenamed({"sig": "a", "k": "ka"}), "a", "left").join(longer.withColumnsRenamed({"sig": "b", "k": "kb"}), "b", "left")
     pairs = pairs.where(F.col("shared") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) >= must_share("na", "nb", "la", "lb")).select("a", "b")
     pairs = materialize(pairs.union(stars).distinct(), "shingle-pairs")
-    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(entries.select("sig")).distinct()
-    sets = needed_sets(documents, classes, needed)
-    links = verified(pairs, sets)
+    links = verified(documents, classes, pairs)
     comps = components(links)
 
     left = entries.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -360,9 +362,10 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     met = met & (F.size(both) + lacks + F.least("x.s", "y.s") >= must_share("x.n", "y.n", "x.l", "y.l")) & ((F.array_min(both) == F.col("x.t")))
     more = x.join(y, met).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
-    new = verified(more, sets)
-    if not new.isEmpty():
-        comps = components(links.union(new))
+    if not more.isEmpty():
+        new = verified(documents, classes, more)
+        if not new.isEmpty():
+            comps = components(links.union(new))
 
     named = classes.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
