@@ -30,37 +30,40 @@ def words(text: Column) -> Column:
     return split_words(ascii_lower(text), DELIMITERS)
 
 
-def gram_hashes(w: Column, k: int) -> Column:
-    """Hash of each k words in a row; null where there are fewer."""
-    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k))))
-
-
 def fingerprints(rows: DataFrame, k: int, span: int, keep_empty: bool) -> DataFrame:
-    """rows (with words w) to a row per fingerprint: k, at (its first word), fp; the minima of span hashes each.
+    """rows (with words w) to a row for each window of span k-grams: k, start and fp, the hash that the window keeps (the first smallest; null if the window before kept the same one).
 
-    keep_empty: a row more for each input row, with at -1 and a null fp.
+    keep_empty: a row more for each input row, with start -1 and a null fp. Everything here is plain arithmetic on the words of one
+    array, so it runs in one compiled loop; filtering is left to the join, which no null fp passes.
     """
-    rows = rows.withColumn("__h", gram_hashes(F.col("w"), k))
     last = F.size("w") - k - span + 1
-    start = -1 if keep_empty else 0
-    steps = F.when(last >= start, F.sequence(F.lit(start), last)).otherwise(F.array(F.lit(-1)) if keep_empty else F.array().cast("array<int>"))
+    first = -1 if keep_empty else 0
+    steps = F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array(F.lit(-1)) if keep_empty else F.array().cast("array<int>"))
     # explode_outer: explode would add a filter that splits the text a second time
-    rows = rows.select("*", F.explode_outer(steps).alias("__s"))
+    rows = rows.select("*", F.explode_outer(steps).alias("start"))
+    hashed = lambda j: F.xxhash64(*[F.get("w", F.col("start") + (j + i)) for i in range(k)])
+    kept = rows.columns
+    if span == 1:
+        fp = F.when(F.col("start") >= 0, hashed(0))
+        return rows.select(*kept, F.lit(k).alias("k"), F.lit(span).alias("n_grams"), fp.alias("fp"))
+    rows = rows.select(*kept, *[hashed(j).alias(f"__h{j + 1}") for j in range(-1, span)])
+    # the smallest of all but the window's last; it stays the choice unless it enters or leaves here
+    rows = rows.select(*kept, "__h0", f"__h{span}", F.least(*[f"__h{j}" for j in range(1, span)]).alias("__low"))
+    new = (F.col("start") == 0) | (F.col("__h0") <= F.col("__low")) | (F.col(f"__h{span}") < F.col("__low"))
+    fp = F.when((F.col("start") >= 0) & new, F.least("__low", f"__h{span}"))
+    return rows.select(*kept, F.lit(k).alias("k"), F.lit(span).alias("n_grams"), fp.alias("fp"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows with at, the first word of the k-gram that was kept, instead of start."""
+    hashes = F.transform(F.sequence(F.lit(0), F.col("n_grams") - 1), lambda j: gram_hash(F.slice("w", F.col("start") + j + 1, F.col("k")), F.col("k")))
+    at = F.when(F.col("fp").isNotNull(), F.col("start") + F.array_position(hashes, F.col("fp")).cast("int") - 1).otherwise(-1)
+    return rows.withColumn("at", at).drop("start", "n_grams")
 
-    def least_of(first: Column) -> tuple[Column, Column]:
-        v = [F.get("__h", first + j) for j in range(span)]
-        low = F.least(*v) if span > 1 else v[0]
-        at = F.lit(span - 1)
-        for j in range(span - 2, -1, -1):
-            at = F.when(v[j] == low, F.lit(j)).otherwise(at)
-        return low, first + at
 
-    low, at = least_of(F.col("__s"))
-    _, before = least_of(F.col("__s") - 1)
-    new = (F.col("__s") <= 0) | (at != before)
-    rows = rows.where(F.col("__s").isNotNull() & new)
-    empty = F.col("__s") < 0
-    return rows.select(*[c for c in rows.columns if c not in ("__h", "__s")], F.lit(k).alias("k"), F.when(~empty, at).otherwise(-1).alias("at"), F.when(~empty, low).alias("fp"))
+def gram_hash(gram: Column, k: Column) -> Column:
+    """As xxhash64 of the words one by one."""
+    return F.coalesce(*[F.when(k == n, F.xxhash64(*[F.get(gram, F.lit(i)) for i in range(n)])) for n in range(1, WINDOW)])
 
 
 def run_length(same: Column, most: Column) -> Column:
@@ -102,7 +105,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_rows: in
     grams = [(K, WINDOW - K + 1, own.where(F.size("w") >= WINDOW))] + [(m, 1, own.where(F.size("w") == m)) for m in short]
     prints = None
     for k, span, some in grams:
-        one = fingerprints(some, k, span, False).select("k", "fp", "item", F.col("at").alias("item_at"))
+        one = placed(fingerprints(some, k, span, False).where("fp is not null")).select("k", "fp", "item", F.col("at").alias("item_at"))
         prints = one if prints is None else prints.unionByName(one)
     prints = materialize(prints, "bench-prints")
     small = prints.count() + (items.agg(F.sum(F.size("iw")).alias("n")).first()["n"] or 0) <= broadcast_rows
@@ -116,11 +119,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_rows: in
         if small:
             # the first pass brings a row for each document besides the hits, so that one scan does all
             rows = fingerprints(docs, k, span, keep_empty=i == 0)
-            one = rows.join(F.broadcast(ours), "fp", "left" if i == 0 else "inner").where((F.col("at") < 0) | F.col("item").isNotNull())
-            one = one.join(F.broadcast(items), "item", "left")
+            one = rows.join(F.broadcast(ours), "fp", "left" if i == 0 else "inner").where((F.col("start") < 0) | F.col("item").isNotNull())
+            one = placed(one.withColumn("fp", F.when(F.col("item").isNotNull(), F.col("fp")))).join(F.broadcast(items), "item", "left")
         else:
-            rows = fingerprints(docs.select("row", "w"), k, span, keep_empty=False).select("row", "k", "at", "fp")
-            one = rows.join(ours, "fp").join(docs, "row").join(items, "item")
+            rows = fingerprints(docs.select("row", "w"), k, span, keep_empty=False).drop("w").where("fp is not null")
+            one = placed(rows.join(ours, "fp").join(docs, "row")).join(items, "item")
         one = extended(one)
         hits = one if hits is None else hits.unionByName(one)
     if not small:
