@@ -1,15 +1,335 @@
-"""All registered queries by name, and their SQL."""
+"""All registered queries by name, with DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gristmill.functions import expr, fixed, globs
+from gristmill.operators import cache, consensus, findings, pack, prompts, sections
+from gristmill.operators.review import ask, requests_for
+from gristmill.sources.providers import Replay
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Findings of three "models" made from events; the same text runs in Spark and DuckDB.
+FINDINGS = """select cast(event_id as bigint) as seq, cast(event_id % 3 as int) as model_idx,
+  case event_type when 'error' then 'high' when 'purchase' then 'medium' else 'low' end as severity,
+  case event_type when 'error' then 'bug' when 'purchase' then 'security' when 'click' then 'performance' when 'view' then 'style' else 'docs' end as category,
+  concat(event_type, ' anomaly ', case when value > 20 then 'large value' when value > 5 then 'mid range' else 'tiny' end) as title,
+  concat('u', cast(user_id as varchar(20)), '.go') as path,
+  cast(event_id % 400 as int) as start_line, cast(event_id % 400 + event_id % 7 as int) as end_line, ts
+from events"""
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture with a run per week of events and explicit order columns."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    f = spark.sql(FINDINGS)
+    return f.withColumn("run_id", F.concat(F.lit("r"), F.col("seq") % 5)).withColumn("chunk_idx", F.lit(0)).withColumn("ord", F.col("seq")).withColumn("id", expr.finding_id(F.col("path"), F.col("title"), F.col("start_line")))
+
+
+F1 = f"""f as (select *, concat('r', seq % 5) as run_id, substr(sha256(concat_ws(':', path, title, start_line)), 1, 16) as id from ({FINDINGS}))"""
+RANK = "case severity when 'low' then 1 when 'medium' then 2 when 'high' then 3 else 0 end"
+LEVEL = "case severity when 'high' then 'error' when 'medium' then 'warning' else 'note' end"
+
+
+def lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql_redact(column: str) -> str:
+    for p in fixed.SECRETS:
+        column = f"regexp_replace({column}, {lit(p)}, '{fixed.PLACEHOLDER}', 'g')"
+    return column
+
+
+def sql_hits(redacted: str) -> str:
+    return f"cast((length({redacted}) - length(replace({redacted}, '{fixed.PLACEHOLDER}', ''))) / {len(fixed.PLACEHOLDER)} as bigint)"
+
+
+# -- redaction ----------------------------------------------------------------------------------------
+
+@query(f"select doc_id, redacted, {sql_hits('redacted')} as n_hits from (select doc_id, {sql_redact('text')} as redacted from documents)")
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", expr.redact(F.col("text")).alias("redacted"))
+    return d.withColumn("n_hits", expr.hit_count(F.col("redacted")))
+
+
+@query(f"select page_id, sha256(r) as redacted_sha256, {sql_hits('r')} as n_hits from (select page_id, {sql_redact('html')} as r from pages)")
+def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", expr.redact(F.col("html")).alias("r"))
+    return p.select("page_id", F.sha2("r", 256).alias("redacted_sha256"), expr.hit_count(F.col("r")).alias("n_hits"))
+
+
+@query(f"select conv_id, turn, sha256(r) as redacted_sha256, {sql_hits('r')} as n_hits from (select conv_id, turn, {sql_redact('text')} as r from conversations)")
+def redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", expr.redact(F.col("text")).alias("r"))
+    return c.select("conv_id", "turn", F.sha2("r", 256).alias("redacted_sha256"), expr.hit_count(F.col("r")).alias("n_hits"))
+
+
+POLICY = ["**/src1*", "lang/**", "**/.env"]
+
+
+@query(f"""with p as (select doc_id, text, concat('data/', source) as path from documents)
+select doc_id, case when regexp_full_match(path, 'src1[^/]*') or regexp_full_match(path, '[^/]*/src1[^/]*') or regexp_full_match(split_part(path, '/', -1), 'src1[^/]*') then {lit(fixed.PATH_PLACEHOLDER)} else {sql_redact('text')} end as content from p""")
+def redact_path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("data/"), "source"))
+    return d.select("doc_id", expr.redact_content(F.col("text"), F.col("path"), POLICY).alias("content"))
+
+
+@query(f"select lang, cast(count(*) filter (where n > 0) as bigint) as n_docs, cast(sum(n) as bigint) as n_hits from (select lang, {sql_hits('r')} as n from (select lang, {sql_redact('text')} as r from documents)) group by lang")
+def secret_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("lang", expr.hit_count(expr.redact(F.col("text"))).alias("n"))
+    return d.groupBy("lang").agg(F.count_if(F.col("n") > 0).alias("n_docs"), F.sum("n").alias("n_hits"))
+
+
+# -- paths, languages, repositories -------------------------------------------------------------------
+
+@query("""with p as (select page_id, regexp_extract(url, '^https?://([^?#]*)', 1) as path from pages)
+select page_id, path from p where (regexp_full_match(path, '[^/]*/en/[^/]*') or regexp_full_match(path, '[^/]*/de/[^/]*')) and not (regexp_full_match(path, '[^/]*/7[^/]*') or regexp_full_match(split_part(path, '/', -1), '7[^/]*') or regexp_full_match(path, '7[^/]*'))""")
+def glob_include_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^?#]*)", 1).alias("path"))
+    return sections.include_paths(p, ["*/en/*", "*/de/*"]).where(~globs.matches_any(F.col("path"), ["**/7*"]))
+
+
+@query(r"""with u as (select page_id, regexp_replace(url, '\.git$', '') as url from pages)
+select page_id, nullif(regexp_extract(url, 'https?://[^/]+/([^/]+)/([^/.\s]+)', 1), '') as owner, nullif(regexp_extract(url, 'https?://[^/]+/([^/]+)/([^/.\s]+)', 2), '') as repo from u""")
+def repo_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", expr.repo_of_url(F.col("url")).alias("r")).select("page_id", "r.owner", "r.repo")
+
+
+SUFFIXES = list(fixed.LANGUAGES)
+SUFFIX_SQL = f"[{', '.join(lit(s) for s in SUFFIXES)}]"
+
+
+@query(f"select doc_id, case {' '.join(f'when suffix = {lit(k)} then {lit(v)}' for k, v in fixed.LANGUAGES.items())} end as language, coalesce(case {' '.join(f'when suffix = {lit(k)} then {lit(v)}' for k, v in fixed.FENCES.items())} end, '') as fence from (select doc_id, {SUFFIX_SQL}[doc_id % {len(SUFFIXES)} + 1] as suffix from documents)")
+def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("src/f"), F.col("doc_id"), F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("doc_id") % len(SUFFIXES) + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(expr.languages_of(F.array(path)), 0).alias("language"), expr.fence_language(path).alias("fence"))
+
+
+@query("select doc_id, instr(s, ':') > 1 and instr(s, ':') < length(s) as ok, case when instr(s, ':') > 1 and instr(s, ':') < length(s) then split_part(s, ':', 1) end as provider, case when instr(s, ':') > 1 and instr(s, ':') < length(s) then substr(s, instr(s, ':') + 1) end as model from (select doc_id, concat(case when doc_id % 3 = 0 then '' else lang end, case when doc_id % 5 = 0 then '' else ':' end, source) as s from documents)")
+def model_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.concat(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")), F.when(F.col("doc_id") % 5 == 0, "").otherwise(":"), "source")
+    m = table(spark, sf_dir, "documents").select("doc_id", expr.model_spec(s).alias("m"))
+    return m.select("doc_id", F.col("m").isNotNull().alias("ok"), "m.provider", "m.model")
+
+
+# -- findings -----------------------------------------------------------------------------------------
+
+@query(f"with {F1} select seq, id from f")
+def finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir).select("seq", "id")
+
+
+@query(f"with {F1} select seq, row_number() over (partition by run_id order by {RANK} desc, path, start_line, model_idx, seq) as pos from f")
+def severity_rank_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    f = found(spark, sf_dir)
+    return f.select("seq", F.row_number().over(Window.partitionBy("run_id").orderBy(*findings.rank_order(f.columns))).cast("long").alias("pos"))
+
+
+@query(f"with {F1} select run_id, id, seq, severity from f qualify row_number() over (partition by run_id, id order by model_idx, seq) = 1")
+def dedupe_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.dedupe_by_id(found(spark, sf_dir)).select("run_id", "id", "seq", "severity")
+
+
+@query(f"with {F1} select seq, id, case category when 'security' then 'high' when 'docs' then 'none' else severity end as severity from f")
+def severity_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.override_severity(found(spark, sf_dir), {"security": "high", "docs": "none"}).select("seq", "id", "severity")
+
+
+@query(f"with {F1} select run_id, seq, severity, path from f qualify row_number() over (partition by run_id order by {RANK} desc, path, start_line, model_idx, seq) <= 50")
+def top_k_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.top_k(found(spark, sf_dir), 50).select("run_id", "seq", "severity", "path")
+
+
+@query(f"with {F1} select run_id, model_idx, count(*) filter (where severity = 'high') as n_high, count(*) filter (where severity = 'medium') as n_medium, count(*) filter (where severity = 'low') as n_low, arg_max(severity, {RANK}) as highest, count(*) as n_findings from f group by all")
+def summary_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.summarize(found(spark, sf_dir), ["run_id", "model_idx"])
+
+
+@query(f"with {F1} select path, t as threshold, case when t not in ('', 'none') and max({RANK}) >= case t when 'low' then 1 when 'medium' then 2 when 'high' then 3 else 0 end then 1 else 0 end as exit_code from f, (values ('low'), ('medium'), ('high'), ('none'), ('odd')) v(t) group by path, t")
+def gate_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = found(spark, sf_dir).withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in ("low", "medium", "high", "none", "odd")])))
+    hit = F.bool_or(expr.meets_threshold(F.col("severity"), F.col("threshold")))
+    return f.groupBy("path", "threshold").agg(F.when(hit, 1).otherwise(0).alias("exit_code"))
+
+
+#: Title words of DuckDB.
+W = "list_filter(regexp_split_to_array(lower(trim({0})), '\\s+'), lambda w: w <> '')"
+SIM = f"(lower(trim(f.title)) = lower(trim(g.title)) or contains(lower(trim(f.title)), lower(trim(g.title))) or contains(lower(trim(g.title)), lower(trim(f.title))) or 2 * len(list_filter({W.format('f.title')}, lambda w: list_contains({W.format('g.title')}, w))) > least(len({W.format('f.title')}), len({W.format('g.title')})))"
+CONSENSUS = f"""x as (select *, 1 as one from ({FINDINGS})),
+p as (select f.seq as fs, g.seq as gs, row_number() over (partition by f.seq, g.model_idx order by g.seq) as rn
+  from x f join x g on f.path = g.path and f.model_idx < g.model_idx and f.start_line <= g.end_line and g.start_line <= f.end_line
+  and ({SIM} or (f.category = g.category and list_has_any({W.format('f.title')}, {W.format('g.title')})))),
+m as (select fs as seq from p where rn = 1 union select gs from p where rn = 1),
+c as (select x.*, m.seq is not null as is_consensus from x left join m on m.seq = x.seq),
+s as (select seq from c where is_consensus qualify row_number() over (partition by path, start_line, category order by model_idx, seq) = 1),
+r as (select c.*, s.seq is not null as consensus_first from c left join s on s.seq = c.seq)"""
+
+
+def one_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir).withColumn("run_id", F.lit("r"))
+
+
+@query(f"with {CONSENSUS} select seq, model_idx, is_consensus, consensus_first from r where consensus_first or not is_consensus")
+def consensus_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.merge(one_run(spark, sf_dir)).where("consensus_first or not is_consensus").select("seq", "model_idx", "is_consensus", "consensus_first")
+
+
+@query(f"with {CONSENSUS} select 'r' as run_id, model_idx, count(*) as n_total, count(*) filter (where consensus_first) as n_consensus, count(*) filter (where not is_consensus) as n_unique from r group by model_idx")
+def consensus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.compare_counts(consensus.merge(one_run(spark, sf_dir)))
+
+
+@query(f"with {F1} select id, seq, commit, severity, pos from (select *, row_number() over (order by {RANK} desc, path, start_line, model_idx, seq) as pos from (select *, substr(sha256(cast(cast(ts as date) as varchar)), 1, 7) as commit from f qualify row_number() over (partition by id order by cast(ts as date), model_idx, seq) = 1)) where pos <= 100")
+def per_commit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    day = F.to_date("ts")
+    f = one_run(spark, sf_dir).withColumn("commit_ord", F.datediff(day, F.lit("1970-01-01"))).withColumn("commit", F.sha2(day.cast("string"), 256))
+    out = findings.per_commit(f, 100)
+    # a hundred rows
+    return out.select("id", "seq", "commit", "severity", F.row_number().over(Window.partitionBy("run_id").orderBy(*findings.rank_order(out.columns))).cast("long").alias("pos"))
+
+
+@query(f"with {F1}, r as (select *, concat_ws('/', 'gristmill', category, substr(sha256(concat_ws('/', category, title)), 1, 8)) as rule_id from f) select run_id, rule_id, category as name, title as text, {LEVEL} as level, seq as first_seq from r qualify row_number() over (partition by run_id, rule_id order by model_idx, seq) = 1")
+def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.sarif_rules(found(spark, sf_dir), "gristmill").select("run_id", "rule_id", "name", "text", "level", F.col("ord").alias("first_seq"))
+
+
+@query(f"with {F1} select seq, concat_ws('/', 'gristmill', category, substr(sha256(concat_ws('/', category, title)), 1, 8)) as rule_id, {LEVEL} as level, title as message, path as uri, start_line, end_line from f")
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = found(spark, sf_dir)
+    return f.select("seq", expr.rule_id("gristmill", F.col("category"), F.col("title")).alias("rule_id"), expr.sarif_level(F.col("severity")).alias("level"), F.col("title").alias("message"), F.col("path").alias("uri"), "start_line", "end_line")
+
+
+@query(f"with {F1} select seq, case when path in (select concat('u', cast(c_custkey as varchar), '.go') from customer where c_custkey % 3 = 0) then case when end_line <> 0 then end_line when start_line <> 0 then start_line end end as inline_line from f")
+def pr_inline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lit("r").alias("run_id"), F.concat(F.lit("u"), "c_custkey", F.lit(".go")).alias("path"))
+    return findings.split_inline(one_run(spark, sf_dir), files).select("seq", "inline_line")
+
+
+@query(f"with {F1} select seq, severity, path, start_line, id from f")
+def parse_findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings to wire JSON, one answer per run and model, and back."""
+    f = found(spark, sf_dir).withColumn("message", F.col("seq").cast("string")).withColumn("suggestion", F.lit("")).withColumn("confidence", F.lit(0.5)).withColumn("tags", F.array(F.lit("t")))
+    rows = f.select((F.col("seq") % 997).alias("run_id"), "seq", findings.raw_json(f).alias("j"))
+    answers = rows.groupBy("run_id").agg(F.concat(F.lit("```json\n["), F.array_join(F.collect_list("j"), ","), F.lit("]\n```")).alias("content"))
+    ok, _ = findings.parse_findings(answers)
+    return ok.select(F.col("message").cast("long").alias("seq"), "severity", "path", "start_line", "id")
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def parse_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# -- sections, packing, budgets -----------------------------------------------------------------------
+
+@query("""with recursive d as (select source, doc_id, row_number() over (partition by source order by doc_id) as n, octet_length(encode(text)) as b from documents),
+r as (select source, doc_id, n, 0 as chunk_idx, b as used from d where n = 1
+  union all select d.source, d.doc_id, d.n, case when r.used > 0 and r.used + d.b > 5000 then r.chunk_idx + 1 else r.chunk_idx end, case when r.used > 0 and r.used + d.b > 5000 then d.b else r.used + d.b end from r join d on d.source = r.source and d.n = r.n + 1)
+select source, doc_id, chunk_idx from r""")
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("n_bytes"))
+    return pack.assign_chunks(d, 5000, order="doc_id", run="source").select("source", "doc_id", "chunk_idx")
+
+
+@query("select source, doc_id, cast(s as bigint) as bytes_so_far from (select source, doc_id, sum(octet_length(encode(text))) over (partition by source order by doc_id) as s from documents) where s <= 50000")
+def byte_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("n_bytes"))
+    return sections.budget_prefix(d, 50_000, "n_bytes", "doc_id", run="source").select("source", "doc_id", "bytes_so_far")
+
+
+@query("""with s as (select doc_id, concat('d', doc_id, '.py') as path, concat('diff --git a/d', doc_id, '.py b/d', doc_id, '.py', chr(10), 'new file mode 100644', chr(10), '--- /dev/null', chr(10), '+++ b/d', doc_id, '.py', chr(10), '@@ -0,0 +1,', len(string_split(text, chr(10))), ' @@', chr(10), '+', replace(text, chr(10), chr(10) || '+'), chr(10), chr(10)) as body from documents)
+select doc_id, 0 as section_ord, path, sha256(body) as body_sha256, cast(octet_length(encode(body)) as int) as n_bytes from s""")
+def synthetic_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as added files, split again into sections."""
+    path = F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py"))
+    d = table(spark, sf_dir, "documents").select("doc_id", sections.added_diff(path, F.col("text")).alias("diff"))
+    s = sections.split_sections(d)
+    return s.select("doc_id", "section_ord", "path", F.sha2("body", 256).alias("body_sha256"), "n_bytes")
+
+
+@query("select doc_id, case when octet_length(encode(text)) > 200 then 200 else octet_length(encode(text)) end as kept_bytes, octet_length(encode(text)) > 100000 as chunked, trim(text) = '' as blank from documents")
+def truncate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    kept = F.octet_length(F.substring(F.encode(text, "UTF-8"), 1, 200)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", kept.alias("kept_bytes"), sections.needs_chunking(text).alias("chunked"), sections.is_blank(text).alias("blank"))
+
+
+# -- cache, prompts, models ---------------------------------------------------------------------------
+
+NOW, TTL = "2024-02-01 00:00:00", 86_400 * 14
+ENTRIES = "select sha256(concat_ws(':', 'p', 'm', cast(event_id % 1500 as varchar))) as key, concat('answer ', event_id) as response, ts as created_at from events"
+
+
+def cache_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events")
+    entries = e.select(expr.cache_key(F.lit("p"), F.lit("m"), (F.col("event_id") % 1500).cast("string")).alias("key"), F.concat(F.lit("answer "), "event_id").alias("response"), F.col("ts").alias("created_at"), F.lit(TTL).alias("ttl"))
+    asked = table(spark, sf_dir, "documents").select("doc_id", expr.cache_key(F.lit("p"), F.lit("m"), F.col("doc_id").cast("string")).alias("key"))
+    return asked, entries
+
+
+@query(f"with e as ({ENTRIES}), n as (select key, arg_max(response, created_at) as response from e where epoch(timestamp '{NOW}') - floor(epoch(created_at)) <= {TTL} group by key) select doc_id, n.response, n.key is not null as hit from (select doc_id, sha256(concat_ws(':', 'p', 'm', cast(doc_id as varchar))) as key from documents) d left join n on n.key = d.key")
+def cache_lookup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, entries = cache_tables(spark, sf_dir)
+    out = cache.lookup(asked, entries, F.lit(NOW).cast("timestamp"), TTL)
+    return out.select("doc_id", "response", F.col("response").isNotNull().alias("hit"))
+
+
+@query(f"with e as ({ENTRIES}) select count(*) as entries, cast(sum(octet_length(encode(response))) as bigint) as total_bytes, count(*) filter (where epoch(timestamp '{NOW}') - floor(epoch(created_at)) > {TTL}) as expired from e")
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.stats(cache_tables(spark, sf_dir)[1], F.lit(NOW).cast("timestamp"), TTL)
+
+
+RULES = prompts.Rules(["security", "tests"], {"style": "low", "bug": "high"}, [("R1", "No secrets.")])
+
+
+@query(f"select doc_id, sha256(concat('Review this diff.', chr(10), chr(10), 'Report at most 10 findings.', chr(10), 'Findings of severity high or higher matter most.', chr(10), 'Languages: Python', chr(10), {lit(RULES.text())}, chr(10), '--- BEGIN DIFF ---', chr(10), text, chr(10), '--- END DIFF ---', chr(10))) as prompt_sha256 from documents")
+def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = F.array(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py")))
+    p = prompts.prompt(F.col("text"), files, max_findings=10, fail_on="high", rules=RULES)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(p, 256).alias("prompt_sha256"))
+
+
+@query(None)
+def replay_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a diff, asked of a replaying provider: redaction, prompts, calls, parsing."""
+    path = F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("run_id"), F.lit(0).alias("chunk_idx"), sections.added_diff(path, F.col("text")).alias("diff"), F.array(path).alias("files"))
+    answer = '[{"severity":"low","category":"docs","title":"seen","message":"m","suggestion":"","confidence":0.5,"path":"d.py","startLine":1,"endLine":2,"tags":[]}]'
+    asked = ask(requests_for(chunks, prompts.DIFF_SYSTEM, lambda d, f: prompts.prompt(d, f)), lambda label: Replay(default=answer), ["replay"], tasks=8)
+    ok, _ = findings.parse_findings(asked.select("run_id", "chunk_idx", "content"))
+    return ok.select("run_id", "chunk_idx", "ord", "id", "severity", "title", "path", "start_line", "end_line")
