@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import materialize
 
 FILTER_BYTES = 32 << 20
-DROP_ROWS = 150_000
 SHARD_KEYS = 250_000
 STRIP = b" \t\n\x0b\x0c\r"
 #: Null ids as a number after all others.
@@ -231,8 +230,6 @@ class LineIndex:
     def dedup(self, documents: DataFrame) -> DataFrame:
         """documents (all of them in the index) with the text that stays, n_lines (before) and n_dropped."""
         drops = materialize(self.drops().select(F.col("doc_id").alias("__id"), "keys"), "line-drops")
-        if (drops.agg(F.sum(F.size("keys") + 2).alias("n")).first()["n"] or 0) <= DROP_ROWS:
-            drops = F.broadcast(drops)
         least = self.min_chars
 
         @F.arrow_udf("text string, n_lines long, n_dropped long")
@@ -253,7 +250,7 @@ class LineIndex:
             return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
         columns = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-        joined = documents.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id")).join(drops, "__id", "left")
+        joined = documents.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id")).join(drops.hint("merge"), "__id", "left")
         joined = joined.withColumn("__r", strip("text", "keys"))
         return joined.select(*[F.col("__r.text").alias("text") if c == "text" else F.col(c) for c in columns], "__r.n_lines", "__r.n_dropped")
 
