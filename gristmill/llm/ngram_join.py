@@ -19,7 +19,7 @@ prefix shingles as the smaller l of the two before its whole sets are compared.
    compared: it cannot change a component.
 
 So groups of copies cost in proportion to their rows, and components are exact (up to collisions of the
-64-bit hashes, about 1e-12 for each pair of documents). Nulls and texts without words have no shingles, link with nothing
+hashes, of which 40 bits are compared: about 1e-6 for two documents of a thousand words). Nulls and texts without words have no shingles, link with nothing
 and are their own component; a null doc_id never names a component unless all its documents have null ids.
 Repeated rows are equal sets. Extra columns are not read.
 """
@@ -127,6 +127,17 @@ def prefix(own: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarra
     return own[order[: base + best + 1]], best + 1, int(1000 * np.log2(seen + 1.0).mean())
 
 
+def packed(own: np.ndarray) -> bytes:
+    """The upper five bytes of each hash."""
+    return own.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = np.concatenate([a, b])
     both.sort()
@@ -262,43 +273,53 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
     return packed.groupBy("bucket").applyInPandas(lists, "kind string, a long, b long, shared long, na long, nb long, la long, lb long")
 
 
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bit filter over first_id: of constant size, however many rows there are."""
+    spot = f"pmod(xxhash64(first_id), {FILTER_BITS})"
+    words = ids.groupBy(F.expr(f"shiftright({spot}, 6)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({spot}, 64) as int))")).alias("v")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    return bits.view(np.uint64)
+
+
 def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets link. Their sets are made again from each class's smallest document.
 
-    A bit filter over ids tells the tasks which documents' sets are needed; what passes by chance meets nothing in the joins.
+    The class with more partners (a pivot) becomes b, so that few sets travel on that side. A bit filter for either
+    side tells the tasks whose sets are needed there; what passes by chance meets nothing in the joins.
     """
     ids = classes.select("sig", F.coalesce("first_id", F.lit(NO_ID)).alias("first_id"))
-    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(ids, "sig")
-    named = pairs.join(ids.withColumnsRenamed({"sig": "a", "first_id": "fa"}), "a").join(ids.withColumnsRenamed({"sig": "b", "first_id": "fb"}), "b")
-    named = materialize(named.select("a", "b", "fa", "fb"), "shingle-pairs")
-    spot = f"pmod(xxhash64(first_id), {FILTER_BITS})"
-    words = needed.groupBy(F.expr(f"shiftright({spot}, 6)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({spot}, 64) as int))")).alias("v"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)  # constant size, however many rows are needed
-    found = words.toPandas()
-    bits[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64)
-    sent = documents.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).groupBy("sig").agg(F.count("*").alias("d")).join(ids, "sig")
+    named = pairs.join(ends.toDF("a", "da", "fa"), "a").join(ends.toDF("b", "db", "fb"), "b")
+    turn = F.col("da") > F.col("db")
+    named = named.select(*[F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("fa", "fb"), ("fb", "fa"))])
+    named = materialize(named, "shingle-pairs")
+    sent = documents.sparkSession.sparkContext.broadcast([id_bits(named.select(F.col(c).alias("first_id"))) for c in ("fa", "fb")])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spot = batch.column(1).to_numpy()
-            hit = np.flatnonzero((sent.value[spot >> 6] >> (spot & 63).astype(np.uint64)) & U(1))
+            sides = [((bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & U(1)).astype(bool) for bits in sent.value]
+            hit = np.flatnonzero(sides[0] | sides[1])
             texts, ids = batch.column(2), batch.column(0)
             for k in range(0, len(hit), 256):
                 own = [(int(i), shingles(texts[int(i)].as_py())) for i in hit[k : k + 256]]
                 own = [(i, x) for i, x in own if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py() for i, _ in own], pa.int64()), pa.array([signature(x) for _, x in own], pa.int64()), pa.array([x.tobytes() for _, x in own], pa.binary())], ["doc_id", "sig", "own"])
+                at = np.array([i for i, _ in own], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py() for i, _ in own], pa.int64()), pa.array([signature(x) for _, x in own], pa.int64()), pa.array([packed(x) for _, x in own], pa.binary()), *[pa.array(side[at]) for side in sides]], ["doc_id", "sig", "own", "is_a", "is_b"])
 
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    made = documents.select(doc_id.alias("doc_id"), F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("spot"), "text").mapInArrow(sets, "doc_id long, sig long, own binary")
+    made = documents.select(doc_id.alias("doc_id"), F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("spot"), "text").mapInArrow(sets, "doc_id long, sig long, own binary, is_a boolean, is_b boolean")
     made = materialize(made, "shingle-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            keep = [linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(batch.num_rows)]
+            keep = [linked(unpacked(x[i].as_buffer()), unpacked(y[i].as_buffer())) for i in range(batch.num_rows)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    both = named.join(made.toDF("fb", "b", "own_b"), ["b", "fb"]).select("a", "fa", "b", "own_b").join(made.toDF("fa", "a", "own_a"), ["a", "fa"]).select("a", "b", "own_a", "own_b")
+    side = lambda c: made.where(f"is_{c}").select(F.col("doc_id").alias(f"f{c}"), F.col("sig").alias(c), F.col("own").alias(f"own_{c}"))
+    both = named.join(side("a"), ["a", "fa"]).select("b", "fb", "a", "own_a").join(side("b"), ["b", "fb"]).select("a", "b", "own_a", "own_b")
     return materialize(both.mapInArrow(compare, "a long, b long"), "shingle-links")
 
 
@@ -336,30 +357,30 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     entries = classes.agg(F.sum(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 2).alias("e")).first()["e"] or 0
     found = materialize(prefix_lists(documents, counts, noise, int(entries)), "prefix-lists")
     entries = found.where("kind = 'entry'").select(F.col("b").alias("token"), F.col("a").alias("sig"), F.col("na").alias("n"), F.col("la").alias("l"))
-    stars = found.where("kind = 'star'").select("a", "b").distinct()
+    stars = found.where("kind = 'star'").select("a", "b", "na", "nb", "la", "lb").distinct().withColumn("shared", F.lit(None).cast("long"))
     twos = found.where("kind = 'pair'").groupBy("a", "b", "na", "nb", "la", "lb").agg(F.sum("shared").alias("shared"))
-    # what a class has in longer lists and in lists of two: bounds of what a pair may share there besides
-    longer = entries.groupBy("sig").agg(F.count("*").alias("k"))
-    pairs = twos.join(longer.withColumnsRenamed({"sig": "a", "k": "ka"}), "a", "left").join(longer.withColumnsRenamed({"sig": "b", "k": "kb"}), "b", "left")
-    pairs = pairs.where(F.col("shared") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) >= must_share("na", "nb", "la", "lb")).select("a", "b")
-    pairs = materialize(pairs.union(stars).distinct(), "shingle-pairs")
+    # a class's shingles in longer lists, as short hashes (collisions only raise what two seem to share), and how many it has in lists of two
+    longer = entries.groupBy("sig").agg(F.collect_set(F.expr("cast(hash(token) % 32768 as smallint)")).alias("own"), F.count("*").alias("k"))
+    two = twos.select(F.col("a").alias("sig"), "shared").union(twos.select("b", "shared")).groupBy("sig").agg(F.sum("shared").alias("s"))
+    held = longer.join(two, "sig", "full").select("sig", F.coalesce("own", F.array().cast("array<smallint>")).alias("own"), F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("s", F.lit(0)).alias("s"))
+    held = materialize(held, "shingle-lists")
+    pairs = twos.unionByName(stars).groupBy("a", "b", "na", "nb", "la", "lb").agg(F.coalesce(F.max("shared"), F.lit(0)).alias("shared"))
+    pairs = pairs.join(held.toDF("a", "own_a", "ka", "sa"), "a").join(held.toDF("b", "own_b", "kb", "sb"), "b")
+    met = F.size(F.array_intersect("own_a", "own_b")) + F.greatest(F.col("ka") - F.size("own_a"), F.col("kb") - F.size("own_b")) + F.col("shared")
+    pairs = materialize(pairs.where(met >= must_share("na", "nb", "la", "lb")).select("a", "b"), "shingle-pairs")
     links = verified(documents, classes, pairs)
     comps = components(links)
 
     left = entries.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     major = left.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("kinds > 1")
     left = materialize(left.join(major.select("token", "major"), "token"), "long-lists")
-    two = twos.select(F.col("a").alias("sig"), "shared").union(twos.select("b", "shared")).groupBy("sig").agg(F.sum("shared").alias("s"))
-    # all tokens of a class in lists that are still open, as ints: two of them that collide only let a pair pass
-    own = left.groupBy("sig").agg(F.array_sort(F.collect_set(F.hash("token"))).alias("own"), F.count("*").alias("k"))
-    left = left.join(own, "sig").join(two, "sig", "left").withColumn("s", F.coalesce("s", F.lit(0))).withColumn("t", F.hash("token"))
+    left = left.join(held, "sig")
     x, y = left.where("comp <> major").alias("x"), left.alias("y")
     both = F.array_intersect("x.own", "y.own")
-    # collisions of ints inside a class: what its list of distinct ints lacks counts as shared
     lacks = F.greatest(F.col("x.k") - F.size("x.own"), F.col("y.k") - F.size("y.own"))
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.major")) | (F.col("x.sig") < F.col("y.sig")))
     met = met & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
-    met = met & (F.size(both) + lacks + F.least("x.s", "y.s") >= must_share("x.n", "y.n", "x.l", "y.l")) & ((F.array_min(both) == F.col("x.t")))
+    met = met & (F.size(both) + lacks + F.least("x.s", "y.s") >= must_share("x.n", "y.n", "x.l", "y.l"))
     more = x.join(y, met).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
     if not more.isEmpty():
