@@ -14,9 +14,9 @@ prefix shingles as the smaller l of the two before its whole sets are compared.
    that others were copied from.
 3. *Verify*: a third pass writes the sets of the classes in candidate pairs; pairs are joined with them and compared.
 4. *Contract*: connected components of the links (alternating large and small stars, distributed). A long list
-   within one component is done. In the others, classes outside the largest component are paired with all
-   classes of another component, where they share enough prefix shingles. A pair inside a component is not
-   compared: it cannot change a component.
+   within one component is done. In the others, each class looks for classes of larger components, in as many of its
+   shortest lists as it takes to meet all that share enough prefix shingles. A pair inside a component
+   is not compared: it cannot change a component.
 
 So groups of copies cost in proportion to their rows, and components are exact (up to collisions of the
 hashes, of which 40 bits are compared: about 1e-6 for two documents of a thousand words). Nulls and texts without words have no shingles, link with nothing
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import materialize
@@ -319,7 +319,8 @@ def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> Data
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     side = lambda c: made.where(f"is_{c}").select(F.col("doc_id").alias(f"f{c}"), F.col("sig").alias(c), F.col("own").alias(f"own_{c}"))
-    both = named.join(side("a"), ["a", "fa"]).select("b", "fb", "a", "own_a").join(side("b"), ["b", "fb"]).select("a", "b", "own_a", "own_b")
+    # by the same way at every size
+    both = named.hint("merge").join(side("a"), ["a", "fa"]).select("b", "fb", "a", "own_a").hint("merge").join(side("b"), ["b", "fb"]).select("a", "b", "own_a", "own_b")
     return materialize(both.mapInArrow(compare, "a long, b long"), "shingle-links")
 
 
@@ -371,14 +372,24 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     links = verified(documents, classes, pairs)
     comps = components(links)
 
-    left = entries.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    major = left.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("kinds > 1")
-    left = materialize(left.join(major.select("token", "major"), "token"), "long-lists")
-    left = left.join(held, "sig")
-    x, y = left.where("comp <> major").alias("x"), left.alias("y")
+    # of two components the smaller one's classes look for the larger one's
+    sized = comps.join(comps.groupBy("comp").agg(F.count("*").alias("w")), "comp").select(F.col("node").alias("sig"), "comp", "w")
+    left = entries.join(sized, "sig", "left").withColumn("comp", F.struct(F.coalesce("w", F.lit(1)).alias("w"), F.coalesce("comp", "sig").alias("c"))).drop("w")
+    lists = left.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("major"), F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("l").alias("ll")).where("least <> major").drop("least")
+    left = materialize(left.join(lists, "token"), "long-lists")
+    left, sizes = left.drop("major", "size", "lo", "hi", "ll"), left
+    # of k open lists, a class that must share m shingles with any partner in them meets each in any k - m + 1: the shortest serve.
+    # must_share rises and then falls with the partner's size, so its least value lies at the ends of the list's sizes (2 off for rounding)
+    ends = [must_share("n", f"greatest(least({e}, (4 * n) div 3), (3 * n + 3) div 4)", "l", "ll") for e in ("lo", "hi")]
+    minor = sizes.where("comp <> major").withColumn("m", F.greatest(F.least("l", "ll"), F.least(*ends) - 2)).join(held.select("sig", "s"), "sig")
+    own = Window.partitionBy("sig")
+    minor = minor.withColumn("m", F.min("m").over(own) - F.col("s")).withColumn("open", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("size", "token")))
+    minor = materialize(minor.where("i <= open - greatest(m, 1) + 1").select(*left.columns), "open-lists")
+    left = left.join(minor.select("token").distinct(), "token", "left_semi")
+    x, y = minor.join(held, "sig").alias("x"), left.join(held, "sig").alias("y")
     both = F.array_intersect("x.own", "y.own")
     lacks = F.greatest(F.col("x.k") - F.size("x.own"), F.col("y.k") - F.size("y.own"))
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.major")) | (F.col("x.sig") < F.col("y.sig")))
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
     met = met & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
     met = met & (F.size(both) + lacks + F.least("x.s", "y.s") >= must_share("x.n", "y.n", "x.l", "y.l"))
     more = x.join(y, met).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
