@@ -376,16 +376,20 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     sized = comps.join(comps.groupBy("comp").agg(F.count("*").alias("w")), "comp").select(F.col("node").alias("sig"), "comp", "w")
     left = entries.join(sized, "sig", "left").withColumn("comp", F.struct(F.coalesce("w", F.lit(1)).alias("w"), F.coalesce("comp", "sig").alias("c"))).drop("w")
     lists = left.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("major"), F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("l").alias("ll")).where("least <> major").drop("least")
-    left = materialize(left.join(lists, "token"), "long-lists")
+    left = left.join(lists, "token")
     left, sizes = left.drop("major", "size", "lo", "hi", "ll"), left
     # of k open lists, a class that must share m shingles with any partner in them meets each in any k - m + 1: the shortest serve.
     # must_share rises and then falls with the partner's size, so its least value lies at the ends of the list's sizes (2 off for rounding)
     ends = [must_share("n", f"greatest(least({e}, (4 * n) div 3), (3 * n + 3) div 4)", "l", "ll") for e in ("lo", "hi")]
-    minor = sizes.where("comp <> major").withColumn("m", F.greatest(F.least("l", "ll"), F.least(*ends) - 2)).join(held.select("sig", "s"), "sig")
     own = Window.partitionBy("sig")
-    minor = minor.withColumn("m", F.min("m").over(own) - F.col("s")).withColumn("open", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("size", "token")))
-    minor = materialize(minor.where("i <= open - greatest(m, 1) + 1").select(*left.columns), "open-lists")
-    left = left.join(minor.select("token").distinct(), "token", "left_semi")
+    every = sizes.withColumn("m", F.greatest(F.least("l", "ll"), F.least(*ends) - 2)).join(held.select("sig", "s"), "sig")
+    every = every.withColumn("m", F.min("m").over(own) - F.col("s")).withColumn("open", F.count("*").over(own))
+    # what has too few open lists to meet anyone goes
+    every = every.where("open >= m").withColumn("seeks", F.col("comp") < F.col("major")).withColumn("k", F.count_if("seeks").over(own))
+    every = every.withColumn("i", F.row_number().over(own.orderBy(F.desc("seeks"), "size", "token")))
+    every = materialize(every.withColumn("seeks", F.expr("seeks and i <= k - greatest(m, 1) + 1")).select(*left.columns, "seeks"), "open-lists")
+    minor = every.where("seeks").drop("seeks")
+    left = every.drop("seeks").join(minor.select("token").distinct(), "token", "left_semi")
     x, y = minor.join(held, "sig").alias("x"), left.join(held, "sig").alias("y")
     both = F.array_intersect("x.own", "y.own")
     lacks = F.greatest(F.col("x.k") - F.size("x.own"), F.col("y.k") - F.size("y.own"))
