@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import materialize
+
 LANE_ROWS = 50_000
 
 
@@ -80,6 +82,7 @@ def hilbert_shards(df: DataFrame, key: str, dims: dict[str, Column], n_shards: i
         return F.size(F.filter(bounds, lambda b: b < F.col(f"__d_{name}")))
 
     df = df.withColumn("hilbert", hilbert_index([bin_of(n) for n in names], bits)).drop(*[f"__d_{n}" for n in names])
+    df = materialize(df, "hilbert")  # read three times below
     # at least 64 lanes, so that tasks share even a cell of a small table
     df = df.withColumn("__lane", F.pmod(F.xxhash64(F.col(key)), F.lit(max(64, lanes))))
     per_lane = df.groupBy("hilbert", "__lane").agg(F.count("*").alias("__n"))
