@@ -41,7 +41,7 @@ def valid_answer(text: Column) -> Column:
             ok = ok & (part.isNull() | (part == "VOID") | good)
         return F.coalesce(ok, F.lit(False))
 
-    return F.coalesce((text == "null") | (F.json_array_length(text).isNotNull() & F.forall(items, fits)), F.lit(False))
+    return F.coalesce((text == "null") | (text.endswith("]") & F.try_parse_json(text).isNotNull() & F.json_array_length(text).isNotNull() & F.forall(items, fits)), F.lit(False))
 
 
 def parse_findings(answers: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
