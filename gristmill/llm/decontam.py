@@ -3,7 +3,7 @@
 Words of texts are hashed in k-grams; of every ``WINDOW - K + 1`` neighbouring hashes the smallest
 (leftmost on ties) is kept as a fingerprint. Equal runs of ``WINDOW`` words choose equal fingerprints,
 so joining those of documents and benchmark items finds every shared run of that length. Each hit is
-compared word by word and extended both ways; runs shorter than ``WINDOW`` are given up. Items with
+compared word by word and extended both ways, up to where the next one takes over; runs shorter than ``WINDOW`` are given up. Items with
 fewer words are one run each and are looked for by the hash of that many words.
 
 The benchmark's fingerprints are broadcast while they are few; beyond ``BROADCAST_ROWS`` documents'
@@ -54,9 +54,15 @@ def fingerprints(rows: DataFrame, k: int, span: int, keep_empty: bool) -> DataFr
     return rows.select(*kept, F.lit(k).alias("k"), F.lit(span).alias("n_grams"), fp.alias("fp"))
 
 
+def around(first: str, words_: str, length: Column | int, name: str) -> list[Column]:
+    """The words from WINDOW before first on, and where they begin. Rows carry these, never a whole text: a text's rows are buffered together."""
+    base = F.greatest(F.col(first) - WINDOW, F.lit(0))
+    return [base.alias(f"{name}_base"), F.slice(words_, base + 1, F.lit(2 * WINDOW) + length).alias(name)]
+
+
 def placed(rows: DataFrame) -> DataFrame:
-    """rows with at, the first word of the k-gram that was kept, instead of start."""
-    hashes = F.transform(F.sequence(F.lit(0), F.col("n_grams") - 1), lambda j: gram_hash(F.slice("w", F.col("start") + j + 1, F.col("k")), F.col("k")))
+    """rows (start, n_grams, k, fp, ctx, ctx_base) with at, the first word of the k-gram that was kept."""
+    hashes = F.transform(F.sequence(F.lit(0), F.col("n_grams") - 1), lambda j: gram_hash(F.slice("ctx", F.col("start") - F.col("ctx_base") + j + 1, F.col("k")), F.col("k")))
     at = F.when(F.col("fp").isNotNull(), F.col("start") + F.array_position(hashes, F.col("fp")).cast("int") - 1).otherwise(-1)
     return rows.withColumn("at", at).drop("start", "n_grams")
 
@@ -73,17 +79,19 @@ def run_length(same: Column, most: Column) -> Column:
 
 
 def extended(hits: DataFrame) -> DataFrame:
-    """hits (row, doc_id, w, k, at, item_id, iw, item_at) to row, doc_id, n_words, span and hit_item.
+    """hits (row, doc_id, n_words, k, at, item_id, m, item_at and the words around either) to row, doc_id, n_words, span and hit_item.
 
-    span is the longest equal run around the hit, if it is true and long enough; else it and hit_item are null.
+    span is the equal run around the hit, up to a window's length to either side, if it is true and long enough; else it and hit_item are null.
     """
-    n, m = F.size("w"), F.size("iw")
-    true = F.when(F.col("item_id").isNotNull() & (F.col("at") >= 0), F.slice("w", F.col("at") + 1, F.col("k")) == F.slice("iw", F.col("item_at") + 1, F.col("k"))).otherwise(False)
-    right, left = F.least(n - F.col("at"), m - F.col("item_at")) - F.col("k"), F.least("at", "item_at")
+    i, j = F.col("at") - F.col("ctx_base"), F.col("item_at") - F.col("ictx_base")
+    true = F.when(F.col("item_id").isNotNull() & (F.col("at") >= 0), F.slice("ctx", i + 1, F.col("k")) == F.slice("ictx", j + 1, F.col("k"))).otherwise(False)
+    # fingerprints follow each other within a window, so pieces of a window's length around each cover the whole run in linear time
+    right = F.least(F.least(F.col("n_words") - F.col("at"), F.col("m") - F.col("item_at")) - F.col("k"), F.lit(WINDOW)).cast("int")
+    left = F.least("at", "item_at", F.lit(WINDOW))
     upto = lambda most: F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    after = F.transform(upto(right), lambda j: F.get("w", F.col("at") + F.col("k") + j - 1) == F.get("iw", F.col("item_at") + F.col("k") + j - 1))
-    ahead = F.transform(upto(left), lambda j: F.get("w", F.col("at") - j) == F.get("iw", F.col("item_at") - j))
-    runs = hits.select("row", "doc_id", n.cast("long").alias("n_words"), "item_id", m.alias("m"), "at", "k", F.when(true, run_length(after, right)).alias("r"), F.when(true, run_length(ahead, left)).alias("l"))
+    after = F.transform(upto(right), lambda d: F.get("ctx", i + F.col("k") + d - 1) == F.get("ictx", j + F.col("k") + d - 1))
+    ahead = F.transform(upto(left), lambda d: F.get("ctx", i - d) == F.get("ictx", j - d))
+    runs = hits.select("row", "doc_id", "n_words", "item_id", "m", "at", "k", F.when(true, run_length(after, right)).alias("r"), F.when(true, run_length(ahead, left)).alias("l"))
     lo, hi = F.col("at") - F.col("l"), F.col("at") + F.col("k") + F.col("r")
     fits = hi - lo >= F.least(F.lit(WINDOW), F.col("m"))
     return runs.select("row", "doc_id", "n_words", F.when(fits, F.struct(lo.alias("lo"), hi.alias("hi"))).alias("span"), F.when(fits, F.col("item_id")).alias("hit_item"))
@@ -97,7 +105,7 @@ def covered(spans: Column) -> Column:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (word runs lo to hi), items (ids as strings, sorted), contaminated."""
+    """doc_id, n_words, n_hit, spans (word runs lo to hi, which may overlap), items (ids as strings, sorted), contaminated."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("iw")).where(F.size("iw") > 0)
     items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "bench-words")
     short = sorted(r["m"] for r in items.where(F.size("iw") < WINDOW).select(F.size("iw").alias("m")).distinct().collect())  # nine at most
@@ -105,7 +113,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_rows: in
     grams = [(K, WINDOW - K + 1, own.where(F.size("w") >= WINDOW))] + [(m, 1, own.where(F.size("w") == m)) for m in short]
     prints = None
     for k, span, some in grams:
-        one = placed(fingerprints(some, k, span, False).where("fp is not null")).select("k", "fp", "item", F.col("at").alias("item_at"))
+        one = fingerprints(some, k, span, False).where("fp is not null").select("item", "k", "n_grams", "fp", "start", *around("start", "w", k + span, "ctx"))
+        one = placed(one).select("k", "fp", "item", F.col("at").alias("item_at"))
         prints = one if prints is None else prints.unionByName(one)
     prints = materialize(prints, "bench-prints")
     small = prints.count() + (items.agg(F.sum(F.size("iw")).alias("n")).first()["n"] or 0) <= broadcast_rows
@@ -120,10 +129,16 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_rows: in
             # the first pass brings a row for each document besides the hits, so that one scan does all
             rows = fingerprints(docs, k, span, keep_empty=i == 0)
             one = rows.join(F.broadcast(ours), "fp", "left" if i == 0 else "inner").where((F.col("start") < 0) | F.col("item").isNotNull())
-            one = placed(one.withColumn("fp", F.when(F.col("item").isNotNull(), F.col("fp")))).join(F.broadcast(items), "item", "left")
+            one = one.join(F.broadcast(items), "item", "left")
+            slices = [*around("start", "w", k + span, "ctx"), *around("item_at", "iw", k, "ictx")]
+            one = one.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), "k", "n_grams", "start", "item_id", F.size("iw").alias("m"), "item_at", F.when(F.col("item").isNotNull(), F.col("fp")).alias("fp"), *slices)
+            one = placed(one)
         else:
-            rows = fingerprints(docs.select("row", "w"), k, span, keep_empty=False).drop("w").where("fp is not null")
-            one = placed(rows.join(ours, "fp").join(docs, "row")).join(items, "item")
+            # words travel once for each document and item, not for each hit
+            rows = fingerprints(docs.select("row", "w"), k, span, keep_empty=False).where("fp is not null").select("row", "k", "n_grams", "fp", "start", *around("start", "w", k + span, "ctx"))
+            met = placed(rows).select("row", "k", "at", "fp").join(ours, "fp").groupBy("row", "item").agg(F.collect_set(F.struct("k", "at", "item_at")).alias("h"))
+            one = met.join(docs, "row").join(items, "item").select("row", "doc_id", "w", "iw", "item_id", F.explode("h").alias("h")).select("row", "doc_id", "w", "iw", "item_id", "h.*")
+            one = one.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), "k", "at", "item_id", F.size("iw").alias("m"), "item_at", *around("at", "w", k, "ctx"), *around("item_at", "iw", k, "ictx"))
         one = extended(one)
         hits = one if hits is None else hits.unionByName(one)
     if not small:

@@ -229,7 +229,7 @@ class LineIndex:
 
     def dedup(self, documents: DataFrame) -> DataFrame:
         """documents (all of them in the index) with the text that stays, n_lines (before) and n_dropped."""
-        drops = materialize(self.drops().select(F.col("doc_id").alias("__id"), "keys"), "line-drops")
+        drops = materialize(self.drops().select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys")), "line-drops")
         least = self.min_chars
 
         @F.arrow_udf("text string, n_lines long, n_dropped long")
@@ -251,7 +251,7 @@ class LineIndex:
 
         columns = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
         joined = documents.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id")).join(drops.hint("merge"), "__id", "left")
-        joined = joined.withColumn("__r", strip("text", "keys"))
+        joined = joined.withColumn("__r", strip("text", "__keys"))
         return joined.select(*[F.col("__r.text").alias("text") if c == "text" else F.col(c) for c in columns], "__r.n_lines", "__r.n_dropped")
 
 

@@ -101,8 +101,8 @@ def test_ppm_costs_by_hand():
         k, c = np.unique(lang_id.grams(data, n)[1:], return_counts=True)
         counts[n] = k, c[:, None].astype(float)
     m = lang_id.PPM.train(counts, ["x"], 1)
-    # after a line break: 'a' once of one; order 0 has a and b twice each, in a total of four with two kinds
-    first, b_after_a, z_after_b = np.log2(2 / 1), np.log2(4 / 2), np.log2(2 / 1) + np.log2(6 / 2) + 8
+    # a once after a line break, b twice after a, never z after b; order 0 has a and b twice each
+    first, b_after_a, z_after_b = np.log2(2 / 1), np.log2(3 / 2), np.log2(2 / 1) + np.log2(6 / 2) + 8
     assert m.lengths([b"ab"])[0, 0] == pytest.approx(first + b_after_a)
     assert m.lengths([b"abz"])[0, 0] == pytest.approx(first + b_after_a + z_after_b)
     assert m.lengths([b"abz", b"ab"])[1, 0] == pytest.approx(first + b_after_a)
