@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_PIECES, MEMO_BYTES = 400_000, 64
+MEMO_PIECES, MEMO_PAIRS, MEMO_BYTES = 150_000, 300_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -96,7 +96,7 @@ class Encoder:
             else:
                 limit, b = b + 1, pb[0]
         if below is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > MEMO_PAIRS:
                 self.compatible.clear()
             self.compatible[key] = out
         return out

@@ -34,7 +34,7 @@ from gristmill.llm.common import materialize
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of text that are scored at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SEED = np.uint64(0x9E3779B97F4A7C15)
