@@ -224,6 +224,8 @@ def identify(documents: DataFrame, model: PPM) -> DataFrame:
         found = sent.value.predict(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang_pred", "score"])
 
+    # or a filter on the result would run it a second time, in workers of its own
+    predict = predict.asNondeterministic()
     columns = [c for c in documents.columns if c not in ("lang_pred", "score")]
     return documents.select(*columns, predict("text").alias("__p")).select(*columns, "__p.lang_pred", "__p.score")
 

@@ -249,6 +249,8 @@ class LineIndex:
                 kept.append(t)
             return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
+        # or a filter on the result would run it a second time, in workers of its own
+        strip = strip.asNondeterministic()
         columns = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
         joined = documents.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id")).join(drops.hint("merge"), "__id", "left")
         joined = joined.withColumn("__r", strip("text", "__keys"))
