@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.llm.common import materialize
 
@@ -232,29 +233,24 @@ class LineIndex:
         drops = materialize(self.drops().select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys")), "line-drops")
         least = self.min_chars
 
-        @F.arrow_udf("text string, n_lines long, n_dropped long")
-        def strip(text: pa.Array, keys: pa.Array) -> pa.Array:
-            kept, lines, dropped = [], [], []
-            for t, k in zip(text, keys):
-                t, k = t.as_py() or "", k.as_py()
-                n = t.count("\n") + 1
-                lines.append(n)
-                if k:
-                    gone = set(k)
-                    stay = [x for x, own in zip(t.split("\n"), line_keys(t, least)) if own not in gone]
-                    dropped.append(n - len(stay))
-                    t = "\n".join(stay)
-                else:
-                    dropped.append(0)
-                kept.append(t)
-            return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
-
-        # or a filter on the result would run it a second time, in workers of its own
-        strip = strip.asNondeterministic()
         columns = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
+        schema = T.StructType([*documents.select(*columns).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+        def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
+                kept, lines, dropped = [], [], []
+                for t, k in zip(batch.column("text"), batch.column("__keys")):
+                    t, gone = t.as_py() or "", set(k.as_py() or ())
+                    n = t.count("\n") + 1
+                    stay = [x for x, own in zip(t.split("\n"), line_keys(t, least)) if own not in gone] if gone else None
+                    lines.append(n)
+                    dropped.append(0 if stay is None else n - len(stay))
+                    kept.append(t if stay is None else "\n".join(stay))
+                out = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in columns]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*columns, "n_lines", "n_dropped"])
+
         joined = documents.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id")).join(drops.hint("merge"), "__id", "left")
-        joined = joined.withColumn("__r", strip("text", "__keys"))
-        return joined.select(*[F.col("__r.text").alias("text") if c == "text" else F.col(c) for c in columns], "__r.n_lines", "__r.n_dropped")
+        return joined.select(*columns, "__keys").mapInArrow(strip, schema)
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = 10) -> DataFrame:
