@@ -12,7 +12,9 @@ prefix shingles as the smaller l of the two before its whole sets are compared.
 2. *Prefixes*: a second pass hands prefix entries, packed, to buckets by shingle. A list of two classes gives
    that pair. A longer list gives its star: each class with the one whose shingles are the most common, as a source
    that others were copied from.
-3. *Verify*: a third pass writes the sets of the classes in candidate pairs; pairs are joined with them and compared.
+3. *Verify*: a bitmap of each set, the parities of its shingles' counts by cell, bounds the difference of two sets from below and so
+   rejects most pairs that don't link, and no others. A third pass writes the sets of the classes in the pairs left; pairs are
+   joined with them and compared.
 4. *Contract*: connected components of the links (alternating large and small stars, distributed). A long list
    within one component is done. In the others, each class looks for classes of larger components, in as many of its
    shortest lists as it takes to meet all that share enough prefix shingles. A pair inside a component
@@ -138,6 +140,21 @@ def unpacked(data) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def parities(own: np.ndarray) -> bytes:
+    """A bitmap of at least as many bits as shingles, a power of two: whether an odd number of them fall on a bit."""
+    size = max(64, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount(((own >> U(24)) & U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
+    """Whether two sets of na and nb shingles may link: as many shingles as their bitmaps differ in bits are in one set only. The larger bitmap is folded to the smaller one's size."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    apart = int(np.bitwise_count(x ^ y).sum())
+    return 7 * apart <= na + nb  # 7 i >= 3 (x + y), and x + y - 2 i is at least apart
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = np.concatenate([a, b])
     both.sort()
@@ -146,28 +163,29 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def profile(documents: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
-    """(doc_id, n, sig) of all documents; the sketch's counts; their mean."""
+    """(doc_id, n, sig, bits) of all documents; the sketch's counts; their mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "n", "sig", "chunk", "counts"]
+        names = ["doc_id", "n", "sig", "bits", "chunk", "counts"]
         some = False
         for batch in batches:
-            n, sig = [], []
+            n, sig, bits = [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py())
                 n.append(len(own))
                 sig.append(signature(own) if len(own) else None)
+                bits.append(parities(own) if len(own) else None)
                 np.add.at(counts, cell(own), 1)
                 some = some or len(own) > 0
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if some:
             size = CELLS // CHUNKS
             packed = [zlib.compress(counts[i * size : (i + 1) * size].tobytes(), 1) for i in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long, chunk int, counts binary")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long, bits binary, chunk int, counts binary")
     rows = materialize(rows, "shingle-profile")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +199,7 @@ def profile(documents: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
     counts = np.zeros(CELLS, np.uint32)
     for r in parts:
         counts[r["chunk"] * (CELLS // CHUNKS) :][: CELLS // CHUNKS] = np.frombuffer(r["counts"], np.uint32)
-    return rows.where("chunk is null").select("doc_id", "n", "sig"), counts, float(counts.mean())
+    return rows.where("chunk is null").select("doc_id", "n", "sig", "bits"), counts, float(counts.mean())
 
 
 def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries: int) -> DataFrame:
@@ -282,12 +300,27 @@ def id_bits(ids: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
+def likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes without those whose bitmaps differ in too many bits."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
+            yield batch.filter(pa.array([may_link(*r) for r in rows], pa.bool_())).select(["a", "b"])
+
+    side = lambda c: classes.select(F.col("sig").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n{c}"))
+    # by the same way at every size
+    both = pairs.select("a", "b").hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "bits_a", "bits_b", "na", "nb")
+    return materialize(both.mapInArrow(compare, "a long, b long"), "shingle-pairs")
+
+
 def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets link. Their sets are made again from each class's smallest document.
 
     The class with more partners (a pivot) becomes b, so that few sets travel on that side. A bit filter for either
     side tells the tasks whose sets are needed there; what passes by chance meets nothing in the joins.
     """
+    pairs = likely(classes, pairs)
     ids = classes.select("sig", F.coalesce("first_id", F.lit(NO_ID)).alias("first_id"))
     ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).groupBy("sig").agg(F.count("*").alias("d")).join(ids, "sig")
     named = pairs.join(ends.toDF("a", "da", "fa"), "a").join(ends.toDF("b", "db", "fb"), "b")
@@ -354,7 +387,7 @@ def must_share(na: str, nb: str, la: str, lb: str) -> Column:
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of documents."""
     docs, counts, noise = profile(documents)
-    classes = materialize(docs.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "shingle-classes")
+    classes = materialize(docs.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("bits").alias("bits")), "shingle-classes")
     entries = classes.agg(F.sum(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 2).alias("e")).first()["e"] or 0
     found = materialize(prefix_lists(documents, counts, noise, int(entries)), "prefix-lists")
     entries = found.where("kind = 'entry'").select(F.col("b").alias("token"), F.col("a").alias("sig"), F.col("na").alias("n"), F.col("la").alias("l"))
@@ -403,10 +436,10 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         if not new.isEmpty():
             comps = components(links.union(new))
 
-    named = classes.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    named = classes.drop("bits").join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = named.join(names, "comp").select("sig", "component_id")
-    out = docs.join(named, "sig", "left")
+    out = docs.drop("bits").join(named, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
