@@ -130,16 +130,43 @@ def prefix(own: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarra
 
 
 def packed(own: np.ndarray) -> bytes:
-    """The upper five bytes of each hash."""
-    return own.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+    """The upper five bytes of each sorted hash; where that is shorter, how many hashes have each first byte and then four bytes of each."""
+    upper = own >> U(24)
+    heads = np.bincount((upper >> U(32)).astype(np.int64), minlength=256)
+    if len(own) > 256 and heads.max() < 256:
+        return b"\x01" + heads.astype(np.uint8).tobytes() + upper.astype(np.uint32).tobytes()
+    return b"\x00" + five(own)
 
 
 def unpacked(data) -> np.ndarray:
+    """The hashes of packed(), of which the lower three bytes are 0."""
+    data = np.frombuffer(data, np.uint8)
+    if not data[0]:
+        return from_five(data[1:])
+    heads = np.repeat(np.arange(256, dtype=np.uint64), data[1:257])
+    return heads << U(56) | np.frombuffer(data[257:].tobytes(), np.uint32).astype(np.uint64) << U(24)
+
+
+def five(hashes: np.ndarray) -> bytes:
+    """The upper five bytes of each hash."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def from_five(data) -> np.ndarray:
     out = np.zeros((len(data) // 5, 8), np.uint8)
     out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return out.view(np.uint64).ravel()
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of four bytes, all first bytes first: small ones compress well then."""
+    return numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def parities(own: np.ndarray) -> bytes:
     """A bitmap of at least as many bits as shingles, a power of two: whether an odd number of them fall on a bit."""
     size = max(64, 1 << (len(own) - 1).bit_length())
@@ -182,7 +209,7 @@ def profile(documents: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if some:
             size = CELLS // CHUNKS
-            packed = [zlib.compress(counts[i * size : (i + 1) * size].tobytes(), 1) for i in range(CHUNKS)]
+            packed = [zlib.compress(planes(counts[i * size : (i + 1) * size]), 1) for i in range(CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long, bits binary, chunk int, counts binary")
@@ -191,7 +218,7 @@ def profile(documents: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CELLS // CHUNKS, np.uint64)
         for x in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
+            total += from_planes(zlib.decompress(x))
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
     # CHUNKS rows of constant size
@@ -222,10 +249,10 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
             rows = []
             for b in range(buckets):
                 if len(own := order[cuts[b] : cuts[b + 1]]):
-                    who, index = np.unique(at[own], return_inverse=True)
-                    rows.append((b, tokens[own].tobytes(), index.astype(np.uint32).tobytes(), docs[who].tobytes()))
+                    who, times = np.unique(at[own], return_counts=True)  # at[own] ascends
+                    rows.append((b, five(tokens[own]), planes(times), docs[who, 0].tobytes(), planes(docs[who, 1]), planes(docs[who, 2])))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "tokens", "who", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], ["bucket", "tokens", "times", "sigs", "sizes", "shares"])
 
         n = 0
         for batch in batches:
@@ -246,12 +273,14 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
 
     def lists(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens, sigs, sizes, shares = [], [], [], []
-        for t, w, d in zip(pdf["tokens"], pdf["who"], pdf["docs"]):
-            docs = np.frombuffer(d, np.int64).reshape(-1, 3)[np.frombuffer(w, np.uint32)]
-            tokens.append(np.frombuffer(t, np.uint64))
-            sigs.append(docs[:, 0])
-            sizes.append(docs[:, 1])
-            shares.append(docs[:, 2])
+        # the lower bytes, which aren't sent, give way to the bucket
+        bucket = U(pdf["bucket"].iloc[0])
+        for own, times, sig, size, common in zip(pdf["tokens"], pdf["times"], pdf["sigs"], pdf["sizes"], pdf["shares"]):
+            times = from_planes(times)
+            tokens.append(from_five(own) | bucket)
+            sigs.append(np.repeat(np.frombuffer(sig, np.int64), times))
+            sizes.append(np.repeat(from_planes(size).astype(np.int64), times))
+            shares.append(np.repeat(from_planes(common).astype(np.int64), times))
         t, s, n, share = (np.concatenate(x) for x in (tokens, sigs, sizes, shares))
         order = np.lexsort((s, t))
         t, s, n, share = t[order], s[order], n[order], share[order]
@@ -287,7 +316,7 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
         names = ["kind", "a", "b", "shared", "na", "nb", "la", "lb"]
         return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series([], dtype=object if c == "kind" else "int64") for c in names})
 
-    packed = documents.select("text").mapInArrow(emit, "bucket int, tokens binary, who binary, docs binary")
+    packed = documents.select("text").mapInArrow(emit, "bucket int, tokens binary, times binary, sigs binary, sizes binary, shares binary")
     return packed.groupBy("bucket").applyInPandas(lists, "kind string, a long, b long, shared long, na long, nb long, la long, lb long")
 
 
