@@ -1,37 +1,49 @@
 """Quality rules with risk-controlled thresholds [native].
 
-Signals of a text are compared with cutoffs that a labelled holdout has to justify. For a stratum
-(the document's language), a signal and a cutoff of its fixed grid, k of the n labelled good
-documents would be rejected. If documents are rejected at a rate above alpha, so few are seen with
-probability P(Binomial(n, alpha) <= k) at most; the cutoff is valid when this exact bound is at most
-delta over the number of all tests (Bonferroni). The strictest valid cutoff of each signal applies,
-none where none is valid. alpha is ``risk`` over the number of signals, so with probability
-1 - delta no stratum loses more than ``risk`` of its good documents to all cutoffs together.
-
-Nulls and ties: a null text has no words; a null language is the stratum ''. Documents without a
-label calibrate nothing; several labels of a document count each. Repeated rows are judged each.
-Empty labels give no cutoffs. Extra columns pass through.
+Signals of a text are compared with cutoffs that a labelled holdout has to justify. Every signal has a fixed grid of
+``LEVELS`` cutoffs from mild to strict. In a stratum (the document's language) the rule of level t rejects what is
+over the t-th cutoff of any signal in use there, so rules grow stricter with t. k_t of the n labelled good documents
+would be rejected by it. If it rejected good documents at a rate above ``risk``, so few would be seen with a
+probability of at most P(Binomial(n, risk) <= k_t); the level is valid when this exact bound is at most ``delta`` over the
+number of strata (Bonferroni). Levels are tested from mild to strict and testing ends at the first that is not valid
+(a fixed sequence needs no further correction). The last valid level applies, none where the first one fails. So
+with probability 1 - delta no stratum loses more than ``risk`` of its good documents.
+
+A signal is in use in a stratum if its strictest cutoff catches at least ``CATCH`` of the documents labelled bad
+there. That choice sees no good document, so the bounds stay exact, and signals that find nothing spend no risk.
+
+Nulls and ties: a null text has no words; a null language is the stratum ''. A document is a doc_id: it counts once,
+as good only if all its labels say so, and as rejected if any row of that id would be. Null ids and null labels
+calibrate nothing. Repeated rows are judged each. Empty labels give no cutoffs, empty documents an empty result. Texts are judged whole, whatever
+their length: work is linear but for the sorting of a text's windows. Other columns of documents pass through, but for
+those named like the new ones, which are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import BLANKS, materialize, split_words
 
 WINDOW = 8
-#: Signal: (its value times a hundred against cutoff times a base, and the grid from mild to strict).
+#: Share of the bad documents that a signal must catch to be in use.
+CATCH = 0.05
+#: Signal: (when its value is over a cutoff c, and the grid from mild to strict).
 SIGNALS = {
     "symbols": ("100 * n_symbols > {c} * n_words", [200, 100, 50, 30, 20, 10, 5]),
     "dup_lines": ("100 * n_dup_lines > {c} * n_lines", [90, 80, 70, 60, 50, 40, 30]),
-    "repeats": ("100 * n_repeat_words > {c} * n_words", [25, 20, 15, 10]),
-    "long_words": ("100 * word_chars > {c} * n_words", [1000, 900, 800, 750, 700, 650]),
-    "short_words": ("100 * word_chars < {c} * n_words", [250, 300, 350, 380, 400]),
+    "repeats": ("100 * n_repeat_words > {c} * n_words", [28, 26, 24, 22, 20, 15, 10]),
+    "long_words": ("100 * word_chars > {c} * n_words", [1000, 900, 850, 800, 750, 700, 650]),
+    "short_words": ("100 * word_chars < {c} * n_words", [250, 275, 300, 325, 350, 375, 400]),
     "capitals": ("100 * n_capitals > {c} * word_chars", [90, 80, 70, 60, 50, 40, 30]),
 }
+LEVELS = 7
 #: Strata up to this many rows of cutoffs are broadcast.
 MAX_BROADCAST_STRATA = 10_000
+COUNTED = ["n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
 def repeat_words(windows: Column) -> Column:
@@ -70,35 +82,59 @@ def signals(documents: DataFrame) -> DataFrame:
     return step.withColumn("n_repeat_words", repeat_words(F.col("__h"))).drop("__h")
 
 
+def log_gamma(x: Column) -> Column:
+    """ln gamma for x >= 1: Stirling's series ten steps up."""
+    y = x + 10
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5)))
+    return series - sum((F.log(x + i) for i in range(10)), F.lit(0.0))
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
     """P(Binomial(n, p) <= k), exact but for rounding; 1 where k is above the mean."""
-    up = lambda s, i: s + F.log((n - i + 1) / i * (p / (1 - p)))
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    top = F.aggregate(steps, n * F.log(F.lit(1 - p)), up)
-    down = F.aggregate(F.reverse(steps), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda a, i: F.struct((a["t"] * i / (n - i + 1) * ((1 - p) / p)).alias("t"), (a["s"] + a["t"] * i / (n - i + 1) * ((1 - p) / p)).alias("s")), lambda a: a["s"])
+    top = log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) + k * math.log(p) + (n - k) * math.log(1 - p)
+    # from k down each term is a share of the one before; beyond so many of them nothing is left that a double holds
+    many = F.least(k, (64 + 40 * F.sqrt(n)).cast("long"))
+    steps = F.when(many > 0, F.transform(F.sequence(F.lit(0).cast("long"), many - 1), lambda d: k - d)).otherwise(F.array().cast("array<bigint>"))
+    down = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda a, i: F.struct((a["t"] * i / (n - i + 1) * ((1 - p) / p)).alias("t"), (a["s"] + a["t"] * i / (n - i + 1) * ((1 - p) / p)).alias("s")), lambda a: a["s"])
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(top) * down)
 
 
-def cutoffs(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """A row per stratum with the strictest valid cutoff of each signal (null: none), from signals of good documents."""
-    tests = [(s, i, c, rule.format(c=c)) for s, (rule, grid) in SIGNALS.items() for i, c in enumerate(grid)]
-    per = labelled.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.expr(rule)).alias(f"k_{s}_{i}") for s, i, _, rule in tests])
-    per = materialize(per, "quality-counts")
-    m = max(1, per.count()) * len(tests)
-    alpha = risk / len(SIGNALS)
-    valid = {(s, i): binomial_tail(F.col(f"k_{s}_{i}"), F.col("n"), alpha) <= delta / m for s, i, _, _ in tests}
-    strictest = {s: F.coalesce(*[F.when(valid[s, i], F.lit(grid[i])) for i in range(len(grid) - 1, -1, -1)]) for s, (_, grid) in SIGNALS.items()}
-    return per.select("stratum", *[c.alias(f"cut_{s}") for s, c in strictest.items()])
-
-
-def quality_filter(documents: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """documents (without text) with the signals, base_failed, the rules that reject them and kept."""
-    step = materialize(signals(documents.select("doc_id", "lang", "text")).drop("text"), "quality-signals").withColumn("stratum", F.coalesce("lang", F.lit("")))
-    good = labels.where("quality = 1").select("doc_id")
-    cuts = materialize(cutoffs(step.join(good, "doc_id"), risk, delta), "quality-cutoffs")
-    if cuts.count() <= MAX_BROADCAST_STRATA:
-        cuts = F.broadcast(cuts)
-    rejected = F.array_compact(F.array(*[F.when(F.expr(rule.format(c=f"cut_{s}")), F.lit(s)) for s, (rule, _) in SIGNALS.items()]))
-    out = step.join(cuts, "stratum", "left").withColumn("rejected_by", rejected)
-    out = out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("stratum", *[f"cut_{s}" for s in SIGNALS])
+def level_of(signal: str) -> Column:
+    """The first level whose cutoff the document is over; LEVELS if there is none."""
+    rule, grid = SIGNALS[signal]
+    return F.lit(LEVELS) - sum((F.when(F.expr(rule.format(c=c)), 1).otherwise(0) for c in grid), F.lit(0))
+
+
+def cutoffs(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """stratum, use_{signal} and level (the last valid one, null if there is none) from a row per labelled document: stratum, good, lv_{signal}."""
+    labelled = materialize(labelled, "quality-labelled")
+    used = [(F.count_if(~F.col("good") & (F.col(f"lv_{s}") < LEVELS)) >= F.greatest(F.count_if(~F.col("good")) * CATCH, F.lit(1))).alias(f"use_{s}") for s in SIGNALS]
+    used = materialize(labelled.groupBy("stratum").agg(F.count_if("good").alias("n"), *used).where("n > 0"), "quality-signals-used")
+    strata = max(1, used.count())
+    own = F.least(F.lit(LEVELS), *[F.when(F.col(f"use_{s}"), F.col(f"lv_{s}")) for s in SIGNALS])
+    good = labelled.where("good").join(small(used.drop("n"), strata), "stratum").withColumn("own", own)
+    per = materialize(good.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col("own") <= t).alias(f"k_{t}") for t in range(LEVELS)]), "quality-counts")
+    # k_t grows with t, so the levels before a valid one are valid too
+    level = F.coalesce(*[F.when(binomial_tail(F.col(f"k_{t}"), F.col("n"), risk) <= delta / strata, F.lit(t)) for t in range(LEVELS - 1, -1, -1)])
+    return used.drop("n").join(per.select("stratum", level.alias("level")), "stratum")
+
+
+def small(strata: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(strata) if rows <= MAX_BROADCAST_STRATA else strata
+
+
+def quality_filter(documents: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """documents (without text) with the signals' counts, base_failed, rejected_by (signals) and kept."""
+    out = [*COUNTED, "base_failed", "rejected_by", "kept"]
+    rest = [c for c in documents.columns if c not in out and c != "text"]
+    step = materialize(signals(documents.select(*rest, "text")).drop("text"), "quality-signals").withColumn("__stratum", F.coalesce("lang", F.lit("")))
+    # ids that are no label's stay out: most documents have none
+    label = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q in (0, 1)")
+    own = step.select("doc_id", F.col("__stratum").alias("stratum"), *[level_of(s).alias(f"lv_{s}") for s in SIGNALS]).join(label, "doc_id")
+    own = own.groupBy("doc_id").agg(F.min("stratum").alias("stratum"), (F.max("q") == 1).alias("good"), *[F.min(f"lv_{s}").alias(f"lv_{s}") for s in SIGNALS])
+    cuts = materialize(cutoffs(own.drop("doc_id"), risk, delta), "quality-cutoffs")
+    cuts = small(cuts.select(F.col("stratum").alias("__stratum"), F.col("level").alias("__level"), *[F.col(f"use_{s}").alias(f"__use_{s}") for s in SIGNALS]), cuts.count())
+    rejected = F.array_compact(F.array(*[F.when(F.col(f"__use_{s}") & (level_of(s) <= F.col("__level")), F.lit(s)) for s in SIGNALS]))
+    step = step.join(cuts, "__stratum", "left").withColumn("rejected_by", rejected)
+    step = step.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
+    return step.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).select(*rest, *out)

@@ -146,25 +146,27 @@ select p.page_id, cast(p.n as bigint) as payload_bytes, p.d as payload_digest,
 from p left join f on f.d = p.d"""
 
 
-def sql_quality(risk: float = 0.02, delta: float = 0.05) -> str:
+def sql_quality(risk: float = 0.05, delta: float = 0.05) -> str:
     """The signals by brute force; the bound by a sum of binomial terms."""
-    tests = [(s, i, c, rule.format(c=c)) for s, (rule, grid) in quality.SIGNALS.items() for i, c in enumerate(grid)]
-    a = risk / len(quality.SIGNALS)
-    counts = " union all ".join(f"select stratum, '{s}' as s, {i} as i, {c} as c, count(*) as n, count(*) filter (where {cond}) as k from good group by 1" for s, i, c, cond in tests)
-    cuts = ", ".join(f"max(case when s = '{s}' then c_best end) as cut_{s}" for s in quality.SIGNALS)
-    bad = " or ".join(f"coalesce({rule.format(c=f'cut_{s}')}, false)" for s, (rule, _) in quality.SIGNALS.items())
+    n = quality.LEVELS
+    level = {s: " + ".join(f"case when {rule.format(c=c)} then 0 else 1 end" for c in grid) for s, (rule, grid) in quality.SIGNALS.items()}
+    used = ", ".join(f"count(*) filter (where y = 0 and lv_{s} < {n}) >= greatest(count(*) filter (where y = 0) * {quality.CATCH}, 1) as use_{s}" for s in level)
+    own = ", ".join(f"case when use_{s} then lv_{s} end" for s in level)
+    bad = " or ".join(f"coalesce(use_{s} and lv_{s} <= level, false)" for s in level)
     return f"""
 with d as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text, {SQL_FIELDS.format("text")} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from documents),
 win as (select doc_id, i, list_aggregate(w[i:i + 7], 'string_agg', ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
 dup as (select doc_id, i from win qualify count(*) over (partition by doc_id, s) > 1),
 rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from dup) group by 1),
-q as (select d.doc_id, stratum, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, length(regexp_replace(text, '[^A-Z]+', '', 'g')) as n_capitals, len(l) as n_lines, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words from d left join rep on rep.doc_id = d.doc_id),
-good as (select q.* from q join labels on labels.doc_id = q.doc_id where labels.quality = 1),
-t as ({counts}),
-m as (select count(distinct stratum) * {len(tests)} as m from good),
-v as (select stratum, s, i, c from t, m where k < n * {a} and list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a}) + (n - j) * ln(1 - {a})))) <= {delta} / m),
-b as (select stratum, {cuts} from (select stratum, s, arg_max(c, i) as c_best from v group by 1, 2) group by 1),
-j as (select q.*, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, {bad} as bad from q left join b on b.stratum = q.stratum)
+q0 as (select d.doc_id, stratum, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, length(regexp_replace(text, '[^A-Z]+', '', 'g')) as n_capitals, len(l) as n_lines, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words from d left join rep on rep.doc_id = d.doc_id),
+q as (select *, {", ".join(f"{x} as lv_{s}" for s, x in level.items())} from q0),
+lab as (select q.*, y from q join (select doc_id, min(quality) as y from labels group by 1) using (doc_id) where y in (0, 1)),
+u as (select stratum, {used} from lab group by 1 having count(*) filter (where y = 1) > 0),
+g as (select lab.stratum, least({n}, {own}) as own from lab join u on u.stratum = lab.stratum where y = 1),
+k as (select g.stratum, t, count(*) as n, count(*) filter (where own <= t) as k from g, range({n}) as r(t) group by 1, 2),
+ok as (select stratum, t from k where k < n * {risk} and list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) <= {delta} / (select count(*) from u)),
+c as (select stratum, max(t) as level from ok group by 1),
+j as (select q.*, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, {bad} as bad from q left join u on u.stratum = q.stratum left join c on c.stratum = q.stratum)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not bad as kept from j"""
 
 
