@@ -10,13 +10,14 @@ sum over its bytes of the longest node found plus the escapes above it. Numpy do
 of documents at once. ASCII capitals are lower-cased.
 
 Training is on a bounded sample: about ``sample_docs`` documents a language, chosen by a hash of
-doc_id, and the ``max_nodes`` strings of each length that are most frequent over all languages; both
-are parameters. Everything else sees all rows and whole texts.
+doc_id; all strings of their whole texts count, so that the code lengths are those of the trees. The model's size follows
+the sample, not the corpus. Everything else sees all rows and whole texts.
 
 Score: the posterior 2**-length of the best language over the sum (even priors). ``und`` with score 0
 is given to a null text, one without a letter, and to all texts if nothing could be learned. Ties go
-to the first language by name. Documents without lang or text teach nothing. Extra columns of the
-input are not read.
+to the first language by name. Documents without lang or text teach nothing; repeated rows and rows that share an id are
+sampled together and each teach. Texts are scored whole in blocks of about ``BLOCK`` bytes or one text; an empty table
+gives an empty result. Other columns pass through, but for lang_pred, score and held_out, which are replaced.
 """
 
 from __future__ import annotations
@@ -117,9 +118,7 @@ class PPM:
                 below = flat[None, :]
             else:
                 low = ((keys & np.uint64((1 << (8 * (n - 1))) - 1))) | np.uint64((n - 1) << 56)
-                row = nodes[n - 1].find(low)
-                # a string whose end is not itself a node (rare strings are left out) falls to the escapes below
-                below = cls(languages, n - 2, nodes, cost, contexts, leave, flat).lookup(low, n - 1) if len(keys) and (row < 0).any() else cost[n - 1][row]
+                below = cost[n - 1][nodes[n - 1].find(low)]  # the end of a counted string was counted too
             nodes[n], contexts[n - 1] = Table(keys), Table(own)
             cost[n] = np.where(c > 0, known, escape[at] + below) if len(keys) else np.zeros((0, len(languages)))
             leave[n - 1] = escape
@@ -183,8 +182,8 @@ class PPM:
         return out
 
 
-def train(examples: DataFrame, order: int = 3, sample_docs: int = 1500, max_nodes: int = 400_000) -> PPM:
-    """A model from (doc_id, text, lang); see the module for the bounds."""
+def train(examples: DataFrame, order: int = 3, sample_docs: int = 1500) -> PPM:
+    """A model from (doc_id, text, lang); see the module for the bound."""
     rows = examples.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").count().collect()  # a row for each language
     if not sizes:
@@ -201,23 +200,29 @@ def train(examples: DataFrame, order: int = 3, sample_docs: int = 1500, max_node
                 texts.setdefault(lang, []).append(text.as_py().encode())
         for lang, own in texts.items():
             data = LOWER[np.frombuffer((b"\n" * order).join([b"", *own]), np.uint8)]
+            # the line breaks before each text are its first contexts, not bytes of it
+            steps = np.zeros(len(data) + 1, np.int8)
+            ends = np.cumsum([len(t) + order for t in own])
+            np.add.at(steps, ends - [len(t) for t in own], 1)
+            np.add.at(steps, ends, -1)
+            inside = np.cumsum(steps[:-1], dtype=np.int8) > 0
             for n in range(1, order + 2):
-                keys, c = np.unique(grams(data, n)[order:], return_counts=True)
+                keys, c = np.unique(grams(data, n)[inside], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "n", "gram", "c"])
 
     per_gram = sample.mapInArrow(count, "lang string, n int, gram long, c long").groupBy("n", "gram").pivot("lang", languages).agg(F.sum("c"))
     per_gram = materialize(per_gram.select("n", "gram", *[F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias(f"c{i}") for i, x in enumerate(languages)]), "ppm-counts")
-    total = sum((F.col(f"c{i}") for i in range(len(languages))), F.lit(0))
     counts = {}
     for n in range(1, order + 2):
-        top = per_gram.where(F.col("n") == n).orderBy(total.desc(), "gram").limit(max_nodes).toPandas()
-        counts[n] = top["gram"].to_numpy(np.int64).view(np.uint64), top[[f"c{i}" for i in range(len(languages))]].to_numpy(float)
+        own = per_gram.where(F.col("n") == n).toArrow()  # strings of the sample's texts
+        c = np.column_stack([own.column(f"c{i}").to_numpy() for i in range(len(languages))]).astype(float)
+        counts[n] = own.column("gram").to_numpy().astype(np.int64).view(np.uint64), c
     return PPM.train(counts, languages, order)
 
 
 def identify(documents: DataFrame, model: PPM) -> DataFrame:
     """documents with lang_pred and score, from the text alone."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by max_nodes
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # as large as the strings of the sample
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
@@ -237,4 +242,4 @@ def held_out(doc_id: str = "doc_id"):
 def identify_documents(documents: DataFrame) -> DataFrame:
     """documents with held_out, lang_pred and score, learned from the documents that are not held out."""
     model = train(documents.where(~held_out()))
-    return identify(documents, model).withColumn("held_out", held_out())
+    return identify(documents.drop("held_out"), model).withColumn("held_out", held_out())
