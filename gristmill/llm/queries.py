@@ -92,14 +92,14 @@ with t0(license, text) as (values {rows}),
 t1 as (select license, {SQL_WORDS.format("text")} as w from t0),
 t2 as (select license, w, cast(least(len(w), 5) as int) as k from t1 where len(w) > 0),
 t3 as (select distinct license, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') as s from (select license, w, k, unnest(range(1, len(w) - k + 2)) as i from t2)),
-t4 as (select license, k, count(*) as m, cast(ceil(pow(1.25, ceil(ln(count(*) * 1.25) / ln(1.25) - 1e-9))) as int) as scale from t3 group by 1, 2),
+t4 as (select *, l + s - 1 as width from (select *, greatest(1, l // 8) as s from (select license, k, count(*) as m, count(*) + count(*) // 4 as l from t3 group by 1, 2))),
 d as (select doc_id, {SQL_WORDS.format("text")} as w from documents),
 p as (select doc_id, len(w) as n, w, unnest(range(0, len(w))) as i from d),
 g as (select doc_id, n, i, k, list_aggregate(w[i + 1:i + k], 'string_agg', ' ') as s from p, (select distinct k from t4) where i + k <= n),
-h as (select g.doc_id, g.n, g.i, g.s, t3.license, t3.k, t4.m, t4.scale from g join t3 on g.s = t3.s and g.k = t3.k join t4 on t4.license = t3.license),
-v as (select doc_id, license, k, m, n, scale, cast(floor(i / scale) as int) - o as win, count(distinct s) as matched from h, (values (0), (1)) as offs(o) where cast(floor(i / scale) as int) - o >= 0 group by all),
-r as (select *, row_number() over (partition by doc_id, license order by matched desc, win * scale, least((win + 2) * scale + k - 1, n)) as rn from v where matched >= 0.75 * m)
-select doc_id, license, cast(matched as bigint) as matched, cast(m as bigint) as total, cast(win * scale as bigint) as word_from, cast(least((win + 2) * scale + k - 1, n) as bigint) as word_to from r where rn = 1"""
+h as (select g.doc_id, g.n, g.i, g.s, t4.license, t3.k, t4.m, t4.s as step, t4.width, unnest(range(greatest(0, cast(ceil((i - width + 1) / t4.s) as bigint)), i // t4.s + 1)) as win from g join t3 on g.s = t3.s and g.k = t3.k join t4 on t4.license = t3.license),
+v as (select doc_id, license, k, m, n, step, width, win, count(distinct s) as matched from h group by all),
+r as (select *, row_number() over (partition by doc_id, license order by matched desc, win) as rn from v where matched >= 0.75 * m)
+select doc_id, license, cast(matched as bigint) as matched, cast(m as bigint) as total, cast(win * step as bigint) as word_from, cast(least(win * step + width + k - 1, n) as bigint) as word_to from r where rn = 1"""
 
 
 SQL_NGRAM = r"""
