@@ -10,13 +10,13 @@ of a template's shingles has a Jaccard similarity of at least j = need / (m + W
 of at least 1 - (1 - j ** ROWS) ** BANDS: j is 0.45 at least, which makes that 1 - 5e-7 (``collision_bound``). Band by band this would cost a
 hash for each value, shingle and window; but a band can only be equal where the shingle that gives the
 template its first value lies in the window. So texts are probed for these shingles (``BANDS`` at most a template), and only the windows around
-a probe's hit compute their band. The result is that of sketching every window and joining the bands, which a test checks.
+a probe's hit compute their bands. The result is that of sketching every window and joining the bands, which a test checks.
 
 Verification: a retrieved window matches if it holds at least ``CONTAINMENT`` of the template's distinct shingles, compared as words.
 
 Templates are a parameter; they are broadcast in groups of at most ``GROUP_BYTES`` of text, one scan a group. Nulls: a null or
 wordless text has no match. Rows are judged each, also where a doc_id repeats or is null; equal templates under
-two names both match, and of equally good windows the first is reported. Texts are scanned whole; a hit carries two windows' words, never its text. Empty tables and templates
+two names both match, and of equally good windows the first is reported. Texts are scanned whole; a hit carries its window's words, never its text. Empty tables and templates
 without words give empty results. Other columns are not read.
 """
 
@@ -104,48 +104,42 @@ def hash_of_shingle(s: Column) -> Column:
     return F.coalesce(*[F.when(F.size(w) == n, F.xxhash64(*[F.get(w, F.lit(i)) for i in range(n)])) for n in range(1, K + 1)])
 
 
-def hits_of(documents: DataFrame, lengths: list[int], probes: DataFrame, base: DataFrame) -> DataFrame:
-    """A row (row, doc_id, n, license, at, bands, from, ctx and the template's columns) for each place in a text that a probe hits; ctx: the words of all windows around it, which begin at from."""
+def probed(documents: DataFrame, lengths: list[int], probes: DataFrame, base: DataFrame) -> DataFrame:
+    """A row (row, doc_id, n, license, win, bands, ctx) for each window that holds a probe's shingle: bands that it may share, and its words."""
     docs = documents.select("doc_id", words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
     # explode_outer: explode would add a filter that splits the text a second time
     at = docs.select("row", "doc_id", "w", F.explode_outer(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("at"))
     each = [F.when(F.col("at") + n <= F.size("w"), F.struct(F.lit(n).alias("k"), F.xxhash64(*[F.get("w", F.col("at") + j) for j in range(n)]).alias("h"))) for n in lengths]
     grams = at.select("row", "doc_id", "at", "w", *([each[0].alias("g")] if len(each) == 1 else [F.explode(F.array(*each)).alias("g")])).select("row", "doc_id", "at", "w", "g.k", "g.h")
-    met = grams.join(F.broadcast(probes), ["h", "k"]).join(F.broadcast(base.drop("k")), "license")
-    first = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
-    return met.select("row", "doc_id", F.size("w").alias("n"), "license", "at", "bands", "k", "m", "need", "step", "width", "ts", "sketch", first.alias("from"), F.slice("w", first + 1, F.col("at") - first + F.col("width") + F.col("k") - 1).alias("ctx"))
-
-
-def retrieved(hits: DataFrame) -> DataFrame:
-    """hits with cs (the shingles of ctx) and wins: the windows around the place whose bands, of those probed, equal the template's."""
-    hits = hits.withColumn("cs", shingles_of(F.col("ctx"), F.col("k")))
-    hits = hits.withColumn("ch", F.transform("cs", hash_of_shingle))
-    low = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("width") + 1) / F.col("step")).cast("int"))
-    own = lambda win: F.slice("ch", F.greatest(win * F.col("step") - F.col("from"), F.lit(0)) + 1, F.col("width"))
-
-    def equal(win: Column, b: Column) -> Column:
-        want = F.element_at("sketch", b + 1)
-        rows = [F.array_min(F.transform(own(win), lambda h: value(b, r, h))) == F.element_at(want, r + 1) for r in range(ROWS)]
-        out = rows[0]
-        for x in rows[1:]:
-            out = out & x
+    met = grams.join(F.broadcast(probes), ["h", "k"]).join(F.broadcast(base.select("license", "step", "width")), "license")
+    wins = F.expr("sequence(int(greatest(0, (at - width + step) div step)), int(at div step))")
+    met = met.select("row", "doc_id", F.size("w").alias("n"), "license", "k", "step", "width", "bands", "w", F.explode(wins).alias("win"))
+    met = met.select("row", "doc_id", "n", "license", "win", "bands", F.slice("w", (F.col("win") * F.col("step") + 1).cast("int"), F.col("width") + F.col("k") - 1).alias("ctx"))
+    return met.groupBy("row", "license", "win").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("bands"))).alias("bands"), F.first("ctx").alias("ctx"))
+
+
+def retrieved(windows: DataFrame, base: DataFrame) -> DataFrame:
+    """Of the probed windows those with an equal band; with cs, their shingles, and the template's columns."""
+    rows = windows.join(F.broadcast(base), "license").withColumn("cs", shingles_of(F.col("ctx"), F.col("k")))
+    rows = rows.withColumn("ch", F.transform("cs", hash_of_shingle))
+
+    def equal(b: Column) -> Column:
+        want, out = F.element_at("sketch", b + 1), F.lit(True)
+        for r in range(ROWS):
+            out = out & (F.array_min(F.transform("ch", lambda h: value(b, r, h))) == F.element_at(want, r + 1))
         return out
 
-    wins = F.filter(F.sequence(low, F.floor(F.col("at") / F.col("step")).cast("int")), lambda win: F.exists("bands", lambda b: equal(win, b)))
-    return hits.withColumn("wins", wins)
+    return rows.where(F.exists("bands", equal))
 
 
 def scan_group(documents: DataFrame, templates: dict[str, str]) -> DataFrame:
     base, probes = sketched(documents.sparkSession, templates)
     lengths = sorted(r["k"] for r in base.select("k").distinct().collect()) or [K]  # five at most
-    found = retrieved(hits_of(documents, lengths, probes, base)).where(F.size("wins") > 0)
-    inside = lambda win: F.slice("cs", F.greatest(win * F.col("step") - F.col("from"), F.lit(0)) + 1, F.col("width"))
+    found = retrieved(probed(documents, lengths, probes, base), base).withColumn("matched", F.size(F.array_intersect("cs", "ts"))).where("matched >= need")
     # the best window is the one with the most shingles, the first of those
-    best = F.array_min(F.transform("wins", lambda win: F.struct((-F.size(F.array_intersect(inside(win), F.col("ts")))).alias("x"), win.alias("win"))))
-    found = found.select("row", "doc_id", "license", "n", "k", "m", "need", "step", "width", best.alias("b")).where("-b.x >= need")
-    per = found.groupBy("row", "license").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("k").alias("k"), F.max("m").alias("m"), F.max("step").alias("step"), F.max("width").alias("width"), F.min("b").alias("b"))
-    start = F.col("b.win") * F.col("step")
-    return per.select("doc_id", "license", (-F.col("b.x")).cast("long").alias("matched"), F.col("m").cast("long").alias("total"), start.cast("long").alias("word_from"), F.least(start + F.col("width") + F.col("k") - 1, F.col("n")).cast("long").alias("word_to"))
+    best = F.min(F.struct((-F.col("matched")).alias("x"), (F.col("win") * F.col("step")).alias("lo"), F.least(F.col("win") * F.col("step") + F.col("width") + F.col("k") - 1, F.col("n")).alias("hi"), "m"))
+    per = found.groupBy("row", "license").agg(F.max("doc_id").alias("doc_id"), best.alias("b"))
+    return per.select("doc_id", "license", (-F.col("b.x")).cast("long").alias("matched"), F.col("b.m").cast("long").alias("total"), F.col("b.lo").cast("long").alias("word_from"), F.col("b.hi").cast("long").alias("word_to"))
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:

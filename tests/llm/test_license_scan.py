@@ -28,8 +28,8 @@ def texts(spark):
 def test_retrieval_equals_all_sketches(spark, texts):
     base, probes = ls.sketched(spark, ls.TEMPLATES)
     lengths = sorted(r["k"] for r in base.select("k").distinct().collect())
-    found = ls.retrieved(ls.hits_of(texts, lengths, probes, base))
-    got = {tuple(r) for r in found.select("doc_id", "license", F.explode("wins").alias("win")).collect()}
+    found = ls.retrieved(ls.probed(texts, lengths, probes, base), base)
+    got = {tuple(r) for r in found.select("doc_id", "license", "win").collect()}
     # every window of every text, all its bands, joined with the templates' bands
     every = texts.select("doc_id", ls.words(F.col("text")).alias("w")).crossJoin(base.select("license", "k", "step", "width", "sketch"))
     every = every.withColumn("hs", F.transform(ls.shingles_of(F.col("w"), F.col("k")), ls.hash_of_shingle)).where(F.size("hs") > 0)
