@@ -4,14 +4,16 @@ Words of texts are hashed in k-grams; of every ``WINDOW - K + 1`` neighbouring h
 (leftmost on ties) is kept as a fingerprint. Equal runs of ``WINDOW`` words choose equal fingerprints,
 so joining those of documents and benchmark items finds every shared run of that length. Each hit is
 compared word by word and extended both ways, up to where the next one takes over; runs shorter than ``WINDOW`` are given up. Items with
-fewer words are one run each and are looked for by the hash of that many words.
+fewer words are one run each and are looked for by the hash of that many words, all such lengths in one more scan.
 
-The benchmark's fingerprints are broadcast while they are few; beyond ``BROADCAST_ROWS`` documents'
-words are first written to the shared folder and all joins shuffle.
+The benchmark's words and fingerprints are broadcast while they take at most ``BROADCAST_BYTES``; beyond, documents'
+words are first written to the shared folder and all joins shuffle. Only fingerprints and places meet in the join by fingerprint, whose
+documents' side Spark may split where a passage is so common that its key is skewed.
 
 Nulls and ties: a null text or one without words has no hits and hits nothing, whatever its id. Rows
 are judged each, also where a doc_id repeats. An item_id that repeats counts once, a null one not.
-Empty tables give empty or all-clean results. Extra columns are ignored.
+Empty tables give empty or all-clean results. Texts are searched whole; a hit carries the words around it, never its text.
+Other columns pass through where they are asked for by name (keep), else they are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from gristmill.llm.common import ascii_lower, materialize, split_words
 
 WINDOW, K = 10, 5
 DELIMITERS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -54,10 +56,19 @@ def fingerprints(rows: DataFrame, k: int, span: int, keep_empty: bool) -> DataFr
     return rows.select(*kept, F.lit(k).alias("k"), F.lit(span).alias("n_grams"), fp.alias("fp"))
 
 
-def around(first: str, words_: str, length: Column | int, name: str) -> list[Column]:
+def around(first: str, words_: str, length: Column, name: str) -> list[Column]:
     """The words from WINDOW before first on, and where they begin. Rows carry these, never a whole text: a text's rows are buffered together."""
     base = F.greatest(F.col(first) - WINDOW, F.lit(0))
-    return [base.alias(f"{name}_base"), F.slice(words_, base + 1, F.lit(2 * WINDOW) + length).alias(name)]
+    return [base.alias(f"{name}_base"), F.slice(words_, base + 1, length + 2 * WINDOW).alias(name)]
+
+
+def short_fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """As fingerprints, with a row for each place and each length of an item: its words are one k-gram."""
+    steps = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
+    each = [F.when(F.col("start") + k <= F.size("w"), F.struct(F.lit(k).alias("k"), F.xxhash64(*[F.get("w", F.col("start") + i) for i in range(k)]).alias("fp"))) for k in lengths]
+    kept = rows.columns
+    rows = rows.select("*", F.explode_outer(steps).alias("start")).select(*kept, "start", F.explode(F.array(*each)).alias("g"))
+    return rows.select(*kept, "start", "g.k", F.lit(1).alias("n_grams"), "g.fp")
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -78,8 +89,8 @@ def run_length(same: Column, most: Column) -> Column:
     return F.when(most <= 0, 0).when(stop == 0, most).otherwise(stop - 1).cast("int")
 
 
-def extended(hits: DataFrame) -> DataFrame:
-    """hits (row, doc_id, n_words, k, at, item_id, m, item_at and the words around either) to row, doc_id, n_words, span and hit_item.
+def extended(hits: DataFrame, own: list[str]) -> DataFrame:
+    """hits (own columns, n_words, k, at, item_id, m, item_at and the words around either) to own columns, n_words, span and hit_item.
 
     span is the equal run around the hit, up to a window's length to either side, if it is true and long enough; else it and hit_item are null.
     """
@@ -91,10 +102,10 @@ def extended(hits: DataFrame) -> DataFrame:
     upto = lambda most: F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
     after = F.transform(upto(right), lambda d: F.get("ctx", i + F.col("k") + d - 1) == F.get("ictx", j + F.col("k") + d - 1))
     ahead = F.transform(upto(left), lambda d: F.get("ctx", i - d) == F.get("ictx", j - d))
-    runs = hits.select("row", "doc_id", "n_words", "item_id", "m", "at", "k", F.when(true, run_length(after, right)).alias("r"), F.when(true, run_length(ahead, left)).alias("l"))
+    runs = hits.select(*own, "n_words", "item_id", "m", "at", "k", F.when(true, run_length(after, right)).alias("r"), F.when(true, run_length(ahead, left)).alias("l"))
     lo, hi = F.col("at") - F.col("l"), F.col("at") + F.col("k") + F.col("r")
     fits = hi - lo >= F.least(F.lit(WINDOW), F.col("m"))
-    return runs.select("row", "doc_id", "n_words", F.when(fits, F.struct(lo.alias("lo"), hi.alias("hi"))).alias("span"), F.when(fits, F.col("item_id")).alias("hit_item"))
+    return runs.select(*own, "n_words", F.when(fits, F.struct(lo.alias("lo"), hi.alias("hi"))).alias("span"), F.when(fits, F.col("item_id")).alias("hit_item"))
 
 
 def covered(spans: Column) -> Column:
@@ -104,46 +115,57 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), first, step, lambda a: a["n"])
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (word runs lo to hi, which may overlap), items (ids as strings, sorted), contaminated."""
+def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, keep: list[str] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, spans (word runs lo to hi, which may overlap), items (ids as strings, sorted), contaminated; and the columns of keep, in a struct kept."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("iw")).where(F.size("iw") > 0)
     items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "bench-words")
     short = sorted(r["m"] for r in items.where(F.size("iw") < WINDOW).select(F.size("iw").alias("m")).distinct().collect())  # nine at most
     own = items.withColumnRenamed("iw", "w")
-    grams = [(K, WINDOW - K + 1, own.where(F.size("w") >= WINDOW))] + [(m, 1, own.where(F.size("w") == m)) for m in short]
-    prints = None
-    for k, span, some in grams:
-        one = fingerprints(some, k, span, False).where("fp is not null").select("item", "k", "n_grams", "fp", "start", *around("start", "w", k + span, "ctx"))
-        one = placed(one).select("k", "fp", "item", F.col("at").alias("item_at"))
-        prints = one if prints is None else prints.unionByName(one)
-    prints = materialize(prints, "bench-prints")
-    small = prints.count() + (items.agg(F.sum(F.size("iw")).alias("n")).first()["n"] or 0) <= broadcast_rows
-
-    docs = documents.select("doc_id", words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
+    # a gram of K words may be an item of K words or a part of a long one: they are kept apart
+    prints = []
+    for is_short in (False, True):
+        one = short_fingerprints(own.where(F.size("w") < WINDOW), short).where(F.col("k") == F.size("w")) if is_short and short else fingerprints(own.where(F.size("w") >= WINDOW), K, WINDOW - K + 1, False)
+        one = one.where("fp is not null").select("item", "k", "n_grams", "fp", "start", *around("start", "w", F.col("k") + F.col("n_grams"), "ctx"))
+        prints.append(materialize(placed(one).select("k", "fp", "item", F.col("at").alias("item_at")), "bench-prints"))
+        if not short:
+            break
+    sizes = items.agg(F.sum(F.expr("aggregate(iw, 64L, (n, x) -> n + octet_length(x) + 24)"))).first()[0] or 0
+    small = sizes + 64 * sum(p.count() for p in prints) <= broadcast_bytes
+
+    docs = documents.select("doc_id", words(F.col("text")).alias("w"), *([F.struct(*keep).alias("kept")] if keep else [])).withColumn("row", F.monotonically_increasing_id())
     if not small or short:
         docs = materialize(docs, "doc-words")
+    own = ["row", "doc_id", *(["kept"] if keep else [])]
     hits = None
-    for i, (k, span, _) in enumerate(grams):
-        ours = prints.where(F.col("k") == k).drop("k") if i == 0 or k != K else prints.where((F.col("k") == k) & (F.col("item_at") == 0)).drop("k")
+    for i, ours in enumerate(prints):
         if small:
             # the first pass brings a row for each document besides the hits, so that one scan does all
-            rows = fingerprints(docs, k, span, keep_empty=i == 0)
-            one = rows.join(F.broadcast(ours), "fp", "left" if i == 0 else "inner").where((F.col("start") < 0) | F.col("item").isNotNull())
+            rows = short_fingerprints(docs.drop("kept"), short) if i else fingerprints(docs, K, WINDOW - K + 1, keep_empty=True)
+            one = rows.join(F.broadcast(ours.drop("k") if i == 0 else ours), ["fp"] if i == 0 else ["fp", "k"], "inner" if i else "left").where((F.col("start") < 0) | F.col("item").isNotNull())
             one = one.join(F.broadcast(items), "item", "left")
-            slices = [*around("start", "w", k + span, "ctx"), *around("item_at", "iw", k, "ictx")]
-            one = one.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), "k", "n_grams", "start", "item_id", F.size("iw").alias("m"), "item_at", F.when(F.col("item").isNotNull(), F.col("fp")).alias("fp"), *slices)
+            slices = [*around("start", "w", F.col("k") + F.col("n_grams"), "ctx"), *around("item_at", "iw", F.col("k"), "ictx")]
+            more = [] if not keep else [F.when(F.col("start") < 0, F.col("kept")).alias("kept") if i == 0 else kept_null(docs)]
+            one = one.select("row", "doc_id", *more, F.size("w").cast("long").alias("n_words"), "k", "n_grams", "start", "item_id", F.size("iw").alias("m"), "item_at", F.when(F.col("item").isNotNull(), F.col("fp")).alias("fp"), *slices)
             one = placed(one)
         else:
             # words travel once for each document and item, not for each hit
-            rows = fingerprints(docs.select("row", "w"), k, span, keep_empty=False).where("fp is not null").select("row", "k", "n_grams", "fp", "start", *around("start", "w", k + span, "ctx"))
-            met = placed(rows).select("row", "k", "at", "fp").join(ours, "fp").groupBy("row", "item").agg(F.collect_set(F.struct("k", "at", "item_at")).alias("h"))
-            one = met.join(docs, "row").join(items, "item").select("row", "doc_id", "w", "iw", "item_id", F.explode("h").alias("h")).select("row", "doc_id", "w", "iw", "item_id", "h.*")
-            one = one.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), "k", "at", "item_id", F.size("iw").alias("m"), "item_at", *around("at", "w", k, "ctx"), *around("item_at", "iw", k, "ictx"))
-        one = extended(one)
+            slim = docs.select("row", "w")
+            rows = short_fingerprints(slim, short) if i else fingerprints(slim, K, WINDOW - K + 1, keep_empty=False)
+            rows = rows.where("fp is not null").select("row", "k", "n_grams", "fp", "start", *around("start", "w", F.col("k") + F.col("n_grams"), "ctx"))
+            met = placed(rows).select("row", "k", "at", "fp").join(ours, ["fp", "k"]).groupBy("row", "item").agg(F.collect_set(F.struct("k", "at", "item_at")).alias("h"))
+            one = met.join(docs, "row").join(items, "item").select(*own, "w", "iw", "item_id", F.explode("h").alias("h")).select(*own, "w", "iw", "item_id", "h.*")
+            more = [kept_null(docs)] if keep else []
+            one = one.select("row", "doc_id", *more, F.size("w").cast("long").alias("n_words"), "k", "at", "item_id", F.size("iw").alias("m"), "item_at", *around("at", "w", F.col("k"), "ctx"), *around("item_at", "iw", F.col("k"), "ictx"))
+        one = extended(one, own)
         hits = one if hits is None else hits.unionByName(one)
     if not small:
         void = "cast(null as struct<lo:int,hi:int>)"
-        hits = hits.unionByName(docs.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(void).alias("span"), F.expr("cast(null as string)").alias("hit_item")))
-    per = hits.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("hit_item").alias("items"))
+        hits = hits.unionByName(docs.select(*own, F.size("w").cast("long").alias("n_words"), F.expr(void).alias("span"), F.expr("cast(null as string)").alias("hit_item")))
+    per = hits.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *([F.first("kept", ignorenulls=True).alias("kept")] if keep else []), F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("hit_item").alias("items"))
     per = per.withColumn("n_hit", covered(F.col("spans"))).withColumn("items", F.array_sort("items"))
-    return per.select("doc_id", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return per.select("doc_id", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"), *(["kept"] if keep else []))
+
+
+def kept_null(docs: DataFrame) -> Column:
+    """No kept columns: the row that a document has besides its hits brings them."""
+    return F.lit(None).cast(docs.schema["kept"].dataType).alias("kept")

@@ -108,7 +108,7 @@ def test_ppm_costs_by_hand():
     assert m.lengths([b"abz", b"ab"])[1, 0] == pytest.approx(first + b_after_a)
 
 
-@pytest.mark.parametrize("limit", [decontam.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
 def test_decontamination(spark, docs, empty, limit):
     bench = spark.createDataFrame([(1, LONG), (2, "Two"), (3, None), (None, "one"), (4, "w7 w8 w9 w10 w11")], "item_id long, text string")
     got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["items"]) for r in decontam.decontaminate(docs, bench, limit).collect()}
