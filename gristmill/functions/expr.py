@@ -92,13 +92,13 @@ def rule_id(prefix: str, category: Column, title: Column) -> Column:
 # -- redaction ----------------------------------------------------------------------------------------
 
 def redact(text: Column) -> Column:
-    """All patterns in turn, each on what the one before has left."""
-    return reduce(lambda t, p: F.regexp_replace(t, p, fixed.PLACEHOLDER), fixed.SECRETS, text)
+    """All patterns in turn, each on what the one before has left; a text that holds no pattern's fixed part is left alone by one look."""
+    return F.when(text.rlike(fixed.SECRET_PARTS), reduce(lambda t, p: F.regexp_replace(t, p, fixed.PLACEHOLDER), fixed.SECRETS, text)).otherwise(text)
 
 
-def redact_content(text: Column, path: Column, path_globs: list[str]) -> Column:
-    """Everything for a path under policy, else the secrets."""
-    return F.when(globs.matches_any(path, path_globs, whole_rest=False), F.lit(fixed.PATH_PLACEHOLDER)).otherwise(redact(text))
+def redact_content(text: Column, path: Column, path_globs: list[str], secrets: bool = True) -> Column:
+    """Everything for a path under policy, else the secrets (if they are to be)."""
+    return F.when(globs.matches_any(path, path_globs, whole_rest=False), F.lit(fixed.PATH_PLACEHOLDER)).otherwise(redact(text) if secrets else text)
 
 
 def hit_count(redacted: Column) -> Column:
@@ -136,8 +136,7 @@ def model_spec(spec: Column) -> Column:
 def repo_of_url(url: Column) -> Column:
     """owner and repo of a remote URL (https, then ssh); null if it is neither."""
     bare = F.regexp_replace(url, r"\.git\z", "")
-    forms = [r"https?://[^/]+/([^/]+)/([^/.\s]+)", r"[^@]+@[^:]+:([^/]+)/([^/.\s]+)"]
-    return F.coalesce(*[F.when(bare.rlike(p), F.struct(F.regexp_extract(bare, p, 1).alias("owner"), F.regexp_extract(bare, p, 2).alias("repo"))) for p in forms])
+    return F.coalesce(*[F.when(bare.rlike(p), F.struct(F.regexp_extract(bare, p, 1).alias("owner"), F.regexp_extract(bare, p, 2).alias("repo"))) for p in fixed.REMOTES])
 
 
 def merge_base_range(rev: Column, merge_base: bool) -> Column:
@@ -154,7 +153,11 @@ def lines_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 def title_similar(a: Column, b: Column) -> Column:
     """Equal, one within the other, or over half of the shorter one's words shared (words of a count as often as they occur)."""
     a, b = F.lower(trim_space(a)), F.lower(trim_space(b))
-    wa, wb = words_of(a), words_of(b)
+    return similar(a, b, words_of(a), words_of(b))
+
+
+def similar(a: Column, b: Column, wa: Column, wb: Column) -> Column:
+    """title_similar of trimmed, lower-cased titles and their words."""
     shared = F.size(F.filter(wa, lambda w: F.array_contains(wb, w)))
     return (a == b) | a.contains(b) | b.contains(a) | ((F.size(wa) > 0) & (F.size(wb) > 0) & (2 * shared > F.least(F.size(wa), F.size(wb))))
 
@@ -164,7 +167,7 @@ def any_shared_word(a: Column, b: Column) -> Column:
 
 
 def fuzzy_match(f: str, g: str) -> Column:
-    """Join condition for findings under the aliases f and g (their path is an equi-join key)."""
+    """Join condition for findings with title_key (trimmed, lower-cased) and title_words under the aliases f and g (their path is an equi-join key)."""
     c = lambda x: (F.col(f"{f}.{x}"), F.col(f"{g}.{x}"))
-    (sf, sg), (ef, eg), (tf, tg), (cf, cg) = c("start_line"), c("end_line"), c("title"), c("category")
-    return lines_overlap(sf, ef, sg, eg) & (title_similar(tf, tg) | ((cf == cg) & any_shared_word(tf, tg)))
+    (sf, sg), (ef, eg), (tf, tg), (wf, wg), (cf, cg) = c("start_line"), c("end_line"), c("title_key"), c("title_words"), c("category")
+    return lines_overlap(sf, ef, sg, eg) & (similar(tf, tg, wf, wg) | ((cf == cg) & F.arrays_overlap(wf, wg)))

@@ -17,6 +17,10 @@ SECRETS = [
     r"""(?i)(mongodb|postgres|postgresql|mysql|redis|amqp)://[^\s"']+:[^\s"'@]+@[^\s"']+""",
     r"""(?i)(key|secret|token)\s*[:=]\s*["']?[0-9a-f]{32,}["']?""",
 ]
+#: What a text must hold for any of these patterns to match.
+SECRET_PARTS = r"(?i)akia|secret|token|passw|credential|bearer|eyj|key|gh[pousr]_|xox[bporas]-|sk-|://"
+#: Remote URLs of a repository: owner and name.
+REMOTES = [r"https?://[^/]+/([^/]+)/([^/.\s]+)", r"[^@]+@[^:]+:([^/]+)/([^/.\s]+)"]
 PLACEHOLDER = "[REDACTED]"
 PATH_PLACEHOLDER = PLACEHOLDER + " (file content redacted by path policy)\n"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.schemas import CACHE_ENTRY
 
@@ -37,7 +38,7 @@ class ResultCache:
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.schema(CACHE_ENTRY.simpleString()[7:-1].replace(":", " ") + ", day date").parquet(self.path).drop("day")
+            return self.spark.read.schema(T.StructType([*CACHE_ENTRY.fields, T.StructField("day", T.DateType())])).parquet(self.path).drop("day")
         except AnalysisException:
             return self.spark.createDataFrame([], CACHE_ENTRY)
 
@@ -45,4 +46,4 @@ class ResultCache:
         entries.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(self.path)
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], CACHE_ENTRY).withColumn("day", F.to_date("created_at")).write.mode("overwrite").parquet(self.path)
+        self.spark.createDataFrame([], CACHE_ENTRY).withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(self.path)

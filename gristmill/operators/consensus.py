@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.expr import fuzzy_match
+from gristmill.functions.expr import fuzzy_match, trim_space, words_of
 from gristmill.operators.findings import dedupe
 
 BUCKET, WIDE = 16, 1000
@@ -28,8 +28,10 @@ def with_buckets(findings: DataFrame) -> DataFrame:
 def matches(findings: DataFrame) -> DataFrame:
     """(run_id, fm, fo, gm, go): finding f marks g, the first match in a later model."""
     rows = with_buckets(findings.select(*KEYS, "path", "start_line", "end_line", "title", "category"))
-    narrow = rows.where(F.col("__hi") - F.col("__lo") <= WIDE)
-    wide = rows.where(F.col("__hi") - F.col("__lo") > WIDE)
+    # titles are split once a finding, not once a pair
+    rows = rows.withColumn("title_key", F.lower(trim_space(F.col("title")))).withColumn("title_words", words_of(F.col("title_key"))).drop("title")
+    is_wide = F.col("__hi") - F.col("__lo") > WIDE
+    narrow, wide = rows.where(~is_wide), rows.where(is_wide)
     spread = narrow.withColumn("__b", F.explode(F.sequence("__lo", "__hi")))
 
     def pairs(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,7 +43,8 @@ def matches(findings: DataFrame) -> DataFrame:
         return out.select(F.col("f.run_id").alias("run_id"), F.col("f.model_idx").alias("fm"), F.col("f.ord").alias("fo"), F.col("g.model_idx").alias("gm"), F.col("g.ord").alias("go"))
 
     found = pairs(spread, spread, ["run_id", "path", "__b"])
-    found = found.unionByName(pairs(wide, rows, ["run_id", "path"])).unionByName(pairs(narrow, wide, ["run_id", "path"]))
+    if not with_buckets(findings.select("start_line", "end_line")).where(is_wide).isEmpty():
+        found = found.unionByName(pairs(wide, rows, ["run_id", "path"])).unionByName(pairs(narrow, wide, ["run_id", "path"]))
     # the first match is a minimum: partial aggregation, no window, repeats of a pair do not matter
     return found.groupBy("run_id", "fm", "fo", "gm").agg(F.min("go").alias("go"))
 

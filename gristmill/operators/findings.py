@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import fixed
 from gristmill.functions.expr import finding_id, meets_threshold, rule_id, sarif_level, severity_rank, trim_space
-from gristmill.schemas import RAW_FINDING
 
 #: What orders findings of a run when nothing else does.
 POSITION = ["model_idx", "chunk_idx", "ord"]
@@ -21,42 +20,55 @@ def strip_fence(content: Column) -> Column:
     return F.when(body == "", F.when(text.startswith("```"), F.lit("[]")).otherwise(F.lit(""))).otherwise(body)
 
 
-#: JSON type of each field; integers also come as numbers with a zero fraction nowhere.
+#: JSON type of each field; integers are numbers without a fraction.
 KINDS = {"severity": "STRING", "category": "STRING", "title": "STRING", "message": "STRING", "suggestion": "STRING", "path": "STRING", "confidence": "NUMBER", "startLine": "INT", "endLine": "INT", "tags": "ARRAY"}
 
 
-def valid_answer(text: Column) -> Column:
-    """null, or an array of objects whose known fields have the right JSON types.
+#: An element of an answer, each field as it is in the JSON text.
+ITEMS = f"array<struct<{', '.join(f'{k}: variant' for k in KINDS)}>>"
+
+
+def items_of(text: Column) -> Column:
+    """The elements of a JSON array of objects; null for anything else."""
+    # the parser ends after the first value and says nothing of what follows; within brackets anything that follows is an error or a second element
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = text.endswith("]") & F.try_variant_get(whole, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(whole, "$[0]", ITEMS))
 
-    from_json alone is too lenient: it takes a bare object, reads "12" as a number's absence and 1 as "1".
-    """
-    items = F.from_json(text, "array<variant>")
 
-    def fits(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        ok = kind.startswith("OBJECT")
+def valid_items(items: Column) -> Column:
+    """Whether the known fields of all elements have the right JSON types (or are absent or null)."""
+
+    def fits(x: Column) -> Column:
+        ok = x.isNotNull()
         for name, want in KINDS.items():
-            part = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+            part = F.schema_of_variant(x[name])
             good = {"STRING": part == "STRING", "NUMBER": part.rlike(r"\A(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "INT": part == "BIGINT", "ARRAY": part.isin("ARRAY<STRING>", "ARRAY<VOID>")}[want]
             ok = ok & (part.isNull() | (part == "VOID") | good)
         return F.coalesce(ok, F.lit(False))
 
-    return F.coalesce((text == "null") | (text.endswith("]") & F.try_parse_json(text).isNotNull() & F.json_array_length(text).isNotNull() & F.forall(items, fits)), F.lit(False))
+    return F.coalesce(F.forall(items, fits), F.lit(False))
+
+
+def valid_answer(text: Column) -> Column:
+    """null, or an array of objects whose known fields have the right JSON types."""
+    return F.coalesce((text == "null") | valid_items(items_of(text)), F.lit(False))
 
 
 def parse_findings(answers: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
     """Canonical findings of valid answers, and the invalid answers. Absent fields are '' or 0, as in the wire format."""
-    rows = answers.withColumn("__json", strip_fence(F.col(content))).withColumn("__ok", valid_answer(F.col("__json")))
+    rows = answers.withColumn("__json", strip_fence(F.col(content)))
+    rows = rows.withColumn("__items", F.when(F.col("__json") == "null", F.array().cast(ITEMS)).otherwise(items_of(F.col("__json"))))
     keep = [c for c in answers.columns if c != content]
-    raw = F.from_json("__json", F.lit(f"array<{RAW_FINDING.simpleString()}>"))
-    rows_ok = rows.where("__ok").select(*keep, F.posexplode(F.coalesce(raw, F.array())).alias("ord", "f"))
-    text = {c: F.coalesce(F.col(f"f.{c}"), F.lit("")) for c in ("severity", "category", "title", "message", "suggestion", "path")}
-    line = {c: F.coalesce(F.col(f"f.{c}"), F.lit(0)) for c in ("startLine", "endLine")}
-    found = rows_ok.select(
-        *keep, "ord", finding_id(text["path"], text["title"], line["startLine"]).alias("id"), *[v.alias(k) for k, v in text.items()],
-        F.coalesce("f.confidence", F.lit(0.0)).alias("confidence"), line["startLine"].alias("start_line"), line["endLine"].alias("end_line"), F.coalesce("f.tags", F.array().cast("array<string>")).alias("tags"),
-    )
-    return found, rows.where("not __ok").drop("__json", "__ok")
+    ok = F.coalesce(valid_items(F.col("__items")), F.lit(False))
+    each = rows.where(ok).select(*keep, F.posexplode("__items").alias("ord", "f"))
+    value = lambda c, kind, absent: F.coalesce(F.try_variant_get(F.col(f"f.{c}"), "$", kind), absent)
+    text = {c: value(c, "string", F.lit("")) for c in ("severity", "category", "title", "message", "suggestion", "path")}
+    line = {c: value(c, "int", F.lit(0)) for c in ("startLine", "endLine")}
+    found = each.select(*keep, "ord", *[v.alias(k) for k, v in text.items()], value("confidence", "double", F.lit(0.0)).alias("confidence"), line["startLine"].alias("start_line"), line["endLine"].alias("end_line"), value("tags", "array<string>", F.array().cast("array<string>")).alias("tags"))
+    names = [*keep, "ord", "id", *text, "confidence", "start_line", "end_line", "tags"]
+    found = found.withColumn("id", finding_id(F.col("path"), F.col("title"), F.col("start_line"))).select(*names)
+    return found, rows.where(~ok).drop("__json", "__items")
 
 
 def raw_json(findings: DataFrame) -> Column:

@@ -84,6 +84,11 @@ def codebase_sections(files: DataFrame, max_bytes: int, include: list[str], excl
     return budget_prefix(rows.withColumn("n_bytes", F.octet_length("body")), max_bytes, "n_bytes", "path")
 
 
+def numbered(sections: DataFrame) -> DataFrame:
+    """sections with section_ord in path order. One task a run, as packing goes through a run in order; only paths and numbers are sorted with their bodies within a byte budget."""
+    return sections.withColumn("section_ord", F.row_number().over(Window.partitionBy("run_id").orderBy("path")) - 1)
+
+
 def is_binary(content: Column) -> Column:
     """A NUL among the first 8000 bytes: git's own guess, not its diff's verdict."""
     return F.locate("\0", F.decode(F.substring(content, 1, 8000), "ISO-8859-1")) > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import expr, fixed, globs
 from gristmill.operators import cache, consensus, findings, pack, prompts, sections
-from gristmill.operators.review import ask, requests_for
-from gristmill.sources.providers import Replay
+from gristmill.operators.review import ask, errors_of, requests_for
+from gristmill.sources.providers import ProviderError, Replay, Request, Response
+from gristmill.sources.shared import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,8 +53,7 @@ from events"""
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture with a run per week of events and explicit order columns."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    f = spark.sql(FINDINGS)
+    f = spark.sql(FINDINGS.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
     return f.withColumn("run_id", F.concat(F.lit("r"), F.col("seq") % 5)).withColumn("chunk_idx", F.lit(0)).withColumn("ord", F.col("seq")).withColumn("id", expr.finding_id(F.col("path"), F.col("title"), F.col("start_line")))
 
 
@@ -282,11 +283,60 @@ def synthetic_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "section_ord", "path", F.sha2("body", 256).alias("body_sha256"), "n_bytes")
 
 
-@query("select doc_id, case when octet_length(encode(text)) > 200 then 200 else octet_length(encode(text)) end as kept_bytes, octet_length(encode(text)) > 100000 as chunked, trim(text) = '' as blank from documents")
+#: Whole characters of the first 200 bytes.
+WHOLE = "list_max(list_filter(range(0, 201), lambda c: octet_length(encode(left(text, c))) <= 200))"
+
+
+@query(f"""with c as (select doc_id, text, octet_length(encode(text)) as n, left(text, {WHOLE}) as whole from documents)
+select doc_id, sha256(case when n > 200 then concat(whole, case when octet_length(encode(whole)) < 200 then chr(65533) else '' end, chr(10), '... [diff truncated at 200 bytes]', chr(10)) else text end) as limited_sha256, n > 100000 as chunked, trim(text) = '' as blank from c""")
 def truncate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    kept = F.octet_length(F.substring(F.encode(text, "UTF-8"), 1, 200)).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", kept.alias("kept_bytes"), sections.needs_chunking(text).alias("chunked"), sections.is_blank(text).alias("blank"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(sections.limit_diff(text, 200), 256).alias("limited_sha256"), sections.needs_chunking(text).alias("chunked"), sections.is_blank(text).alias("blank"))
+
+
+EXCLUDE = ["vendor/**", "*.gen.py"]
+PATHS = "case doc_id % 3 when 0 then concat('vendor/d', doc_id, '.py') when 1 then concat('d', doc_id, '.gen.py') else concat('lib/d', doc_id, '.py') end"
+
+
+@query(f"with p as (select doc_id, {PATHS} as path from documents) select doc_id, path, 'other.py' as other from p where doc_id % 3 = 2 union all select doc_id, 'other.py' as path, 'other.py' as other from p")
+def excluded_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and another file as a diff; its sections and its list of files without what is excluded."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(PATHS).alias("p"))
+    other = F.lit("other.py")
+    d = d.select("doc_id", "p", F.concat(sections.added_diff(F.col("p"), F.col("text")), sections.added_diff(other, F.lit("x"))).alias("diff"))
+    d = d.withColumn("files", sections.exclude_files(sections.diff_files(F.col("diff")), EXCLUDE)).drop("p")
+    kept = sections.exclude_sections(sections.split_sections(d), EXCLUDE)
+    return kept.select("doc_id", "path", F.element_at("files", -1).alias("other")).where(F.array_contains("files", F.col("path")))
+
+
+@query("select doc_id, concat('a', doc_id, '.py,b', doc_id, '.py') as files from documents")
+def files_of_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a diff with three sections of two files."""
+    a, b = (F.concat(F.lit(x), F.col("doc_id"), F.lit(".py")) for x in "ab")
+    diff = F.concat(sections.added_diff(a, F.col("text")), sections.added_diff(b, F.lit("x")), sections.added_diff(a, F.lit("y")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(sections.diff_files(diff), ",").alias("files"))
+
+
+@query("""with p as (select doc_id, list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as p from documents)
+select doc_id, cast(len(p) as bigint) as n_parts, sha256(coalesce(array_to_string(p, '|'), '')) as parts_sha256 from p""")
+def comma_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "documents").select("doc_id", expr.split_comma(F.col("text")).alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n_parts"), F.sha2(F.array_join("p", "|"), 256).alias("parts_sha256"))
+
+
+@query(f"select doc_id, {' or '.join(f'contains(text, {lit(m)})' for m in fixed.CODE_MARKS)} as code, doc_id % 5 = 0 as is_binary from documents")
+def code_and_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that look like code; a NUL early or late in their bytes."""
+    nul = F.lit("\0")
+    content = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("a"), nul, "text")).when(F.col("doc_id") % 5 == 1, F.concat(F.repeat(F.lit("x"), F.lit(8000)), nul)).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", expr.looks_like_code(F.col("text")).alias("code"), sections.is_binary(F.encode(content, "UTF-8")).alias("is_binary"))
+
+
+@query(f"""with {F1}, g as (select run_id, severity, count(*) as n_findings, min(path) as first_path from f group by all)
+select *, case severity {' '.join(f'when {lit(k)} then {lit(v)}' for k, v in fixed.TEXT_ICONS.items())} else '[?]' end as icon, case severity {' '.join(f'when {lit(k)} then {lit(v)}' for k, v in fixed.MARKDOWN_ICONS.items())} else ':white_circle:' end as mark from g""")
+def severity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = found(spark, sf_dir).groupBy("run_id", "severity").agg(F.count("*").alias("n_findings"), F.min("path").alias("first_path"))
+    return g.withColumn("icon", expr.icon(F.col("severity"))).withColumn("mark", expr.icon(F.col("severity"), markdown=True))
 
 
 # -- cache, prompts, models ---------------------------------------------------------------------------
@@ -324,12 +374,42 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(p, 256).alias("prompt_sha256"))
 
 
-@query(None)
-def replay_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a diff, asked of a replaying provider: redaction, prompts, calls, parsing."""
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a diff of one chunk."""
     path = F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py"))
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("run_id"), F.lit(0).alias("chunk_idx"), sections.added_diff(path, F.col("text")).alias("diff"), F.array(path).alias("files"))
-    answer = '[{"severity":"low","category":"docs","title":"seen","message":"m","suggestion":"","confidence":0.5,"path":"d.py","startLine":1,"endLine":2,"tags":[]}]'
-    asked = ask(requests_for(chunks, prompts.DIFF_SYSTEM, lambda d, f: prompts.prompt(d, f)), lambda label: Replay(default=answer), ["replay"], tasks=8)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("run_id"), F.lit(0).alias("chunk_idx"), sections.added_diff(path, F.col("text")).alias("diff"), F.array(path).alias("files"))
+
+
+ANSWER = '[{"severity":"low","category":"docs","title":"seen","message":"m","suggestion":"","confidence":0.5,"path":"d.py","startLine":1,"endLine":2,"tags":[]}]'
+
+
+@query(f"select cast(doc_id as varchar) as run_id, 0 as chunk_idx, 0 as ord, substr(sha256('d.py:seen:1'), 1, 16) as id, 'low' as severity, 'seen' as title, 'd.py' as path, 1 as start_line, 2 as end_line from documents")
+def replay_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, asked of a replaying provider: redaction, prompts, calls, parsing."""
+    asked = ask(requests_for(document_chunks(spark, sf_dir), prompts.DIFF_SYSTEM, lambda d, f: prompts.prompt(d, f)), lambda label: Replay(default=ANSWER), ["replay"])
     ok, _ = findings.parse_findings(asked.select("run_id", "chunk_idx", "content"))
     return ok.select("run_id", "chunk_idx", "ord", "id", "severity", "title", "path", "start_line", "end_line")
+
+
+class Faulty:
+    """Refuses every 13th document, answers junk to every 11th and again to every 22nd when asked to mend it."""
+
+    name = "faulty"
+
+    def review(self, request: Request) -> Response:
+        i = int(re.search(r"\bd(\d+)\b", request.user_prompt)[1])
+        if i % 13 == 0:
+            raise ProviderError("refused")
+        asked_again = not request.user_prompt.startswith("Review")
+        return Response(f"junk about d{i}" if i % (22 if asked_again else 11) == 0 else ANSWER)
+
+
+@query("""select cast(doc_id as varchar) as run_id, case when doc_id % 13 = 0 then 'ProviderError' when doc_id % 22 = 0 then 'InvalidAnswer' else 'none' end as error,
+  case when doc_id % 13 = 0 or doc_id % 22 = 0 then 0 else 1 end as n_findings from documents""")
+def review_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a provider that fails: what was refused, what was mended, what stayed invalid."""
+    asked = ask(requests_for(document_chunks(spark, sf_dir), prompts.DIFF_SYSTEM, lambda d, f: prompts.prompt(d, f)), lambda label: Faulty(), ["faulty"])
+    asked = materialize(asked, "answers")
+    ok, _ = findings.parse_findings(asked.where("error is null").select("run_id", "content"))
+    failed = errors_of(asked).select("run_id", F.substring_index("error", ":", 1).alias("error"), F.lit(0).alias("n_findings"))
+    return ok.groupBy("run_id").agg(F.count("*").cast("int").alias("n_findings")).select("run_id", F.lit("none").alias("error"), "n_findings").unionByName(failed)

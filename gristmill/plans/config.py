@@ -96,5 +96,16 @@ def set_field(key: str, value: str, path: str | None = None) -> dict:
     return held
 
 
+def init(path: str | None = None) -> str:
+    """Write the defaults where there is no file yet; the file's path."""
+    path = path or config_path()
+    if os.path.exists(path):
+        raise ValueError(f"{path} is there already")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(show(Config()) + "\n")
+    return path
+
+
 def show(config: Config) -> str:
     return json.dumps(asdict(config), indent=2)

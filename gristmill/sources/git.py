@@ -50,14 +50,19 @@ class GitSource:
     def __init__(self, spark: SparkSession, cwd: str = ".", context: int = 3, max_bytes: int = 500_000, include: list[str] = (), exclude: list[str] = ()):
         self.spark, self.cwd, self.context, self.max_bytes, self.include, self.exclude = spark, cwd, context, max_bytes, list(include), list(exclude)
 
-    def table(self, diff: str, mode: str, rev: str = "", files: list[str] | None = None) -> DataFrame:
-        row = self.spark.createDataFrame([(mode, diff, files, mode, rev, repo_meta(self.cwd) if mode != "snippet" else None)], DIFF)
+    def frame(self, rows: list[tuple[str, str, str, str]], files: list[str] | None = None) -> DataFrame:
+        """A diff per row (run_id, diff, mode, range), all in one plan; files: those of a single diff, if they are known."""
+        repo = None if rows and rows[0][2] == "snippet" else repo_meta(self.cwd)
+        table = self.spark.createDataFrame([(run, diff, files, mode, rev, repo) for run, diff, mode, rev in rows], DIFF)
         if files is None:
-            parts = sections.exclude_sections(sections.split_sections(row.select("run_id", "diff")), self.exclude)
+            parts = sections.exclude_sections(sections.split_sections(table.select("run_id", "diff")), self.exclude)
             kept = parts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("section_ord", "body"))).alias("s")).select("run_id", F.array_join("s.body", "").alias("kept"))
             files_of = sections.exclude_files(sections.diff_files(F.col("diff")), self.exclude)
-            row = row.withColumn("files", files_of).join(kept, "run_id", "left").withColumn("diff", F.coalesce("kept", F.lit(""))).drop("kept")
-        return row.withColumn("diff", sections.limit_diff(F.col("diff"), self.max_bytes)).select(*DIFF.names)
+            table = table.withColumn("files", files_of).join(kept, "run_id", "left").withColumn("diff", F.coalesce("kept", F.lit(""))).drop("kept")
+        return table.withColumn("diff", sections.limit_diff(F.col("diff"), self.max_bytes)).select(*DIFF.names)
+
+    def table(self, diff: str, mode: str, rev: str = "", files: list[str] | None = None) -> DataFrame:
+        return self.frame([(mode, diff, mode, rev)], files)
 
     def run(self, *args: str) -> str:
         return git("diff", *args, *diff_args(self.context, self.include), cwd=self.cwd)
@@ -68,13 +73,15 @@ class GitSource:
     def staged(self) -> DataFrame:
         return self.table(self.run("--cached"), "staged")
 
-    def commit(self, sha: str, parent: str = "") -> DataFrame:
+    def commit_diff(self, sha: str, parent: str = "") -> str:
         try:
-            diff = self.run(parent or f"{sha}~1", sha)
+            return self.run(parent or f"{sha}~1", sha)
         except GitError:
             # a first commit has no parent
-            diff = git("show", "--format=", sha, *diff_args(self.context, self.include), cwd=self.cwd)
-        return self.table(diff, "commit", sha)
+            return git("show", "--format=", sha, *diff_args(self.context, self.include), cwd=self.cwd)
+
+    def commit(self, sha: str, parent: str = "") -> DataFrame:
+        return self.table(self.commit_diff(sha, parent), "commit", sha)
 
     def range(self, rev: str, merge_base: bool = False) -> DataFrame:
         rev = range_of(rev, merge_base)
@@ -98,11 +105,9 @@ class GitSource:
 
     def per_commit(self, rev: str, merge_base: bool = False) -> DataFrame:
         """The diffs of all commits of a range as one table, run_id their sha, so that all are reviewed in one job."""
-        out = None
-        for c in self.commits(rev, merge_base).collect():
-            one = self.commit(c["sha"]).withColumn("run_id", F.lit(c["sha"])).withColumn("commit_ord", F.lit(c["commit_ord"]))
-            out = one if out is None else out.unionByName(one)
-        return out
+        found = self.commits(rev, merge_base)
+        diffs = self.frame([(c["sha"], self.commit_diff(c["sha"]), "commit", c["sha"]) for c in found.collect()])
+        return diffs.join(found.select(F.col("sha").alias("run_id"), "commit_ord"), "run_id")
 
     def files(self) -> DataFrame:
         """Tracked files (run_id, path, content, length), read by executors and filtered before content is looked at."""

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.functions import fixed
+
 
 class HostError(RuntimeError):
     def __init__(self, kind: str, status: int):
@@ -57,7 +59,7 @@ class Host:
 def parse_remote(url: str) -> tuple[str, str] | None:
     """owner and repository of one URL; functions.expr.repo_of_url does columns."""
     url = url.removesuffix(".git")
-    for form in (r"https?://[^/]+/([^/]+)/([^/.\s]+)", r"[^@]+@[^:]+:([^/]+)/([^/.\s]+)"):
+    for form in fixed.REMOTES:
         if m := re.search(form, url):
             return m[1], m[2]
     return None

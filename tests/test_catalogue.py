@@ -8,11 +8,6 @@ def test_query_equals_sql(same, name):
     same(catalogue.queries()[name], catalogue.oracle_sql()[name])
 
 
-def test_replay_review(spark):
-    rows = catalogue.replay_review(spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) == 200 and {r["title"] for r in rows} == {"seen"}
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 
