@@ -6,85 +6,95 @@ payload digest. A task that runs again writes another file; only files named by
 rows are ever read, so lost executors leave no wrong records behind.
 
 Reading: the index rows of the selected records are sorted by file and offset, neighbours closer
-than ``gap`` bytes are coalesced into ranges of at most ``range_bytes``, and each range is one read.
+than ``gap`` bytes are coalesced into ranges of at most ``range_bytes``, and each range is one read. There are as many tasks as ranges of
+the selected bytes.
+
+Records are WARC/1.1: a date, an own identifier (from the archive's name and the offset), a target URI, and for a revisit the target URI and date of what it
+refers to. A null URL and characters that a header can't hold have no place there: the target URI is then about:blank or percent-encoded, and an own
+header keeps the URL as it is (in base64), so that reading gives it back. Page ids are own headers too.
 
 Payloads: null is empty. Equal payloads of at least ``min_revisit`` bytes are stored once, by the
-smallest page_id (a null page_id counts as the largest); the others are revisit records. Repeated
-page_ids keep a record for each row. A null URL is written as an empty target URI and read as null.
+smallest page_id (a null page_id counts as the largest); the others are revisit records. Repeated rows and
+page_ids keep a record for each row. Payloads are held whole, one at a time when writing and a range when reading. An empty table gives an empty index, which
+reads as no records. Other columns of pages are not archived.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialize, shared_folder
+from gristmill.llm.common import materialize, open_store, shared_folder
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A join's side up to this many bytes is broadcast.
 BROADCAST_BYTES = 16 << 20
 
 
-def open_store(uri: str):
-    """File system and path for a URI of any store that pyarrow knows; a bare path is local."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-
-
-def clean(value: str) -> str:
-    return value.replace("\r", "%0D").replace("\n", "%0A")
+def clean(url: str) -> str:
+    """The URL as a header can hold it: printable ASCII, all else percent-encoded."""
+    return quote(url, safe="%!#$&'()*+,/:;=?@[]~-._")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: headers, HTTP head, and the payload unless it revisits another."""
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, first_url: str | None, name: str, date: str) -> bytes:
+    """One WARC/1.1 record: headers, HTTP head, and the payload unless it revisits another. name: what tells it from all other records."""
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {clean(url)}")
+    target = lambda u: clean(u) or "about:blank" if u is not None else "about:blank"
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target(url)}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
+    if page_id is not None:
+        head.append(f"Page-ID: {page_id}")
+    if url is not None and target(url) != url:
+        head.append(f"Page-URL: {base64.b64encode(url.encode()).decode()}")
+    if url == "about:blank":
+        head.append(f"Page-URL: {base64.b64encode(url.encode()).decode()}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To-Target-URI: {target(first_url)}", f"WARC-Refers-To-Date: {date}", f"WARC-Profile: {PROFILE}", f"Page-Refers-To: {refers_to}"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
 def parse(raw: bytes) -> dict:
     """The parts of one record; a payload that does not match its digest is an error."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if ": " in x)
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(http.rpartition(b"Content-Length: ")[2])
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload}
+    number = lambda x: None if x is None else int(x)
+    url = base64.b64decode(fields["Page-URL"]).decode() if "Page-URL" in fields else None if fields["WARC-Target-URI"] == "about:blank" else fields["WARC-Target-URI"]
+    return {"page_id": number(fields.get("Page-ID")), "url": url, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("Page-Refers-To")), "payload": payload}
 
 
-def plan_records(pages: DataFrame, min_revisit: int) -> DataFrame:
-    """pages (page_id, url, html) with size, digest and refers_to (null: a response of its own)."""
+def plan_records(pages: DataFrame, min_revisit: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """pages (page_id, url, html) with size, digest, refers_to (null: a response of its own) and first_url, the URL of what it refers to."""
     body = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html"), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest"))
-    groups = rows.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    shared = materialize(groups.where("n > 1 and first_id is not null").select("digest", "first_id"), "warc-shared")
-    if shared.count() * 120 <= BROADCAST_BYTES:
+    groups = rows.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min_by("url", F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first_url"), F.count("*").alias("n"))
+    shared = materialize(groups.where("n > 1 and first_id is not null").select("digest", "first_id", "first_url"), "warc-shared")
+    if (shared.agg(F.sum(F.coalesce(F.octet_length("first_url"), F.lit(0)) + 150)).first()[0] or 0) <= broadcast_bytes:
         shared = F.broadcast(shared)
     revisits = (F.col("first_id").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(shared, "digest", "left").select("page_id", "url", "html", "size", "digest", F.when(revisits, F.col("first_id")).alias("refers_to"))
+    return rows.join(shared, "digest", "left").select("page_id", "url", "html", "size", "digest", F.when(revisits, F.col("first_id")).alias("refers_to"), "first_url")
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, min_revisit: int = 100, level: int = 3) -> DataFrame:
-    """Write a record per row of pages; the index, as a table in the shared folder."""
+def write_warc(pages: DataFrame, folder: str | None = None, min_revisit: int = 100, level: int = 3, date: str = "", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Write a record per row of pages, dated date (now, if empty); the index, as a table in the shared folder."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     folder = folder or shared_folder(pages.sparkSession, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +109,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_revisit: int = 1
                     sink = store.open_output_stream(f"{at}/{name}", compression=None)
                 html = row["html"].encode()
                 pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-                member = pack.compress(record(row["page_id"], row["url"], html, row["size"], row["digest"], row["refers_to"])) + pack.flush()
+                member = pack.compress(record(row["page_id"], row["url"], html, row["size"], row["digest"], row["refers_to"], row["first_url"], f"{name}/{offset}", date)) + pack.flush()
                 sink.write(member)
                 out.append({"file": f"{folder}/{name}", "offset": offset, "length": len(member), "url": row["url"], "digest": row["digest"], "page_id": row["page_id"], "record_type": "response" if row["refers_to"] is None else "revisit"})
                 offset += len(member)
@@ -107,7 +117,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_revisit: int = 1
         if sink is not None:
             sink.close()
 
-    return materialize(plan_records(pages, min_revisit).mapInArrow(write, INDEX), "warc-index")
+    return materialize(plan_records(pages, min_revisit, broadcast_bytes).mapInArrow(write, INDEX), "warc-index")
 
 
 def read_warc(index: DataFrame, gap: int = 64 << 10, range_bytes: int = 4 << 20, with_payload: bool = False) -> DataFrame:
@@ -138,5 +148,6 @@ def read_warc(index: DataFrame, gap: int = 64 << 10, range_bytes: int = 4 << 20,
         if wanted:
             yield flush()
 
-    ranges = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / range_bytes)).sortWithinPartitions("file", "offset")
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // range_bytes))
+    ranges = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / range_bytes)).sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(fetch, schema)
