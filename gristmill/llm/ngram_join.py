@@ -11,7 +11,8 @@ prefix shingles as the smaller l of the two before its whole sets are compared.
    makes it a good one. Its size is constant, so it can be broadcast.
 2. *Prefixes*: a second pass hands prefix entries, packed, to buckets by shingle. A list of two classes gives
    that pair. A longer list gives its star: each class with the one whose shingles are the most common, as a source
-   that others were copied from.
+   that others were copied from. A shingle that the sketch counts over ``HOT_ENTRIES`` times has its list cut by the classes' hash into as many parts as
+   that takes, each with a star of its own, and the parts' centres form one more star: no list fills a task.
 3. *Verify*: a bitmap of each set, the parities of its shingles' counts by cell, bounds the difference of two sets from below and so
    rejects most pairs that don't link, and no others. A third pass writes the sets of the classes in the pairs left; pairs are
    joined with them and compared.
@@ -20,10 +21,12 @@ prefix shingles as the smaller l of the two before its whole sets are compared.
    shortest lists as it takes to meet all that share enough prefix shingles. A pair inside a component
    is not compared: it cannot change a component.
 
+Classes are told apart by 128 bits: where two sets share the 64 bits that name them, the second gets another name.
+
 So groups of copies cost in proportion to their rows, and components are exact (up to collisions of the
 hashes, of which 40 bits are compared: about 1e-6 for two documents of a thousand words). Nulls and texts without words have no shingles, link with nothing
-and are their own component; a null doc_id never names a component unless all its documents have null ids.
-Repeated rows are equal sets. Extra columns are not read.
+and are their own component; a null doc_id (or 2 ** 63 - 1, which counts as one) never names a component unless all its documents have null ids.
+Repeated rows are equal sets, an empty table gives an empty result, and texts are read whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,7 +48,9 @@ CHUNKS = 64
 #: Largest l, and the cost of comparing two sets in entries of prefix lists.
 MOST_SHARED, COMPARE_COST = 8, 8.0
 #: Prefix entries in a bucket, about, and those a task holds before it hands them on.
-BUCKET_ENTRIES, FLUSH_ENTRIES = 1_000_000, 1_000_000
+BUCKET_ENTRIES, FLUSH_ENTRIES, LEAST_BUCKETS = 1_000_000, 1_000_000, 32
+#: Entries of one shingle's list, about, that a bucket takes.
+HOT_ENTRIES = 20_000
 #: Bits of the filter that says which classes' sets are needed.
 FILTER_BITS = 1 << 24
 
@@ -106,6 +111,16 @@ def signature(own: np.ndarray) -> int:
     return int(mix(np.sum(mix(own + STEP), dtype=np.uint64, keepdims=True) + U(len(own))).view(np.int64)[0])
 
 
+def second_name(own: np.ndarray) -> int:
+    """64 more bits of the set."""
+    return int(mix(np.sum(mix(own ^ BACK), dtype=np.uint64, keepdims=True) ^ U(len(own))).view(np.int64)[0])
+
+
+def class_name(own: np.ndarray, renamed: dict[int, dict[int, int]]) -> int:
+    sig = signature(own)
+    return renamed[sig].get(second_name(own), sig) if sig in renamed else sig
+
+
 def cell(own: np.ndarray) -> np.ndarray:
     return (own >> U(64 - (CELLS - 1).bit_length())).astype(np.int64)
 
@@ -190,29 +205,30 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def profile(documents: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
-    """(doc_id, n, sig, bits) of all documents; the sketch's counts; their mean."""
+    """(doc_id, n, sig, sig2, bits) of all documents; the sketch's counts; their mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "n", "sig", "bits", "chunk", "counts"]
+        names = ["doc_id", "n", "sig", "sig2", "bits", "chunk", "counts"]
         some = False
         for batch in batches:
-            n, sig, bits = [], [], []
+            n, sig, sig2, bits = [], [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py())
                 n.append(len(own))
                 sig.append(signature(own) if len(own) else None)
+                sig2.append(second_name(own) if len(own) else None)
                 bits.append(parities(own) if len(own) else None)
                 np.add.at(counts, cell(own), 1)
                 some = some or len(own) > 0
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if some:
             size = CELLS // CHUNKS
             packed = [zlib.compress(planes(counts[i * size : (i + 1) * size]), 1) for i in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(CHUNKS, pa.int64())] * 4, pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long, bits binary, chunk int, counts binary")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long, sig2 long, bits binary, chunk int, counts binary")
     rows = materialize(rows, "shingle-profile")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,14 +242,28 @@ def profile(documents: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
     counts = np.zeros(CELLS, np.uint32)
     for r in parts:
         counts[r["chunk"] * (CELLS // CHUNKS) :][: CELLS // CHUNKS] = np.frombuffer(r["counts"], np.uint32)
-    return rows.where("chunk is null").select("doc_id", "n", "sig", "bits"), counts, float(counts.mean())
+    return rows.where("chunk is null").select("doc_id", "n", "sig", "sig2", "bits"), counts, float(counts.mean())
+
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, dict[int, dict[int, int]]]:
+    """docs with sets that share a sig under names of their own; by sig and sig2 what was renamed (of n sets about n * n / 2 ** 65)."""
+    twice = docs.where("n > 0").groupBy("sig").agg(F.min("sig2").alias("lo"), F.max("sig2").alias("hi")).where("lo <> hi").select("sig", "lo")
+    twice = materialize(twice, "shingle-names")
+    if twice.isEmpty():
+        return docs.drop("sig2"), {}
+    others = docs.join(twice, "sig").where("sig2 <> lo").select("sig", "sig2").distinct().withColumn("name", F.xxhash64("sig", "sig2"))
+    renamed: dict[int, dict[int, int]] = {}
+    for r in others.collect():
+        renamed.setdefault(r["sig"], {})[r["sig2"]] = r["name"]
+    docs = docs.join(others, ["sig", "sig2"], "left").withColumn("sig", F.coalesce("name", "sig")).drop("name", "sig2")
+    return materialize(docs.select("doc_id", "n", "sig", "bits"), "shingle-profile"), renamed
 
-def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries: int) -> DataFrame:
-    """Rows of kind 'pair' (a, b, shared: shingles of one bucket that only these two have in their prefixes), 'star' (a, b: one is the pivot) and 'entry' (class a in the longer list of shingle b); n: sizes, l: shares."""
+
+def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries: int, renamed: dict[int, dict[int, int]], hot_entries: int) -> DataFrame:
+    """Rows of kind 'pair' (a, b, shared: shingles of one bucket that only these two have in their prefixes), 'star' (a, b: one is the pivot), 'entry' (class a in the longer list of shingle b) and 'centre' (class a is the pivot of a part of the list of shingle b; shared: how common its shingles are); n: sizes, l: shares."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(counts)  # CELLS numbers
-    buckets = max(16, -(-entries // BUCKET_ENTRIES))
+    buckets = max(LEAST_BUCKETS, -(-entries // BUCKET_ENTRIES))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -244,21 +274,37 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
             at = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[0]) for h in held])
             docs = np.array([(h[1], h[2], h[3]) for h in held], np.int64)
             bucket = (tokens % U(buckets)).astype(np.int64)
+            parts = sent.value[cell(tokens)] // hot_entries
+            hot = np.flatnonzero(parts)
+            part = docs[at[hot], 0].view(np.uint64) % (parts[hot].astype(np.uint64) + U(1))
+            home = bucket[hot]
+            # parts of long lists go to buckets of their own numbers, below 0
+            bucket[hot] = -1 - ((mix(tokens[hot] + part * STEP)) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = []
+
+            def add(b: int, own: np.ndarray, homes: bytes | None) -> None:
+                who, times = np.unique(at[own], return_counts=True)  # at[own] ascends
+                rows.append((b, five(tokens[own]), planes(times), docs[who, 0].tobytes(), planes(docs[who, 1]), planes(docs[who, 2]), homes))
+
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in range(buckets):
                 if len(own := order[cuts[b] : cuts[b + 1]]):
-                    who, times = np.unique(at[own], return_counts=True)  # at[own] ascends
-                    rows.append((b, five(tokens[own]), planes(times), docs[who, 0].tobytes(), planes(docs[who, 1]), planes(docs[who, 2])))
+                    add(b, own, None)
+            where = np.full(len(tokens), 0, np.uint64)
+            which = where.copy()
+            where[hot], which[hot] = home.astype(np.uint64), part
+            for b in np.unique(bucket[hot]):
+                own = np.sort(hot[bucket[hot] == b])
+                add(int(b), own, (where[own] | which[own] << U(32)).tobytes())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], ["bucket", "tokens", "times", "sigs", "sizes", "shares"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], ["bucket", "tokens", "times", "sigs", "sizes", "shares", "homes"])
 
         n = 0
         for batch in batches:
             for text in batch.column(0):
                 own = shingles(text.as_py())
-                if not len(own) or (sig := signature(own)) in seen:
+                if not len(own) or (sig := class_name(own, renamed)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sig)
@@ -272,21 +318,23 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
             yield flush()
 
     def lists(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, sigs, sizes, shares = [], [], [], []
-        # the lower bytes, which aren't sent, give way to the bucket
-        bucket = U(pdf["bucket"].iloc[0])
-        for own, times, sig, size, common in zip(pdf["tokens"], pdf["times"], pdf["sigs"], pdf["sizes"], pdf["shares"]):
+        tokens, sigs, sizes, shares, parts = [], [], [], [], []
+        # the lower bytes, which aren't sent, give way to the bucket (of a part of a long list: the bucket of the whole one)
+        bucket = int(pdf["bucket"].iloc[0])
+        for own, times, sig, size, common, home in zip(pdf["tokens"], pdf["times"], pdf["sigs"], pdf["sizes"], pdf["shares"], pdf["homes"]):
             times = from_planes(times)
-            tokens.append(from_five(own) | bucket)
+            home = np.frombuffer(home, np.uint64) if bucket < 0 else np.full(len(own) // 5, bucket, np.uint64)
+            tokens.append(from_five(own) | home & U(0xFFFFFFFF))
+            parts.append(home >> U(32))
             sigs.append(np.repeat(np.frombuffer(sig, np.int64), times))
             sizes.append(np.repeat(from_planes(size).astype(np.int64), times))
             shares.append(np.repeat(from_planes(common).astype(np.int64), times))
-        t, s, n, share = (np.concatenate(x) for x in (tokens, sigs, sizes, shares))
-        order = np.lexsort((s, t))
-        t, s, n, share = t[order], s[order], n[order], share[order]
-        once = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
-        t, s, n, share = t[once], s[once], n[once], share[once]
-        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        t, s, n, share, part = (np.concatenate(x) for x in (tokens, sigs, sizes, shares, parts))
+        order = np.lexsort((s, part, t))
+        t, s, n, share, part = t[order], s[order], n[order], share[order], part[order]
+        once = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]  # a class is in one part of a list
+        t, s, n, share, part = t[once], s[once], n[once], share[once], part[once]
+        first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (part[1:] != part[:-1])])
         length = np.diff(np.r_[first, len(t)])
         common, share = share >> 4, share & 15
         out = []
@@ -296,18 +344,20 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
                 out.append(pd.DataFrame({"kind": kind, "a": a, "b": b, "shared": shared, "na": n[i], "nb": n[j], "la": share[i], "lb": share[j]}))
 
         # s is sorted inside a list, so a < b
-        i = first[length == 2]
+        i = first[length == 2] if bucket >= 0 else first[:0]
         order = np.lexsort((s[i + 1], s[i]))
         i = i[order]
         new = np.flatnonzero(np.r_[True, (s[i][1:] != s[i][:-1]) | (s[i + 1][1:] != s[i + 1][:-1])]) if len(i) else i
         rows("pair", s[i[new]], s[i[new] + 1], np.diff(np.r_[new, len(i)]), i[new], i[new] + 1)
-        big = np.repeat(length > 2, length)
+        big = np.repeat((length > 2) | (bucket < 0), length)
         if big.any():
             at = np.flatnonzero(big)
             rows("entry", s[at], t[at].view(np.int64), 0, at, at)
             top = np.maximum.reduceat(common, first)
             is_top = common == np.repeat(top, length)
             pivot = np.minimum.reduceat(np.where(is_top, np.arange(len(t)), len(t)), first)
+            if bucket < 0:
+                rows("centre", s[pivot], t[pivot].view(np.int64), common[pivot], pivot, pivot)
             p = np.repeat(pivot, length)[at]
             near = (p != at) & (4 * np.minimum(n[at], n[p]) >= 3 * np.maximum(n[at], n[p]))
             lo, hi = np.minimum(at, p)[near], np.maximum(at, p)[near]
@@ -316,7 +366,7 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
         names = ["kind", "a", "b", "shared", "na", "nb", "la", "lb"]
         return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series([], dtype=object if c == "kind" else "int64") for c in names})
 
-    packed = documents.select("text").mapInArrow(emit, "bucket int, tokens binary, times binary, sigs binary, sizes binary, shares binary")
+    packed = documents.select("text").mapInArrow(emit, "bucket int, tokens binary, times binary, sigs binary, sizes binary, shares binary, homes binary")
     return packed.groupBy("bucket").applyInPandas(lists, "kind string, a long, b long, shared long, na long, nb long, la long, lb long")
 
 
@@ -343,7 +393,7 @@ def likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(compare, "a long, b long"), "shingle-pairs")
 
 
-def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, renamed: dict[int, dict[int, int]]) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets link. Their sets are made again from each class's smallest document.
 
     The class with more partners (a pivot) becomes b, so that few sets travel on that side. A bit filter for either
@@ -368,7 +418,7 @@ def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> Data
                 own = [(int(i), shingles(texts[int(i)].as_py())) for i in hit[k : k + 256]]
                 own = [(i, x) for i, x in own if len(x)]
                 at = np.array([i for i, _ in own], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py() for i, _ in own], pa.int64()), pa.array([signature(x) for _, x in own], pa.int64()), pa.array([packed(x) for _, x in own], pa.binary()), *[pa.array(side[at]) for side in sides]], ["doc_id", "sig", "own", "is_a", "is_b"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py() for i, _ in own], pa.int64()), pa.array([class_name(x, renamed) for _, x in own], pa.int64()), pa.array([packed(x) for _, x in own], pa.binary()), *[pa.array(side[at]) for side in sides]], ["doc_id", "sig", "own", "is_a", "is_b"])
 
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     made = documents.select(doc_id.alias("doc_id"), F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("spot"), "text").mapInArrow(sets, "doc_id long, sig long, own binary, is_a boolean, is_b boolean")
@@ -413,14 +463,21 @@ def must_share(na: str, nb: str, la: str, lb: str) -> Column:
     return F.expr(f"greatest(least({la}, {lb}), {whole} - greatest((3 * {na} + 3) div 4 - {la}, (3 * {nb} + 3) div 4 - {lb}))")
 
 
-def jaccard_components(documents: DataFrame) -> DataFrame:
+def jaccard_components(documents: DataFrame, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of documents."""
     docs, counts, noise = profile(documents)
+    docs, renamed = told_apart(docs)
     classes = materialize(docs.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("bits").alias("bits")), "shingle-classes")
     entries = classes.agg(F.sum(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 2).alias("e")).first()["e"] or 0
-    found = materialize(prefix_lists(documents, counts, noise, int(entries)), "prefix-lists")
+    found = materialize(prefix_lists(documents, counts, noise, int(entries), renamed, hot_entries), "prefix-lists")
     entries = found.where("kind = 'entry'").select(F.col("b").alias("token"), F.col("a").alias("sig"), F.col("na").alias("n"), F.col("la").alias("l"))
-    stars = found.where("kind = 'star'").select("a", "b", "na", "nb", "la", "lb").distinct().withColumn("shared", F.lit(None).cast("long"))
+    stars = found.where("kind = 'star'").select("a", "b", "na", "nb", "la", "lb")
+    # the centres of a list's parts, few for each shingle, and the most common of them
+    centres = found.where("kind = 'centre'").select(F.col("b").alias("token"), F.struct(F.col("a").alias("s"), F.col("na").alias("n"), F.col("la").alias("l")).alias("x"), "shared")
+    tops = centres.groupBy("token").agg(F.max_by("x", F.struct("shared", "x.s")).alias("y"))
+    ends = centres.join(tops, "token").where("x.s <> y.s and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    stars = stars.unionByName(ends.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.l").alias("la"), F.col("y.l").alias("lb")))
+    stars = stars.distinct().withColumn("shared", F.lit(None).cast("long"))
     twos = found.where("kind = 'pair'").groupBy("a", "b", "na", "nb", "la", "lb").agg(F.sum("shared").alias("shared"))
     # a class's shingles in longer lists, as short hashes (collisions only raise what two seem to share), and how many it has in lists of two
     longer = entries.groupBy("sig").agg(F.collect_set(F.expr("cast(hash(token) % 32768 as smallint)")).alias("own"), F.count("*").alias("k"))
@@ -431,14 +488,15 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     pairs = pairs.join(held.toDF("a", "own_a", "ka", "sa"), "a").join(held.toDF("b", "own_b", "kb", "sb"), "b")
     met = F.size(F.array_intersect("own_a", "own_b")) + F.greatest(F.col("ka") - F.size("own_a"), F.col("kb") - F.size("own_b")) + F.col("shared")
     pairs = materialize(pairs.where(met >= must_share("na", "nb", "la", "lb")).select("a", "b"), "shingle-pairs")
-    links = verified(documents, classes, pairs)
+    links = verified(documents, classes, pairs, renamed)
     comps = components(links)
 
     # of two components the smaller one's classes look for the larger one's
     sized = comps.join(comps.groupBy("comp").agg(F.count("*").alias("w")), "comp").select(F.col("node").alias("sig"), "comp", "w")
     left = entries.join(sized, "sig", "left").withColumn("comp", F.struct(F.coalesce("w", F.lit(1)).alias("w"), F.coalesce("comp", "sig").alias("c"))).drop("w")
     lists = left.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("major"), F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("l").alias("ll")).where("least <> major").drop("least")
-    left = left.join(lists, "token")
+    # as a table of its own, so that the join with it can split a shingle that very many classes have
+    left = left.join(materialize(lists, "shingle-open"), "token")
     left, sizes = left.drop("major", "size", "lo", "hi", "ll"), left
     # of k open lists, a class that must share m shingles with any partner in them meets each in any k - m + 1: the shortest serve.
     # must_share rises and then falls with the partner's size, so its least value lies at the ends of the list's sizes (2 off for rounding)
@@ -451,7 +509,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     every = every.withColumn("i", F.row_number().over(own.orderBy(F.desc("seeks"), "size", "token")))
     every = materialize(every.withColumn("seeks", F.expr("seeks and i <= k - greatest(m, 1) + 1")).select(*left.columns, "seeks"), "open-lists")
     minor = every.where("seeks").drop("seeks")
-    left = every.drop("seeks").join(minor.select("token").distinct(), "token", "left_semi")
+    left = every.drop("seeks").join(materialize(minor.select("token").distinct(), "shingle-sought"), "token", "left_semi")
     x, y = minor.join(held, "sig").alias("x"), left.join(held, "sig").alias("y")
     both = F.array_intersect("x.own", "y.own")
     lacks = F.greatest(F.col("x.k") - F.size("x.own"), F.col("y.k") - F.size("y.own"))
@@ -461,7 +519,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     more = x.join(y, met).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
     if not more.isEmpty():
-        new = verified(documents, classes, more)
+        new = verified(documents, classes, more, renamed)
         if not new.isEmpty():
             comps = components(links.union(new))
 
