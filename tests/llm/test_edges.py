@@ -146,26 +146,82 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), []).count() == 0
 
 
+def test_urls_without_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x", "k", "v")], "page_id long, url string, keys string, best string")
+    assert url_filter.filter_urls(pages, []).collect()[0].asDict() == {"page_id": 1, "url": "http://a.com/x", "keys": "k", "best": "v", "host": "a.com", "path": "/x", "rule": None, "verdict": "allow"}
+    assert url_filter.filter_urls(pages, [("block", "com", "/x"), ("block", "com", "/x")]).first()["verdict"] == "block"
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(pages, [("block", "com", "/x"), ("allow", "com", "/x")])
+
+
+@pytest.mark.parametrize("max_bytes", [8 << 20, 60])
+def test_urls_by_brute_force(spark, max_bytes):
+    """A long list in one part and in many."""
+    random.seed(2)
+    hosts = [f"h{i % 9}.d{i % 31}.{t}" for i in range(120) for t in ("com", "org")] + ["com", "d3.org", "x" * 3000 + ".com"]
+    rules = list({(h, p): (random.choice(["block", "allow"]), h, p) for h in random.sample(hosts, 90) for p in random.sample(["", "/a", "/a/b", "/c/"], 2)}.values())
+    urls = [f"http://{random.choice(['', 'w.'])}{random.choice(hosts)}{random.choice(['', '/', '/a', '/a/b/c', '/c/d?e'])}" for _ in range(300)]
+
+    def want(url):
+        rest = url.split("://", 1)[1]
+        host = rest.split("/")[0].split("?")[0]
+        path = rest[len(host) :].split("?")[0]
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, "allow")
+
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, max_bytes=max_bytes).collect()
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in rows} == {i: want(u) for i, u in enumerate(urls)}
+
+
 def test_cascade_is_exact(spark):
-    keys = spark.range(3000).select(F.col("id").cast("string").alias("key"))
-    listed, others = keys.where("key < '2'"), keys.where("key >= '2'")
-    c = url_filter.build_cascade(listed, others, bits_per_key=2, hashes=1)
-    assert len(c.levels) > 2 and keys.where(c.contains(F.col("key")) != (F.col("key") < "2")).count() == 0
+    keys = spark.range(3000).select(F.col("id").cast("string").alias("key"), url_filter.hashed(F.col("id").cast("string")).alias("k")).select("key", "k.h", "k.g")
+    listed = keys.where("key < '2'").select("h", "g")
+    c = url_filter.build_cascade(listed, keys.select("h", "g"), bits_per_key=2, hashes=1)
+    rows = keys.collect()
+    h, g = (np.array([r[x] for r in rows], np.int64).view(np.uint64) for x in ("h", "g"))
+    assert len(c.levels) > 2 and c.contains(h, g).tolist() == [r["key"] < "2" for r in rows]
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("limit", [warc.BROADCAST_BYTES, 0])
+def test_warc(spark, limit):
     big = "é" * 200
-    p = [(3, "http://a/", big), (1, None, big), (2, "http://b/\r\nX: y", big), (4, "", None), (5, "u", "short"), (6, "u", "short"), (None, "u", big), (7, "u", "x" * 300_000), (5, "u", "short")]
-    index = warc.write_warc(spark.createDataFrame(p, "page_id long, url string, html string").repartition(3))
-    rows = warc.read_warc(index, with_payload=True).collect()
+    p = [(3, "http://a/", big), (1, None, big), (2, "http://b/\r\nX: y", big), (4, "", None), (5, "u", "short"), (6, "about:blank", "short"), (None, "http://ü/%0D a", big), (7, "u", "x" * 300_000), (5, "u", "short"), (5, "u", "short")]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in p], "page_id long, url string, html string, digest string, size string")
+    index = warc.write_warc(frame.repartition(3), broadcast_bytes=limit)
+    rows = warc.read_warc(index, range_bytes=500, with_payload=True).collect()
     assert len(rows) == len(p) and {(r["page_id"], r["record_type"], r["refers_to"]) for r in rows} == {(1, "response", None), (2, "revisit", 1), (3, "revisit", 1), (None, "revisit", 1), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None)}
     want = {i: hashlib.sha256((h or "").encode()).hexdigest() for i, _, h in p}
     assert all(r["payload_digest"] == want[r["page_id"]] for r in rows)
+    assert sorted(map(str, ((r["page_id"], r["url"]) for r in rows))) == sorted(map(str, ((i, u) for i, u, _ in p)))
     one = warc.read_warc(index.where("page_id = 7"), with_payload=True).collect()
     assert len(one) == 1 and len(one[0]["payload"]) == 300_000
     assert warc.read_warc(warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_archives_are_warc(spark, tmp_path):
+    """What the standard asks of every record, read without our index."""
+    import gzip
+    import re
+
+    big = "x" * 150
+    rows = [(1, "http://a/", big), (2, None, big), (None, "http://é/", "short"), (1, "http://a/", big)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), "file://" + str(tmp_path), date="2024-01-02T03:04:05Z")
+    data = b"".join(gzip.open(f).read() for f in tmp_path.iterdir())
+    ids, at = [], 0
+    while at < len(data):
+        head, _, _ = data[at:].partition(b"\r\n\r\n")
+        lines = head.decode("ascii").split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        assert lines[0] == "WARC/1.1" and fields["WARC-Date"] == "2024-01-02T03:04:05Z" and fields["WARC-Type"] in ("response", "revisit")
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["WARC-Record-ID"]) and ":" in fields["WARC-Target-URI"]
+        if fields["WARC-Type"] == "revisit":
+            assert fields["WARC-Profile"] == warc.PROFILE and fields["WARC-Refers-To-Target-URI"] == "http://a/" and fields["WARC-Refers-To-Date"]
+        ids.append(fields["WARC-Record-ID"])
+        at += len(head) + 4 + int(fields["Content-Length"]) + 4
+        assert data[at - 4 : at] == b"\r\n\r\n"
+    assert at == len(data) and len(set(ids)) == len(rows)
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(3, 1), (4, 1), (99, 1), (None, 1), (5, None)], "doc_id long, quality int")
     rows = quality.quality_filter(docs, labels).collect()
