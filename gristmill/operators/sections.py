@@ -71,7 +71,7 @@ def added_diff(path: Column, content: Column) -> Column:
 
 
 def budget_prefix(files: DataFrame, max_bytes: int, size: str, order: str, run: str = "run_id") -> DataFrame:
-    """Each run's files in order up to the first that exceeds the budget; that one and all after it go."""
+    """Each run's files in order up to the first that exceeds the budget; that one and all after it go. One task a run, as the order is the run's."""
     upto = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return files.withColumn("bytes_so_far", F.sum(size).over(upto)).where(F.col("bytes_so_far") <= max_bytes)
 

@@ -1,9 +1,10 @@
-"""Command line: review <unstaged|staged|commit|range|snippet|codebase>, pr <number>, config, cache, models, version."""
+"""Command line: review <unstaged|staged|commit|range|snippet|codebase>, pr <number>, config, cache, models, hook, version."""
 
 from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 import time
 import uuid
@@ -76,6 +77,11 @@ def parser() -> argparse.ArgumentParser:
     models.add_argument("action", choices=["list", "doctor"])
     for name in ("provider", "model"):
         models.add_argument(f"--{name}", default="")
+    hook = sub.add_parser("hook")
+    hook.add_argument("action", choices=["install", "uninstall"])
+    hook.add_argument("--fail-on", default="high")
+    hook.add_argument("--format", default="text")
+    hook.add_argument("--max-findings", type=int, default=50)
     sub.add_parser("version")
     return top
 
@@ -227,6 +233,35 @@ def run_config(args: argparse.Namespace) -> int:
     return Exit.OK
 
 
+#: Our part of a pre-commit hook.
+HOOK = re.compile(r"# gristmill begins\n.*?# gristmill ends\n", re.DOTALL)
+
+
+def run_hook(args: argparse.Namespace) -> int:
+    """Put a review of what is staged into the pre-commit hook, or take it out; what else the hook does stays. Findings stop a commit, failures don't."""
+    from gristmill.sources.git import git
+
+    path = os.path.join(git("rev-parse", "--git-dir").strip(), "hooks", "pre-commit")
+    rest = ""
+    if os.path.exists(path):
+        with open(path) as f:
+            rest = HOOK.sub("", f.read())
+    if args.action == "uninstall" and rest.strip() in ("", "#!/bin/sh"):
+        if os.path.exists(path):
+            os.remove(path)
+        return Exit.OK
+    if args.action == "install":
+        call = f"{sys.executable} -m gristmill.plans.cli review staged --fail-on {args.fail_on} --format {args.format} --max-findings {args.max_findings}"
+        rest = rest or "#!/bin/sh\n"
+        rest += "" if rest.endswith("\n") else "\n"
+        rest += f"# gristmill begins\n{call}\nfound=$?\nif [ $found -eq {Exit.FINDINGS:d} ]; then exit 1; fi\nif [ $found -ne 0 ]; then echo 'not reviewed' >&2; fi\n# gristmill ends\n"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(rest)
+    os.chmod(path, 0o755)
+    return Exit.OK
+
+
 def run_cache(args: argparse.Namespace, outside: Outside) -> int:
     from pyspark.sql import functions as F
 
@@ -250,7 +285,7 @@ def main(argv: list[str] | None = None, outside: Outside | None = None) -> int:
         args = parser().parse_args(argv)
     except SystemExit as e:
         return Exit.USAGE if e.code else Exit.OK
-    runs = {"review": lambda: run_review(args, outside), "pr": lambda: run_pull(args, outside), "config": lambda: run_config(args), "models": lambda: run_models(args, outside), "cache": lambda: run_cache(args, outside), "version": lambda: print("gristmill 0") or Exit.OK}
+    runs = {"review": lambda: run_review(args, outside), "pr": lambda: run_pull(args, outside), "config": lambda: run_config(args), "models": lambda: run_models(args, outside), "cache": lambda: run_cache(args, outside), "hook": lambda: run_hook(args), "version": lambda: print("gristmill 0") or Exit.OK}
     try:
         return runs[args.command]()
     except (KeyError, ValueError) as e:

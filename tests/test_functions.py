@@ -71,7 +71,11 @@ def test_sections(spark):
     assert kept == 2
 
 
-def test_packing_matches_a_loop(spark):
+@pytest.mark.parametrize("fold", [10_000, 3])
+def test_packing_matches_a_loop(spark, fold, monkeypatch):
+    from gristmill.operators import pack as whole_or_walked
+
+    monkeypatch.setattr(whole_or_walked, "FOLD_SECTIONS", fold)
     random.seed(1)
     sizes = [random.randint(0, 40) for _ in range(200)]
     got = value(spark, pack.chunk_numbers(F.array(*[F.lit(s) for s in sizes]), 50))

@@ -223,6 +223,33 @@ def test_config_and_models(work, capsys):
     assert work.run("models", "doctor", answers=[p.AuthError("no")]) == cli.Exit.AUTH and work.run("models", "doctor", answers=[p.ProviderError("no")]) == cli.Exit.RUNTIME
 
 
+def test_hook(work, tmp_path):
+    path = tmp_path / ".git/hooks/pre-commit"
+    path.parent.mkdir(exist_ok=True)
+    for before in (None, "#!/bin/sh\necho mine"):
+        if before:
+            path.write_text(before)
+        assert work.run("hook", "install") == cli.Exit.OK and work.run("hook", "install", "--fail-on", "low") == cli.Exit.OK
+        text = path.read_text()
+        assert text.count("review staged") == 1 and "--fail-on low" in text and text.startswith(before or "#!/bin/sh\n") and path.stat().st_mode & 0o100
+        assert work.run("hook", "uninstall") == cli.Exit.OK and (path.read_text().strip() == before if before else not path.exists())
+
+
+def test_entry_warns_without_the_training_data_operators(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "gristmill.llm", None)
+    monkeypatch.delitem(sys.modules, "gristmill.llm.queries", raising=False)
+    with pytest.warns(UserWarning, match="no training-data operators"):
+        importlib.reload(e)
+    assert e.queries() and not any(q.startswith("op") for q in e.queries())
+    monkeypatch.undo()
+    importlib.reload(e)
+
+
 def test_cli():
     assert cli.main(["review", "nothing"]) == cli.Exit.USAGE and cli.main(["version"]) == cli.Exit.OK
 
