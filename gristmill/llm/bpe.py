@@ -8,8 +8,9 @@ back. Each position is given up at most once, so the work is linear in the piece
 that of the merges themselves.
 
 Pieces recur, so a bounded memo holds the finished ids of short ones. Nulls are empty texts; an
-empty text has no ids. Very long pieces need no more than linear time and memory. Lone surrogates
-cannot occur in Spark strings. Extra columns pass through unchanged.
+empty text has no ids. Texts and pieces of any length are encoded whole and need no more than linear time and memory. Lone surrogates
+cannot occur in Spark strings. Of merges with equal rank the leftmost is done first. Repeated rows and ids are encoded each, an empty table gives an empty
+result. Other columns pass through encode and decode, but for ids, n_tokens and decoded, which are replaced; encode_digests reads only doc_id and text.
 """
 
 from __future__ import annotations
