@@ -5,12 +5,13 @@ Signals of a text are compared with cutoffs that a labelled holdout has to justi
 over the t-th cutoff of any signal in use there, so rules grow stricter with t. k_t of the n labelled good documents
 would be rejected by it. If it rejected good documents at a rate above ``risk``, so few would be seen with a
 probability of at most P(Binomial(n, risk) <= k_t); the level is valid when this exact bound is at most ``delta`` over the
-number of strata (Bonferroni). Levels are tested from mild to strict and testing ends at the first that is not valid
+number of strata and of sets of signals (Bonferroni). Levels are tested from mild to strict and testing ends at the first that is not valid
 (a fixed sequence needs no further correction). The last valid level applies, none where the first one fails. So
 with probability 1 - delta no stratum loses more than ``risk`` of its good documents.
 
 A signal is in use in a stratum if its strictest cutoff catches at least ``CATCH`` of the documents labelled bad
-there. That choice sees no good document, so the bounds stay exact, and signals that find nothing spend no risk.
+there, and its mildest at most ``risk`` of the good ones: one that finds nothing or tells nothing apart does not hold up the others. As
+every set of signals has its share of delta, that choice may look at the same labels.
 
 Nulls and ties: a null text has no words; a null language is the stratum ''. A document is a doc_id: it counts once,
 as good only if all its labels say so, and as rejected if any row of that id would be. Null ids and null labels
@@ -41,6 +42,8 @@ SIGNALS = {
     "capitals": ("100 * n_capitals > {c} * word_chars", [90, 80, 70, 60, 50, 40, 30]),
 }
 LEVELS = 7
+#: Sets of signals that may be in use.
+SETS = 2 ** len(SIGNALS) - 1
 #: Strata up to this many rows of cutoffs are broadcast.
 MAX_BROADCAST_STRATA = 10_000
 COUNTED = ["n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -108,14 +111,16 @@ def level_of(signal: str) -> Column:
 def cutoffs(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """stratum, use_{signal} and level (the last valid one, null if there is none) from a row per labelled document: stratum, good, lv_{signal}."""
     labelled = materialize(labelled, "quality-labelled")
-    used = [(F.count_if(~F.col("good") & (F.col(f"lv_{s}") < LEVELS)) >= F.greatest(F.count_if(~F.col("good")) * CATCH, F.lit(1))).alias(f"use_{s}") for s in SIGNALS]
+    catches = lambda s: F.count_if(~F.col("good") & (F.col(f"lv_{s}") < LEVELS)) >= F.greatest(F.count_if(~F.col("good")) * CATCH, F.lit(1))
+    spares = lambda s: F.count_if(F.col("good") & (F.col(f"lv_{s}") == 0)) <= F.count_if("good") * risk
+    used = [(catches(s) & spares(s)).alias(f"use_{s}") for s in SIGNALS]
     used = materialize(labelled.groupBy("stratum").agg(F.count_if("good").alias("n"), *used).where("n > 0"), "quality-signals-used")
     strata = max(1, used.count())
     own = F.least(F.lit(LEVELS), *[F.when(F.col(f"use_{s}"), F.col(f"lv_{s}")) for s in SIGNALS])
     good = labelled.where("good").join(small(used.drop("n"), strata), "stratum").withColumn("own", own)
     per = materialize(good.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col("own") <= t).alias(f"k_{t}") for t in range(LEVELS)]), "quality-counts")
     # k_t grows with t, so the levels before a valid one are valid too
-    level = F.coalesce(*[F.when(binomial_tail(F.col(f"k_{t}"), F.col("n"), risk) <= delta / strata, F.lit(t)) for t in range(LEVELS - 1, -1, -1)])
+    level = F.coalesce(*[F.when(binomial_tail(F.col(f"k_{t}"), F.col("n"), risk) <= delta / (strata * SETS), F.lit(t)) for t in range(LEVELS - 1, -1, -1)])
     return used.drop("n").join(per.select("stratum", level.alias("level")), "stratum")
 
 

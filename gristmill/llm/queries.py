@@ -150,7 +150,7 @@ def sql_quality(risk: float = 0.05, delta: float = 0.05) -> str:
     """The signals by brute force; the bound by a sum of binomial terms."""
     n = quality.LEVELS
     level = {s: " + ".join(f"case when {rule.format(c=c)} then 0 else 1 end" for c in grid) for s, (rule, grid) in quality.SIGNALS.items()}
-    used = ", ".join(f"count(*) filter (where y = 0 and lv_{s} < {n}) >= greatest(count(*) filter (where y = 0) * {quality.CATCH}, 1) as use_{s}" for s in level)
+    used = ", ".join(f"count(*) filter (where y = 0 and lv_{s} < {n}) >= greatest(count(*) filter (where y = 0) * {quality.CATCH}::double, 1) and count(*) filter (where y = 1 and lv_{s} = 0) <= count(*) filter (where y = 1) * {risk}::double as use_{s}" for s in level)
     own = ", ".join(f"case when use_{s} then lv_{s} end" for s in level)
     bad = " or ".join(f"coalesce(use_{s} and lv_{s} <= level, false)" for s in level)
     return f"""
@@ -164,7 +164,7 @@ lab as (select q.*, y from q join (select doc_id, min(quality) as y from labels
 u as (select stratum, {used} from lab group by 1 having count(*) filter (where y = 1) > 0),
 g as (select lab.stratum, least({n}, {own}) as own from lab join u on u.stratum = lab.stratum where y = 1),
 k as (select g.stratum, t, count(*) as n, count(*) filter (where own <= t) as k from g, range({n}) as r(t) group by 1, 2),
-ok as (select stratum, t from k where k < n * {risk} and list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) <= {delta} / (select count(*) from u)),
+ok as (select stratum, t from k where k < n * {risk} and list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) <= {delta} / ((select count(*) from u) * {quality.SETS})),
 c as (select stratum, max(t) as level from ok group by 1),
 j as (select q.*, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, {bad} as bad from q left join u on u.stratum = q.stratum left join c on c.stratum = q.stratum)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not bad as kept from j"""

@@ -244,3 +244,27 @@ def test_cutoffs_reject_few_good_documents(spark):
     labels = d.select("doc_id", F.when(F.col("doc_id") % 10 == 0, 0).otherwise(1).alias("quality"))
     out = quality.quality_filter(d, labels)
     assert out.where("kept and doc_id % 10 = 0").count() == 0 and out.where("not kept and doc_id % 10 <> 0").count() == 0
+
+
+@pytest.mark.parametrize("strata", [quality.MAX_BROADCAST_STRATA, 0])
+def test_cutoffs_act_on_the_tables(spark, strata, monkeypatch):
+    """What the comparison with SQL sees is the method's work: rows that only a cutoff rejects."""
+    monkeypatch.setattr(quality, "MAX_BROADCAST_STRATA", strata)
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    docs = read("documents")
+    out = quality.quality_filter(docs.withColumn("n_lines", F.lit("x")).withColumn("__level", F.lit(1)).drop("__level"), read("labels"))
+    assert set(docs.columns) - {"text"} < set(out.columns)
+    rows = out.select("doc_id", "base_failed", "kept", "rejected_by").collect()
+    assert sum(not r["kept"] and not r["base_failed"] for r in rows) > 20
+    good = {r["doc_id"] for r in read("labels").where("quality = 1").collect()}
+    assert sum(bool(r["rejected_by"]) for r in rows if r["doc_id"] in good) <= 0.05 * len(good)
+
+
+def test_labels_count_once(spark):
+    """Many labels of few documents bound nothing; a document with both labels is not good."""
+    text = lambda i: " ".join(f"word{i}x{j}" + ("#" if i % 2 == 0 else "") for j in range(25))
+    d = spark.createDataFrame([(i, "en", text(i)) for i in range(20)], "doc_id long, lang string, text string")
+    many = spark.range(400).select((F.col("id") % 20).alias("doc_id"), F.when(F.col("id") % 2 == 0, 0).otherwise(1).alias("quality"))
+    assert quality.quality_filter(d, many).where("not kept").count() == 0
+    both = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    assert quality.quality_filter(d, both).where("not kept").count() == 0
