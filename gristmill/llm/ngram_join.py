@@ -12,7 +12,7 @@ prefix shingles as the smaller l of the two before its whole sets are compared.
 2. *Prefixes*: a second pass hands prefix entries, packed, to buckets by shingle. A list of two classes gives
    that pair. A longer list gives its star: each class with the one whose shingles are the most common, as a source
    that others were copied from. A shingle that the sketch counts over ``HOT_ENTRIES`` times has its list cut by the classes' hash into as many parts as
-   that takes, each with a star of its own, and the parts' centres form one more star: no list fills a task.
+   that takes. Each part names the class whose shingles are the most common in it, and the best of these is joined with the whole list for its star: no list fills a task.
 3. *Verify*: a bitmap of each set, the parities of its shingles' counts by cell, bounds the difference of two sets from below and so
    rejects most pairs that don't link, and no others. A third pass writes the sets of the classes in the pairs left; pairs are
    joined with them and compared.
@@ -49,8 +49,8 @@ CHUNKS = 64
 MOST_SHARED, COMPARE_COST = 8, 8.0
 #: Prefix entries in a bucket, about, and those a task holds before it hands them on.
 BUCKET_ENTRIES, FLUSH_ENTRIES, LEAST_BUCKETS = 1_000_000, 1_000_000, 32
-#: Entries of one shingle's list, about, that a bucket takes.
-HOT_ENTRIES = 20_000
+#: Entries of one shingle's list, about, that a bucket takes; pivots of longer lists are broadcast up to so many.
+HOT_ENTRIES, BROADCAST_PIVOTS = 20_000, 100_000
 #: Bits of the filter that says which classes' sets are needed.
 FILTER_BITS = 1 << 24
 
@@ -358,7 +358,7 @@ def prefix_lists(documents: DataFrame, counts: np.ndarray, noise: float, entries
             pivot = np.minimum.reduceat(np.where(is_top, np.arange(len(t)), len(t)), first)
             if bucket < 0:
                 rows("centre", s[pivot], t[pivot].view(np.int64), common[pivot], pivot, pivot)
-            p = np.repeat(pivot, length)[at]
+            p = np.repeat(pivot, length)[at] if bucket >= 0 else at
             near = (p != at) & (4 * np.minimum(n[at], n[p]) >= 3 * np.maximum(n[at], n[p]))
             lo, hi = np.minimum(at, p)[near], np.maximum(at, p)[near]
             _, one = np.unique(np.stack([s[lo], s[hi]], 1), axis=0, return_index=True) if len(lo) else (None, lo)
@@ -472,10 +472,12 @@ def jaccard_components(documents: DataFrame, hot_entries: int = HOT_ENTRIES) ->
     found = materialize(prefix_lists(documents, counts, noise, int(entries), renamed, hot_entries), "prefix-lists")
     entries = found.where("kind = 'entry'").select(F.col("b").alias("token"), F.col("a").alias("sig"), F.col("na").alias("n"), F.col("la").alias("l"))
     stars = found.where("kind = 'star'").select("a", "b", "na", "nb", "la", "lb")
-    # the centres of a list's parts, few for each shingle, and the most common of them
-    centres = found.where("kind = 'centre'").select(F.col("b").alias("token"), F.struct(F.col("a").alias("s"), F.col("na").alias("n"), F.col("la").alias("l")).alias("x"), "shared")
-    tops = centres.groupBy("token").agg(F.max_by("x", F.struct("shared", "x.s")).alias("y"))
-    ends = centres.join(tops, "token").where("x.s <> y.s and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    # the centres of a list's parts, and of them the one that a single list would have as its pivot
+    centres = found.where("kind = 'centre'").select(F.col("b").alias("token"), F.struct(F.col("a").alias("s"), F.col("na").alias("n"), F.col("la").alias("l")).alias("y"), "shared")
+    tops = materialize(centres.groupBy("token").agg(F.max_by("y", F.struct("shared", F.bitwise_not("y.s"))).alias("y")), "shingle-pivots")
+    tops = F.broadcast(tops) if tops.count() <= BROADCAST_PIVOTS else tops
+    ends = entries.select("token", F.struct(F.col("sig").alias("s"), "n", "l").alias("x")).join(tops, "token").where("x.s <> y.s and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)")
+    ends = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     stars = stars.unionByName(ends.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.l").alias("la"), F.col("y.l").alias("lb")))
     stars = stars.distinct().withColumn("shared", F.lit(None).cast("long"))
     twos = found.where("kind = 'pair'").groupBy("a", "b", "na", "nb", "la", "lb").agg(F.sum("shared").alias("shared"))
