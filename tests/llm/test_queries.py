@@ -87,5 +87,5 @@ def test_pipeline_by_brute_force(spark):
 
 
 def test_registered():
-    assert sorted(q.queries()) == sorted([f"op{n}_{x}" for n, x in enumerate("license_scan ngram_jaccard hilbert_shards language_id decontamination bpe url_filter warc quality_rules line_dedup".split(), 1)] + ["pipeline"])
+    assert sorted(q.queries()) == sorted([f"op{n}_{x}" for n, x in enumerate("license_scan ngram_jaccard hilbert_shards language_id decontamination bpe url_filter warc quality_rules line_dedup lexical_search lm_scoring periodic_runs".split(), 1)] + ["pipeline"])
     assert json.dumps(sorted(q.oracle_sql())) and os.path.exists(q.tokenizer()[0])
