@@ -9,14 +9,14 @@ cost in every language, a context's row what escaping from it costs, and a text'
 sum over its bytes of the longest node found plus the escapes above it. Numpy does that for a batch
 of documents at once. ASCII capitals are lower-cased.
 
-Training is on a bounded sample: about ``sample_docs`` documents a language, chosen by a hash of
-doc_id; all strings of their whole texts count, so that the code lengths are those of the trees. The model's size follows
-the sample, not the corpus. Everything else sees all rows and whole texts.
+Training is on a bounded sample: of each language about ``sample_docs`` documents and ``sample_bytes`` bytes at most, chosen by a hash of
+doc_id and text among those of at most ``text_bytes``; rows equal in both (null ids are equal) teach once. All strings of their whole texts count, so that the code
+lengths are those of the trees. The model's size follows the sample, not the corpus. Everything else sees all rows and whole texts.
 
 Score: the posterior 2**-length of the best language over the sum (even priors). ``und`` with score 0
 is given to a null text, one without a letter, and to all texts if nothing could be learned. Ties go
-to the first language by name. Documents without lang or text teach nothing; repeated rows and rows that share an id are
-sampled together and each teach. Texts are scored whole in blocks of about ``BLOCK`` bytes or one text; an empty table
+to the first language by name. Documents without lang or text teach nothing. Languages are told apart as they are written and go by
+numbers: any name will do. Texts are scored whole in blocks of about ``BLOCK`` bytes or one text; an empty table
 gives an empty result. Other columns pass through, but for lang_pred, score and held_out, which are replaced.
 """
 
@@ -182,16 +182,18 @@ class PPM:
         return out
 
 
-def train(examples: DataFrame, order: int = 3, sample_docs: int = 1500) -> PPM:
-    """A model from (doc_id, text, lang); see the module for the bound."""
-    rows = examples.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().collect()  # a row for each language
+def train(examples: DataFrame, order: int = 3, sample_docs: int = 1500, sample_bytes: int = 32 << 20, text_bytes: int = 1 << 20) -> PPM:
+    """A model from (doc_id, text, lang); see the module for the bounds."""
+    rows = examples.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("b"))
+    fits = F.col("b") <= text_bytes
+    sizes = rows.groupBy("lang").agg(F.count_if(fits).alias("n"), F.sum(F.when(fits, F.col("b"))).alias("b")).collect()  # a row for each language
     if not sizes:
         return PPM([], order, {}, {}, {}, {}, np.zeros(0))
     languages = sorted(r["lang"] for r in sizes)
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(sample_docs / r["count"]))])
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(unit < F.element_at(share, F.col("lang"))).select("lang", "text")
+    number = {x: i for i, x in enumerate(languages)}
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(sample_docs / max(1, r["n"]), sample_bytes / max(1, r["b"] or 0))))])
+    unit = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.where(fits & (unit < F.element_at(share, F.col("lang")))).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, list[bytes]] = {}
@@ -208,15 +210,17 @@ def train(examples: DataFrame, order: int = 3, sample_docs: int = 1500) -> PPM:
             inside = np.cumsum(steps[:-1], dtype=np.int8) > 0
             for n in range(1, order + 2):
                 keys, c = np.unique(grams(data, n)[inside], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "n", "gram", "c"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(keys), x, np.int32)) for x in (number[lang], n)), pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "n", "gram", "c"])
 
-    per_gram = sample.mapInArrow(count, "lang string, n int, gram long, c long").groupBy("n", "gram").pivot("lang", languages).agg(F.sum("c"))
-    per_gram = materialize(per_gram.select("n", "gram", *[F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias(f"c{i}") for i, x in enumerate(languages)]), "ppm-counts")
+    per_gram = sample.select("lang", "text").mapInArrow(count, "lang int, n int, gram long, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
+    per_gram = materialize(per_gram, "ppm-counts")
     counts = {}
     for n in range(1, order + 2):
-        own = per_gram.where(F.col("n") == n).toArrow()  # strings of the sample's texts
-        c = np.column_stack([own.column(f"c{i}").to_numpy() for i in range(len(languages))]).astype(float)
-        counts[n] = own.column("gram").to_numpy().astype(np.int64).view(np.uint64), c
+        own = per_gram.where(F.col("n") == n).select("gram", "lang", "c").toArrow()  # strings of the sample's texts
+        keys, at = np.unique(own.column("gram").to_numpy().view(np.uint64), return_inverse=True)
+        c = np.zeros((len(keys), len(languages)))
+        c[at, own.column("lang").to_numpy()] = own.column("c").to_numpy()
+        counts[n] = keys, c
     return PPM.train(counts, languages, order)
 
 

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,29 @@ def test_awkward_rows_equal_plain_ppm(spark):
     rows += [(100, None, "en"), (101, "", "en"), (102, "12 3", "fr"), (103, "ça été", None), (None, "the cat", "en"), (3, "le chat est", "fr"), (104, "the " * 20_000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", F.lit("x").alias("score"), F.lit("y").alias("held_out"), F.lit("z").alias("lang_pred"))
     compare(lang_id.identify_documents(df).collect(), expected(rows))
+
+
+def test_any_language_name(spark):
+    names = ["EN", "en", "n", "gram", "a`b", "c.d", "", "lang", "h"]
+    rows = [(i, f"{chr(97 + i % 9) * 3} {chr(98 + i % 9)}x {i // 9 % 2}", names[i % 9]) for i in range(90)]
+    compare(lang_id.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect(), expected(rows))
+
+
+def test_null_ids_are_sampled_like_others(spark):
+    rows = [(None, f"word{i} the cat", "en") for i in range(4000)] + [(7, "le chat", "fr")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(df, sample_docs=100)
+    # strings of four bytes of about 100 texts of 4000, and of the one French text or none
+    starts = sum(len(np.unique(lang_id.grams(np.frombuffer(t.encode(), np.uint8), 4))) for _, t, _ in rows[:1])
+    assert 0 < len(model.cost[4]) < 200 * starts and model.languages == ["en", "fr"]
+    whole = lang_id.train(df)
+    assert len(whole.cost[4]) > len(model.cost[4])
+
+
+def test_long_texts_teach_nothing_and_are_scored(spark):
+    rows = [(i, "the cat is on the mat", "en") for i in range(5)] + [(i, "le chat est sur le tapis", "fr") for i in range(5, 10)] + [(11, "le chat " * 30_000, "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(df, text_bytes=1000)
+    assert not model.cost[1][:, 2].any() or (model.cost[1][:, 2] > 7).all()
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(df, model).collect()}
+    assert got[11] == "fr" and got[0] == "en"
