@@ -4,7 +4,8 @@ Words of texts are hashed in k-grams; of every ``WINDOW - K + 1`` neighbouring h
 (leftmost on ties) is kept as a fingerprint. Equal runs of ``WINDOW`` words choose equal fingerprints,
 so joining those of documents and benchmark items finds every shared run of that length. Each hit is
 compared word by word and extended both ways, up to where the next one takes over; runs shorter than ``WINDOW`` are given up. Items with
-fewer words are one run each and are looked for by the hash of that many words, all such lengths in one more scan.
+fewer words are one run each and are looked for by the hash of that many words, all such lengths in one more scan. Repeated words cost in proportion: windows
+inside a stretch of one word keep few fingerprints, and an item's places with equal words around them are one.
 
 The benchmark's words and fingerprints are broadcast while they take at most ``BROADCAST_BYTES``; beyond, documents'
 words are first written to the shared folder and all joins shuffle. Only fingerprints and places meet in the join by fingerprint, whose
@@ -32,11 +33,14 @@ def words(text: Column) -> Column:
     return split_words(ascii_lower(text), DELIMITERS)
 
 
-def fingerprints(rows: DataFrame, k: int, span: int, keep_empty: bool) -> DataFrame:
+def fingerprints(rows: DataFrame, k: int, span: int, keep_empty: bool, every: int = 0) -> DataFrame:
     """rows (with words w) to a row for each window of span k-grams: k, start and fp, the hash that the window keeps (the first smallest; null if the window before kept the same one).
 
     keep_empty: a row more for each input row, with start -1 and a null fp. Everything here is plain arithmetic on the words of one
     array, so it runs in one compiled loop; filtering is left to the join, which no null fp passes.
+
+    Where one word is repeated, each window would keep a hash of its own. Of windows inside such a stretch (with a word to spare on either side) only each every-th keeps one, with every = 0 none:
+    those at its ends meet whatever else the stretch would.
     """
     last = F.size("w") - k - span + 1
     first = -1 if keep_empty else 0
@@ -50,8 +54,12 @@ def fingerprints(rows: DataFrame, k: int, span: int, keep_empty: bool) -> DataFr
         return rows.select(*kept, F.lit(k).alias("k"), F.lit(span).alias("n_grams"), fp.alias("fp"))
     rows = rows.select(*kept, *[hashed(j).alias(f"__h{j + 1}") for j in range(-1, span)])
     # the smallest of all but the window's last; it stays the choice unless it enters or leaves here
-    rows = rows.select(*kept, "__h0", f"__h{span}", F.least(*[f"__h{j}" for j in range(1, span)]).alias("__low"))
+    inner = [f"__h{j}" for j in range(1, span)]
+    rows = rows.select(*kept, "__h0", f"__h{span}", F.least(*inner).alias("__low"), F.greatest(*inner).alias("__high"))
+    spare = F.get("w", F.col("start") + k + span - 1) == F.get("w", F.col("start"))
+    same = (F.col("start") > 0) & (F.col("__low") == F.col("__high")) & (F.col("__h0") == F.col("__low")) & (F.col(f"__h{span}") == F.col("__low")) & F.coalesce(spare, F.lit(False))
     new = (F.col("start") == 0) | (F.col("__h0") <= F.col("__low")) | (F.col(f"__h{span}") < F.col("__low"))
+    new = new & ~(same & (F.col("start") % every != 0) if every else same)
     fp = F.when((F.col("start") >= 0) & new, F.least("__low", f"__h{span}"))
     return rows.select(*kept, F.lit(k).alias("k"), F.lit(span).alias("n_grams"), fp.alias("fp"))
 
@@ -126,7 +134,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: i
     for is_short in (False, True):
         one = short_fingerprints(own.where(F.size("w") < WINDOW), short).where(F.col("k") == F.size("w")) if is_short and short else fingerprints(own.where(F.size("w") >= WINDOW), K, WINDOW - K + 1, False)
         one = one.where("fp is not null").select("item", "k", "n_grams", "fp", "start", *around("start", "w", F.col("k") + F.col("n_grams"), "ctx"))
-        prints.append(materialize(placed(one).select("k", "fp", "item", F.col("at").alias("item_at")), "bench-prints"))
+        # places of an item with equal words around them find the same: one stands for all
+        left = F.least("at", F.lit(WINDOW)).alias("__left")
+        near = F.slice("ctx", F.col("at") - F.col("ctx_base") - left + 1, left + F.col("k") + WINDOW).alias("__near")
+        one = placed(one).groupBy("k", "fp", "item", left, near).agg(F.min("at").alias("item_at"))
+        prints.append(materialize(one.select("k", "fp", "item", "item_at"), "bench-prints"))
         if not short:
             break
     sizes = items.agg(F.sum(F.expr("aggregate(iw, 64L, (n, x) -> n + octet_length(x) + 24)"))).first()[0] or 0
@@ -140,7 +152,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: i
     for i, ours in enumerate(prints):
         if small:
             # the first pass brings a row for each document besides the hits, so that one scan does all
-            rows = short_fingerprints(docs.drop("kept"), short) if i else fingerprints(docs, K, WINDOW - K + 1, keep_empty=True)
+            rows = short_fingerprints(docs.drop("kept"), short) if i else fingerprints(docs, K, WINDOW - K + 1, keep_empty=True, every=WINDOW - K + 1)
             one = rows.join(F.broadcast(ours.drop("k") if i == 0 else ours), ["fp"] if i == 0 else ["fp", "k"], "inner" if i else "left").where((F.col("start") < 0) | F.col("item").isNotNull())
             one = one.join(F.broadcast(items), "item", "left")
             slices = [*around("start", "w", F.col("k") + F.col("n_grams"), "ctx"), *around("item_at", "iw", F.col("k"), "ictx")]
@@ -150,7 +162,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: i
         else:
             # words travel once for each document and item, not for each hit
             slim = docs.select("row", "w")
-            rows = short_fingerprints(slim, short) if i else fingerprints(slim, K, WINDOW - K + 1, keep_empty=False)
+            rows = short_fingerprints(slim, short) if i else fingerprints(slim, K, WINDOW - K + 1, keep_empty=False, every=WINDOW - K + 1)
             rows = rows.where("fp is not null").select("row", "k", "n_grams", "fp", "start", *around("start", "w", F.col("k") + F.col("n_grams"), "ctx"))
             met = placed(rows).select("row", "k", "at", "fp").join(ours, ["fp", "k"]).groupBy("row", "item").agg(F.collect_set(F.struct("k", "at", "item_at")).alias("h"))
             one = met.join(docs, "row").join(items, "item").select(*own, "w", "iw", "item_id", F.explode("h").alias("h")).select(*own, "w", "iw", "item_id", "h.*")
