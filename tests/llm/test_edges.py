@@ -176,7 +176,7 @@ def test_urls_by_brute_force(spark, max_bytes):
 def test_cascade_is_exact(spark):
     keys = spark.range(3000).select(F.col("id").cast("string").alias("key"), url_filter.hashed(F.col("id").cast("string")).alias("k")).select("key", "k.h", "k.g")
     listed = keys.where("key < '2'").select("h", "g")
-    c = url_filter.build_cascade(listed, keys.select("h", "g"), bits_per_key=2, hashes=1)
+    c = url_filter.build_cascade(listed, keys.select("h", "g"), 3000, bits_per_key=2, hashes=1)
     rows = keys.collect()
     h, g = (np.array([r[x] for r in rows], np.int64).view(np.uint64) for x in ("h", "g"))
     assert len(c.levels) > 2 and c.contains(h, g).tolist() == [r["key"] < "2" for r in rows]

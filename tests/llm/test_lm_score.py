@@ -87,7 +87,7 @@ def test_filters_never_miss(monkeypatch):
     r = np.random.default_rng(5)
     keys = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64) & ~np.uint64(0xFFFFFF))
     counts = r.integers(1, 1000, len(keys))
-    row = m.shard_row(pd.DataFrame({"shard": [0], "n": [2], "keys": [m.five(keys)], "counts": [m.planes(counts)]}))
+    row = m.shard_row(pd.DataFrame({"shard": [0], "n": [2], "keys": [m.packed(keys)], "counts": [m.packed(counts)]}))
     s = m.Shards.of([row], 1)
     want = np.searchsorted(m.LEVELS, counts, "right")
     got = s.level(keys, np.zeros(len(keys), np.int64))
