@@ -1,6 +1,6 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-1. *Chunks*: tasks cut the texts into chunks of about ``tokens.BLOCK`` bytes (or one longer text), number the words of each and write them as a table: texts are split once.
+1. *Chunks*: tasks cut the texts into chunks of about ``CHUNK_BYTES`` (or one longer text), number the words of each and write them as a table: texts are split once.
    A text is start, start, its words and one end.
 2. *Filter*: each chunk sends its distinct n-grams of up to ``order`` words, with their counts in its training texts, to the shards of their hashes. A shard adds them up. It keeps the
    exact counts of single tokens, and a Bloom filter for longer n-grams: one whose count reaches the j-th entry of ``LEVELS`` (about 1.4 times as
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import materialize
-from gristmill.llm.ngram_join import BACK, PLACE, STEP, U, five, from_five, from_planes, mix, planes
+from gristmill.llm.ngram_join import BACK, PLACE, STEP, U, mix
 from gristmill.llm.tokens import BLANK, blocks, hashed_words
 
 #: The weight m of the shorter context.
@@ -41,11 +41,25 @@ LEVELS = np.unique(np.ceil(2.0 ** (np.arange(125) / 2)).astype(np.int64))
 #: What a level stands for; none is 0.
 VALUES = np.r_[0.0, LEVELS / 2 + np.r_[LEVELS[1:] - 1, LEVELS[-1]] / 2]
 BITS_PER_EVENT, HASHES = 12, 5
-SHARD_BYTES, LEAST_SHARDS = 32 << 20, 8
-BROADCAST_BYTES = 128 << 20
+SHARD_BYTES, LEAST_SHARDS, CHUNK_BYTES = 8 << 20, 8, 4 << 20
+BROADCAST_BYTES = 64 << 20
+#: What of the hash of a longer n-gram tells it apart in its shard.
+UPPER = ~U(0xFFFFFF)
 START, END = mix(np.array([1, 2], np.uint64) * STEP)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, all first bytes first, compressed: sorted and small ones take little."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
+
+
 @dataclass(frozen=True)
 class Chunk:
     """Texts whose words are numbered: vocab has the hash of each number, ids the numbers of all tokens, sizes how many each text has (with two starts and an end)."""
@@ -64,7 +78,7 @@ class Chunk:
 
     @classmethod
     def read(cls, vocab: bytes, ids: bytes, sizes: bytes) -> Chunk:
-        return cls(np.frombuffer(vocab, np.uint64), from_planes(ids).astype(np.int64), np.frombuffer(sizes, np.int64))
+        return cls(unpacked(vocab), *(unpacked(x).astype(np.int64) for x in (ids, sizes)))
 
     def grams(self, order: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By n: places of the last words of all n-grams, which of the distinct ones each is, and the hashes of those. Starts are no single tokens."""
@@ -91,11 +105,11 @@ def chunks_of(rows: DataFrame, order: int) -> DataFrame:
     """The table of chunks of rows (kept, text, trains): chunk, a random name; kept and trains of its texts; vocab, ids and sizes; most, the bytes that its n-grams take in filters at most (an event for each)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, 1):
+        for batch in blocks(batches, 1, CHUNK_BYTES):
             one = Chunk.of(batch.column(1))
             ends = pa.array([0, batch.num_rows], pa.int32())
             kept, trains = (pa.ListArray.from_arrays(ends, batch.column(i)) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), kept, trains, *(pa.array([x]) for x in (one.vocab.tobytes(), planes(one.ids), one.sizes.astype(np.int64).tobytes())), pa.array([16 * len(one.vocab) + (order - 1) * len(one.ids) * BITS_PER_EVENT // 8])], ["chunk", "kept", "trains", "vocab", "ids", "sizes", "most"])
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), kept, trains, *(pa.array([packed(x)]) for x in (one.vocab, one.ids, one.sizes)), pa.array([16 * len(one.vocab) + (order - 1) * len(one.ids) * BITS_PER_EVENT // 8])], ["chunk", "kept", "trains", "vocab", "ids", "sizes", "most"])
 
     kind = rows.schema["kept"].dataType.simpleString()
     # a table, as a task that ran again would name its chunks anew
@@ -103,9 +117,9 @@ def chunks_of(rows: DataFrame, order: int) -> DataFrame:
 
 
 def spread(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Shards and the places of their keys."""
+    """Shards and the places of their keys, in order of the keys."""
     own = (keys % U(shards)).astype(np.int64)
-    order = np.argsort(own, kind="stable")
+    order = np.lexsort((keys, own))
     some, first = np.unique(own[order], return_index=True)
     yield from zip(some.tolist(), np.split(order, first[1:]))
 
@@ -120,10 +134,10 @@ def counted(chunks: DataFrame, order: int, shards: int, unseen: bool) -> DataFra
                 chunk = Chunk.read(*own)
                 taught = np.array(trains)[chunk.texts()]
                 for n, (at, which, keys) in chunk.grams(order).items():
-                    c = np.bincount(which[taught[at]], minlength=len(keys)).astype(np.uint32)
+                    c = np.bincount(which[taught[at]], minlength=len(keys))
                     if not unseen:
                         keys, c = keys[c > 0], c[c > 0]
-                    rows = [(s, name, n, keys[x].tobytes() if n == 1 else five(keys[x]), planes(c[x])) for s, x in spread(keys, shards)]
+                    rows = [(s, name, n, packed(keys[x] if n == 1 else keys[x] & UPPER), packed(c[x])) for s, x in spread(keys, shards)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "chunk", "n", "keys", "counts"])
 
@@ -139,19 +153,14 @@ def events(keys: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarra
         yield ((h + U(j) * g) >> U(32)) * bits >> U(32)
 
 
-def key_array(keys, n: int) -> np.ndarray:
-    return np.frombuffer(keys, np.uint64) if n == 1 else from_five(keys)
-
-
 def added(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with the sums of their counts, if that is over 0."""
     if not len(rows):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = np.concatenate([key_array(k, n) for k, n in zip(rows["keys"], rows["n"])])
-    c = np.concatenate([from_planes(c) for c in rows["counts"]])
-    keys, c = keys[c > 0], c[c > 0]
+    each = [(unpacked(k), unpacked(c).astype(np.int64)) for k, c in zip(rows["keys"], rows["counts"])]
+    keys, c = (np.concatenate([x[x_c > 0] for x, x_c in pairs]) for pairs in (each, [(c, c) for _, c in each]))
     order = np.argsort(keys)
-    keys, c = keys[order], c[order].astype(np.int64)
+    keys, c = keys[order], c[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(c, first) if len(first) else c
 
@@ -220,7 +229,7 @@ class Shards:
 
     def answer(self, keys: np.ndarray, n: int) -> np.ndarray:
         """Counts of single tokens, levels of longer n-grams."""
-        return self.exact(keys) if n == 1 else self.level(keys & ~U(0xFFFFFF), (keys % U(self.shards)).astype(np.int64))
+        return self.exact(keys) if n == 1 else self.level(keys & UPPER, (keys % U(self.shards)).astype(np.int64))
 
 
 @dataclass(frozen=True)
@@ -293,8 +302,8 @@ def answered_by_shards(chunks: DataFrame, order: int, shards: int, texts: int, k
         own = Shards.of([row | {"shard": 0}], 1)
         each = []
         for k, n in zip(rows["keys"], rows["n"]):
-            keys = key_array(k, n)
-            each.append(own.exact(keys).tobytes() if n == 1 else own.level(keys, np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes())
+            keys = unpacked(k)
+            each.append(packed(own.exact(keys) if n == 1 else own.level(keys, np.zeros(len(keys), np.int64))))
         out = pd.DataFrame({"chunk": rows["chunk"], "shard": rows["shard"], "n": rows["n"], "found": each, "total": None, "kinds": None})
         return pd.concat([out, pd.DataFrame([{"chunk": None, "shard": row["shard"], "n": 0, "found": None, "total": row["total"], "kinds": row["n_tokens"]}])])
 
@@ -313,7 +322,7 @@ def answered_by_shards(chunks: DataFrame, order: int, shards: int, texts: int, k
                 for n, (_, _, keys) in chunk.grams(order).items():
                     found[n] = np.zeros(len(keys), np.int64)
                     for s, at in spread(keys, shards):
-                        found[n][at] = np.frombuffer(answers[s, n], np.int64 if n == 1 else np.uint8)
+                        found[n][at] = unpacked(answers[s, n])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, *scores(chunk, found, order, totals)], NAMES)
 
     both = chunks.select("chunk", "kept", "vocab", "ids", "sizes").join(told, "chunk").select("kept", "vocab", "ids", "sizes", "told")

@@ -16,11 +16,11 @@ NO_TERM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 __all__ = ["BLANK", "NO_TERM", "blocks", "hashed_words"]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts in column number text have about BLOCK bytes each time (one text may have more)."""
+def blocks(batches: Iterator[pa.RecordBatch], text: int, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts in column number text have about so many bytes each time (one text may have more)."""
     for batch in batches:
         sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(text).cast(pa.large_binary())), np.int64, batch.num_rows)
-        part = np.cumsum(sizes) // BLOCK
+        part = np.cumsum(sizes) // size
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             if b > a:
