@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import expr, fixed, globs
-from gristmill.operators import cache, consensus, findings, pack, prompts, sections
+from gristmill.operators import asof, cache, consensus, findings, hunks, pack, prompts, runs, sections
 from gristmill.operators.review import ask, errors_of, requests_for
 from gristmill.sources.providers import ProviderError, Replay, Request, Response
 from gristmill.sources.shared import materialize
@@ -413,3 +413,120 @@ def review_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok, _ = findings.parse_findings(asked.where("error is null").select("run_id", "content"))
     failed = errors_of(asked).select("run_id", F.substring_index("error", ":", 1).alias("error"), F.lit(0).alias("n_findings"))
     return ok.groupBy("run_id").agg(F.count("*").cast("int").alias("n_findings")).select("run_id", F.lit("none").alias("error"), "n_findings").unionByName(failed)
+
+
+# -- runs over time, moved lines ----------------------------------------------------------------------
+
+#: Lines of documents that an edit deletes, and before which it puts a new one: all but the middle of long texts.
+EDITED = "(n <= 30 or i < 12 or i >= n - 12)"
+DELETED, PRECEDED = f"{EDITED} and (i * 7 + doc_id) % 5 = 0", f"{EDITED} and (i + doc_id) % 4 = 1"
+LINES = f"""d as (select doc_id, concat('d', doc_id, '.py') as path, string_split(text, chr(10)) as l from documents),
+e as (select doc_id, path, len(l) as n, unnest(range(len(l))) as i from d),
+k as (select *, {DELETED} as gone, i + 1 - sum(case when {DELETED} then 1 else 0 end) over w + sum(case when {PRECEDED} then 1 else 0 end) over w as pos from e window w as (partition by doc_id order by i rows unbounded preceding)),
+kept as (select doc_id, path, i + 1 as line, cast(pos as int) as pos from k where not gone),
+f as (select doc_id, path, i + 1 as start_line, least(n, i + 1 + doc_id % 4) as end_line, concat('t', i % 4) as title from k where i % 3 = doc_id % 3)"""
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, doc_id, n, path, body): the edit of each document as a diff of one hunk, or of two if it is long."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("l")).withColumn("n", F.size("l"))
+    change = lambda cond: F.expr(f"transform(sequence(0, n - 1), i -> {cond})")
+    d = d.withColumn("gone", change(DELETED)).withColumn("new", change(PRECEDED))
+
+    def hunk(first, count, shift):
+        own = F.transform(F.slice("l", first + 1, count), lambda x, i: F.concat(F.when(F.get("new", first + i), F.concat(F.lit("+new before "), x, F.lit("\n"))).otherwise(""), F.when(F.get("gone", first + i), "-").otherwise(" "), x, F.lit("\n")))
+        more = grown(first, count)
+        start = F.when(count + more == 0, first + shift).otherwise(first + 1 + shift)
+        return F.concat(F.lit("@@ -"), (first + 1).cast("string"), F.lit(","), count.cast("string"), F.lit(" +"), start.cast("string"), F.lit(","), (count + more).cast("string"), F.lit(" @@ of a document\n"), F.array_join(own, ""))
+
+    def grown(first, count):
+        true = lambda c: F.size(F.filter(F.slice(c, first + 1, count), lambda x: x))
+        return true("new") - true("gone")
+
+    zero, n, ends = F.lit(0), F.col("n"), F.lit(12)
+    two = F.concat(hunk(zero, ends, zero), hunk(n - 12, ends, grown(zero, ends)))
+    path = F.concat(F.lit("d"), "doc_id", F.lit(".py"))
+    head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"))
+    # a table, as several scans of it follow
+    return materialize(d.select(F.lit("r").alias("run_id"), "doc_id", "n", path.alias("path"), F.concat(head, F.when(n > 30, two).otherwise(hunk(zero, n, zero))).alias("body")), "diffs")
+
+
+def old_findings(diffs: DataFrame) -> DataFrame:
+    """A finding on every third line, over one to four lines."""
+    line = F.expr("filter(sequence(0, n - 1), i -> i % 3 = doc_id % 3)")
+    rows = diffs.select("run_id", "doc_id", "n", "path", F.explode(line).alias("i"))
+    return rows.select("run_id", "doc_id", "path", (F.col("i") + 1).alias("start_line"), F.least("n", (F.col("i") + 1 + F.col("doc_id") % 4).cast("int")).alias("end_line"), F.concat(F.lit("t"), F.col("i") % 4).alias("title"))
+
+
+@query(f"""with {LINES}
+select f.doc_id, f.start_line, f.end_line, min(kept.pos) as new_start, max(kept.pos) as new_end, count(kept.pos) > 0 as survives
+from f left join kept on kept.doc_id = f.doc_id and kept.line between f.start_line and f.end_line group by f.doc_id, f.start_line, f.end_line""")
+def carried_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of documents, carried over an edit by its hunks."""
+    diffs = edited(spark, sf_dir)
+    return hunks.carry(old_findings(diffs), diffs).select("doc_id", "start_line", "end_line", "new_start", "new_end", "survives")
+
+
+@query(f"""with {LINES},
+m as (select f.doc_id, f.title, min(kept.pos) as line from f left join kept on kept.doc_id = f.doc_id and kept.line between f.start_line and f.end_line group by f.doc_id, f.title, f.start_line, f.end_line),
+g as (select doc_id, concat('t', pos % 4) as title, pos as line from kept where pos % 2 = 0 union all select doc_id, concat('t', pos % 4) as title, pos as line from kept where pos % 6 = 0),
+b as (select doc_id, title, line, count(*) as n from m group by all), a as (select doc_id, title, line, count(*) as n from g group by all),
+c as (select coalesce(b.doc_id, a.doc_id) as doc_id, coalesce(b.n, 0) as x, coalesce(a.n, 0) as y from b full join a on a.doc_id = b.doc_id and a.title = b.title and a.line is not distinct from b.line)
+select doc_id, cast(sum(greatest(y - x, 0)) as bigint) as n_new, cast(sum(greatest(x - y, 0)) as bigint) as n_fixed, cast(sum(least(x, y)) as bigint) as n_kept from c group by doc_id""")
+def changes_over_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second run finds on the edited documents, some of it twice, against what the first one found, lines moved: new, fixed and kept by document."""
+    diffs = edited(spark, sf_dir)
+    lines = diffs.select("run_id", "path", F.explode(hunks.line_map_of(F.col("body"))).alias("m"), "n").where("m.old_from <= n")
+    at = lines.select("run_id", "path", F.explode(F.sequence(F.col("m.old_from"), F.least("m.old_to", "n"))).alias("old"), "m.shift").select("run_id", "path", (F.col("old") + F.col("shift")).alias("start_line"))
+    at = at.withColumn("title", F.concat(F.lit("t"), F.col("start_line") % 4))
+    after = at.where("start_line % 2 = 0").unionByName(at.where("start_line % 6 = 0"))
+    out = runs.changes_across(old_findings(diffs), after, diffs)
+    return runs.totals(out, [F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id")])
+
+
+@query(f"""with {LINES},
+s as (select doc_id, i, case when gone then null else l end as text from (select k.*, d.l[i + 1] as l from k join d on d.doc_id = k.doc_id where k.n <= 30 or i < 12 or i >= k.n - 12)),
+g as (select kept.doc_id, kept.pos, concat('t', kept.pos % 4) as title, s.text from kept join s on s.doc_id = kept.doc_id and s.i = kept.line - 1)
+select doc_id, pos as start_line, title, substr(sha256(concat('d', doc_id, '.py:', title, ':=', regexp_replace(text, '^\s+|\s+$', '', 'g'))), 1, 16) as stable_id from g""")
+def stable_finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on the lines that an edit keeps: their identity is that of the line's text, wherever it has moved."""
+    diffs = edited(spark, sf_dir)
+    shown = diffs.withColumn("i", F.explode(F.expr(f"filter(sequence(0, n - 1), i -> {EDITED})"))).select("run_id", "doc_id", "path", (F.col("i") + 1).alias("start_line"), (F.col("i") + 1).alias("end_line"))
+    moved = hunks.carry(shown, diffs).where("survives").select("run_id", "doc_id", "path", F.col("new_start").alias("start_line"), F.concat(F.lit("t"), F.col("new_start") % 4).alias("title"))
+    return hunks.with_stable_ids(moved, diffs).select("doc_id", "start_line", "title", "stable_id")
+
+
+@query(f"""with {F1}, b as (select path, title, category from f where run_id = 'r0'), a as (select path, title, category from f where run_id = 'r1'),
+u as (select 'new' as kind, * from (select * from a except all select * from b) union all select 'fixed' as kind, * from (select * from b except all select * from a) union all select 'kept' as kind, * from (select * from a intersect all select * from b))
+select kind, path, title, category, count(*) as n from u group by all""")
+def run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of one run against those of another, with how often each occurs."""
+    f = found(spark, sf_dir)
+    c = runs.changes(f.where("run_id = 'r0'"), f.where("run_id = 'r1'"))
+    each = c.select("path", "title", "category", F.explode(F.create_map(F.lit("new"), "n_new", F.lit("fixed"), "n_fixed", F.lit("kept"), "n_kept")).alias("kind", "n"))
+    return each.where("n > 0").select("kind", "path", "title", "category", "n")
+
+
+@query(f"""with {F1}, b as (select path, title, category from f where run_id = 'r0'), a as (select path, title, category from f where run_id = 'r1')
+select *, count(*) as n from (select * from a except all select * from b) group by all""")
+def new_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = found(spark, sf_dir)
+    return runs.new_findings(f.where("run_id = 'r0'"), f.where("run_id = 'r1'")).groupBy(*runs.SAME).agg(F.count("*").alias("n"))
+
+
+HIGH = "select path, ts, max(seq) as seq, arg_max(title, seq) as title from f where severity = 'high' group by path, ts"
+
+
+@query(f"with {F1}, h as ({HIGH}) select f.seq, h.seq as last_high, h.title as last_title, epoch_us(f.ts) - epoch_us(h.ts) as since_us from f asof left join h on f.path = h.path and f.ts >= h.ts")
+def last_high_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding with the last one of high severity in its file up to then."""
+    f = found(spark, sf_dir)
+    out = asof.asof_join(f, f.where("severity = 'high'"), ["path"], "ts", "ts", {"seq": "last_high", "title": "last_title", "ts": "last_ts"}, ties=["seq"])
+    return out.select("seq", "last_high", "last_title", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("last_ts").cast("timestamp"))).alias("since_us"))
+
+
+@query("with p as (select ts, max(event_id) as event_id from events where event_type = 'purchase' group by ts) select e.event_id, p.event_id as last_purchase from events e asof left join p on e.ts > p.ts")
+def last_purchase_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the last purchase of anyone before it: one key, cut into ranges of time."""
+    e = table(spark, sf_dir, "events")
+    return asof.asof_join(e, e.where("event_type = 'purchase'"), [], "ts", "ts", {"event_id": "last_purchase"}, ties=["event_id"], strict=True, hot_rows=2_000, ranges=64).select("event_id", "last_purchase")
