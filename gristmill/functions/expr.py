@@ -166,8 +166,30 @@ def any_shared_word(a: Column, b: Column) -> Column:
     return F.arrays_overlap(words_of(F.lower(a)), words_of(F.lower(b)))
 
 
-def fuzzy_match(f: str, g: str) -> Column:
-    """Join condition for findings with title_key (trimmed, lower-cased) and title_words under the aliases f and g (their path is an equi-join key)."""
+def same_problem(f: str, g: str) -> Column:
+    """Whether titles and categories under the aliases f and g mean one problem; both have title_key (trimmed, lower-cased) and title_words."""
     c = lambda x: (F.col(f"{f}.{x}"), F.col(f"{g}.{x}"))
-    (sf, sg), (ef, eg), (tf, tg), (wf, wg), (cf, cg) = c("start_line"), c("end_line"), c("title_key"), c("title_words"), c("category")
-    return lines_overlap(sf, ef, sg, eg) & (similar(tf, tg, wf, wg) | ((cf == cg) & F.arrays_overlap(wf, wg)))
+    (tf, tg), (wf, wg), (cf, cg) = c("title_key"), c("title_words"), c("category")
+    return similar(tf, tg, wf, wg) | ((cf == cg) & F.arrays_overlap(wf, wg))
+
+
+# -- intervals ----------------------------------------------------------------------------------------
+
+def dyadic_nodes(lo: Column, hi: Column) -> Column:
+    """The fewest blocks (level, node) of 2 ** level numbers each, from node * 2 ** level on, that make up lo to hi: two a level at most. None if hi is smaller."""
+    lo, hi = lo.cast("long"), hi.cast("long")
+    odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
+    shift = lambda x, level: F.call_function("shiftright", x, level)
+
+    def at(level: Column) -> Column:
+        left, right = -shift(-lo, level), shift(hi + 1, level)
+        block = lambda ok, node: F.when((left < right) & ok, F.struct(level.alias("level"), node.alias("node")))
+        return F.array_compact(F.array(block(odd(left), left), block(odd(right), right - 1)))
+
+    levels = F.when(lo <= hi, F.sequence(F.lit(0), F.floor(F.log2((hi - lo + 1).cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(levels, at))
+
+
+def dyadic_path(x: Column, top: Column) -> Column:
+    """The blocks of all levels up to top that hold x."""
+    return F.transform(F.sequence(F.lit(0), top), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", x.cast("long"), level).alias("node")))

@@ -24,20 +24,18 @@ def strip_fence(content: Column) -> Column:
 KINDS = {"severity": "STRING", "category": "STRING", "title": "STRING", "message": "STRING", "suggestion": "STRING", "path": "STRING", "confidence": "NUMBER", "startLine": "INT", "endLine": "INT", "tags": "ARRAY"}
 
 
-#: An element of an answer, each field as it is in the JSON text.
+#: An element of an answer: as it is meant, and each field as it is in the JSON text.
+TYPES = {"STRING": "string", "NUMBER": "double", "INT": "int", "ARRAY": "array<string>"}
+TYPED = f"array<struct<{', '.join(f'{k}: {TYPES[v]}' for k, v in KINDS.items())}>>"
 ITEMS = f"array<struct<{', '.join(f'{k}: variant' for k in KINDS)}>>"
+#: The common schema of elements that have known fields of the right types and no others.
+FITTING = {"STRING": "STRING|VOID", "NUMBER": r"BIGINT|DECIMAL\(\d+,\d+\)|DOUBLE|FLOAT|VOID", "INT": "BIGINT|VOID", "ARRAY": "ARRAY<STRING>|VOID"}
+FIELD = f"(?:{'|'.join(f'{k}: (?:{FITTING[v]})' for k, v in KINDS.items())})"
+PLAIN = rf"\AARRAY<OBJECT<{FIELD}(?:, {FIELD})*>>\z"
 
 
-def items_of(text: Column) -> Column:
-    """The elements of a JSON array of objects; null for anything else."""
-    # the parser ends after the first value and says nothing of what follows; within brackets anything that follows is an error or a second element
-    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = text.endswith("]") & F.try_variant_get(whole, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(whole, "$[0]", ITEMS))
-
-
-def valid_items(items: Column) -> Column:
-    """Whether the known fields of all elements have the right JSON types (or are absent or null)."""
+def typed_items(items: Column) -> Column:
+    """ITEMS as TYPED if the known fields of all elements have the right JSON types (or are absent or null); else null. Numbers beyond their type are null."""
 
     def fits(x: Column) -> Column:
         ok = x.isNotNull()
@@ -47,28 +45,45 @@ def valid_items(items: Column) -> Column:
             ok = ok & (part.isNull() | (part == "VOID") | good)
         return F.coalesce(ok, F.lit(False))
 
-    return F.coalesce(F.forall(items, fits), F.lit(False))
+    whole = lambda x: F.struct(*[F.try_variant_get(x[k], "$", TYPES[v]).alias(k) for k, v in KINDS.items()])
+    return F.when(F.forall(items, fits), F.transform(items, whole))
+
+
+def answer_items(text: Column) -> Column:
+    """The elements of a JSON array of objects whose known fields have the right types, as TYPED; null for anything else. The text null has none.
+
+    One look at the schema that all elements have in common judges most answers; only where that leaves a doubt (other fields, mixed or missing types) each field of each element is judged.
+    """
+
+    def judged(w: Column) -> Column:
+        first = F.try_variant_get(w, "$[0]", "variant")
+        plain = F.when(F.schema_of_variant(first).rlike(PLAIN), F.try_variant_get(first, "$", TYPED))
+        return F.coalesce(F.when(F.forall(plain, lambda x: x.isNotNull()), plain), typed_items(F.try_variant_get(first, "$", ITEMS)))
+
+    # the parser ends after the first value and says nothing of what follows; within brackets anything that follows is an error or a second element
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = lambda w: text.endswith("]") & F.try_variant_get(w, "$[1]", "variant").isNull()
+    found = F.get(F.transform(F.array(whole), lambda w: F.when(alone(w), judged(w))), 0)
+    return F.when(text == "null", F.array().cast(TYPED)).otherwise(found)
 
 
 def valid_answer(text: Column) -> Column:
     """null, or an array of objects whose known fields have the right JSON types."""
-    return F.coalesce((text == "null") | valid_items(items_of(text)), F.lit(False))
+    return answer_items(text).isNotNull()
 
 
 def parse_findings(answers: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
     """Canonical findings of valid answers, and the invalid answers. Absent fields are '' or 0, as in the wire format."""
-    rows = answers.withColumn("__json", strip_fence(F.col(content)))
-    rows = rows.withColumn("__items", F.when(F.col("__json") == "null", F.array().cast(ITEMS)).otherwise(items_of(F.col("__json"))))
+    # exploded, as what an explode makes is made once, however often it is read
+    rows = answers.withColumn("__items", F.explode(F.transform(F.array(strip_fence(F.col(content))), answer_items)))
     keep = [c for c in answers.columns if c != content]
-    ok = F.coalesce(valid_items(F.col("__items")), F.lit(False))
-    each = rows.where(ok).select(*keep, F.posexplode("__items").alias("ord", "f"))
-    value = lambda c, kind, absent: F.coalesce(F.try_variant_get(F.col(f"f.{c}"), "$", kind), absent)
-    text = {c: value(c, "string", F.lit("")) for c in ("severity", "category", "title", "message", "suggestion", "path")}
-    line = {c: value(c, "int", F.lit(0)) for c in ("startLine", "endLine")}
-    found = each.select(*keep, "ord", *[v.alias(k) for k, v in text.items()], value("confidence", "double", F.lit(0.0)).alias("confidence"), line["startLine"].alias("start_line"), line["endLine"].alias("end_line"), value("tags", "array<string>", F.array().cast("array<string>")).alias("tags"))
+    each = rows.where("__items is not null").select(*keep, F.posexplode("__items").alias("ord", "f"))
+    value = lambda c, absent: F.coalesce(F.col(f"f.{c}"), absent)
+    text = {c: value(c, F.lit("")) for c in ("severity", "category", "title", "message", "suggestion", "path")}
+    found = each.select(*keep, "ord", *[v.alias(k) for k, v in text.items()], value("confidence", F.lit(0.0)).alias("confidence"), value("startLine", F.lit(0)).alias("start_line"), value("endLine", F.lit(0)).alias("end_line"), value("tags", F.array().cast("array<string>")).alias("tags"))
     names = [*keep, "ord", "id", *text, "confidence", "start_line", "end_line", "tags"]
     found = found.withColumn("id", finding_id(F.col("path"), F.col("title"), F.col("start_line"))).select(*names)
-    return found, rows.where(~ok).drop("__json", "__items")
+    return found, rows.where("__items is null").drop("__items")
 
 
 def raw_json(findings: DataFrame) -> Column:
