@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import expr, fixed, globs
-from gristmill.operators import asof, cache, consensus, findings, hunks, pack, prompts, runs, sections
+from gristmill.operators import asof, cache, consensus, findings, hunks, pack, prompts, rollups, runs, sections
 from gristmill.operators.review import ask, errors_of, requests_for
 from gristmill.sources.providers import ProviderError, Replay, Request, Response
 from gristmill.sources.shared import materialize
+from gristmill.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -530,3 +531,31 @@ def last_purchase_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with the last purchase of anyone before it: one key, cut into ranges of time."""
     e = table(spark, sf_dir, "events")
     return asof.asof_join(e, e.where("event_type = 'purchase'"), [], "ts", "ts", {"event_id": "last_purchase"}, ties=["event_id"], strict=True, hot_rows=2_000, ranges=64).select("event_id", "last_purchase")
+
+
+# -- levels, spans and sessions -----------------------------------------------------------------------
+
+@query(f"with {F1} select run_id, severity, category, grouping_id(run_id, severity, category) as level, cast(count(*) as bigint) as n, cast(min(start_line) as double) as least, cast(max(start_line) as double) as most, true as close from f group by cube (run_id, severity, category)")
+def findings_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by run, severity, category and all levels above, from one pass; close: whether estimates at the top keep to their bounds."""
+    f = found(spark, sf_dir)
+    out = rollups.cube_of(rollups.base_rollup(f, ["run_id", "severity", "category"], "path", "start_line"), ["run_id", "severity", "category"])
+    close = (F.col("n_distinct") <= 1.1 * F.col("n") + 1) & F.col("q_0_5").between(F.col("least"), F.col("most")) & (F.col("q_0_5") <= F.col("q_0_9"))
+    return out.select("run_id", "severity", "category", F.col("level").cast("long").alias("level"), "n", "least", "most", close.alias("close"))
+
+
+@query(f"with {F1} select path, epoch_us(ts) as at_us, cast(max(n) as bigint) as n_recent from (select path, ts, count(*) over (partition by path order by ts range between interval 7 days preceding and current row) as n from f) group by path, ts")
+def recent_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many findings a file has in the seven days up to each of its findings."""
+    out = rollups.recent_counts(found(spark, sf_dir), ["path"], "ts")
+    return out.select("path", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "n_recent")
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over w < interval 12 hours then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+s as (select user_id, ts, sum(new) over (partition by user_id order by ts, new desc rows unbounded preceding) as i from g)
+select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) + 43200000000 as end_us, count(*) as n_events from s group by user_id, i""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's sessions: events less than twelve hours apart."""
+    out = sessions.sessions(table(spark, sf_dir, "events"), ["user_id"], gap="12 hours")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return out.select("user_id", micros("session_start").alias("start_us"), micros("session_end").alias("end_us"), "n_events")
