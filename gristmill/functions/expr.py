@@ -55,6 +55,13 @@ def wrap(text: Column, width: int) -> Column:
     return F.when(F.octet_length(text) <= width, F.array(text)).otherwise(F.aggregate(words_of(text), F.array().cast("array<string>"), step))
 
 
+def whole_json(text: Column) -> Column:
+    """The value of a JSON text as a variant, null being the JSON null; SQL null for any other text. The parser itself says nothing of what follows the first value."""
+    parts = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit(',"b":0}'))), "$", "map<string,variant>")
+    value = lambda m: F.when((F.size(m) == 2) & F.map_contains_key(m, "a") & F.map_contains_key(m, "b"), F.coalesce(m["a"], F.parse_json(F.lit("null"))))
+    return F.get(F.transform(F.array(parts), value), 0)
+
+
 # -- severities ---------------------------------------------------------------------------------------
 
 def severity_rank(severity: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import fixed
-from gristmill.functions.expr import finding_id, meets_threshold, rule_id, sarif_level, severity_rank, trim_space
+from gristmill.functions.expr import finding_id, meets_threshold, rule_id, sarif_level, severity_rank, trim_space, whole_json
 
 #: What orders findings of a run when nothing else does.
 POSITION = ["model_idx", "chunk_idx", "ord"]
@@ -56,14 +56,10 @@ def answer_items(text: Column) -> Column:
     """
 
     def judged(w: Column) -> Column:
-        first = F.try_variant_get(w, "$[0]", "variant")
-        plain = F.when(F.schema_of_variant(first).rlike(PLAIN), F.try_variant_get(first, "$", TYPED))
-        return F.coalesce(F.when(F.forall(plain, lambda x: x.isNotNull()), plain), typed_items(F.try_variant_get(first, "$", ITEMS)))
-
-    # the parser ends after the first value and says nothing of what follows; within brackets anything that follows is an error or a second element
-    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = lambda w: text.endswith("]") & F.try_variant_get(w, "$[1]", "variant").isNull()
-    found = F.get(F.transform(F.array(whole), lambda w: F.when(alone(w), judged(w))), 0)
+        plain = F.when(F.schema_of_variant(w).rlike(PLAIN), F.try_variant_get(w, "$", TYPED))
+        return F.coalesce(F.when(F.forall(plain, lambda x: x.isNotNull()), plain), typed_items(F.try_variant_get(w, "$", ITEMS)))
+
+    found = F.get(F.transform(F.array(whole_json(text)), judged), 0)
     return F.when(text == "null", F.array().cast(TYPED)).otherwise(found)
 
 

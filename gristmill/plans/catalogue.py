@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import expr, fixed, globs
-from gristmill.operators import asof, cache, consensus, findings, hunks, pack, prompts, rollups, runs, sections
+from gristmill.operators import asof, banned, cache, consensus, findings, hunks, pack, prompts, rollups, runs, schema, sections
 from gristmill.operators.review import ask, errors_of, requests_for
 from gristmill.sources.providers import ProviderError, Replay, Request, Response
 from gristmill.sources.shared import materialize
@@ -559,3 +559,32 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sessions.sessions(table(spark, sf_dir, "events"), ["user_id"], gap="12 hours")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return out.select("user_id", micros("session_start").alias("start_us"), micros("session_end").alias("end_us"), "n_events")
+
+
+# -- rules and schemas --------------------------------------------------------------------------------
+
+WORDS_OF = "regexp_extract_all({0}, '[A-Za-z]+')"
+
+
+@query(f"""with p as (select cast(item_id as varchar) as id, array_to_string(list_slice({WORDS_OF.format('text')}, 3, 5), '[^A-Za-z]+') as p from benchmark where len({WORDS_OF.format('text')}) >= 5),
+q as (select id, p from p union all select concat(id, 'i'), concat('(?i)', p, '[^A-Za-z]') from p union all select 'digits', '[0-9]{{6}}')
+select doc_id, array_to_string(list_sort(list(id) filter (where regexp_matches(coalesce(text, ''), p))), ',') as banned from documents, q group by doc_id, text""")
+def banned_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which patterns each document matches: three words of each benchmark item in a row, with and without regard to case, and one without any fixed part."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), words.alias("w")).where(F.size("w") >= 5)
+    rows = rows.select("id", F.array_join(F.slice("w", 3, 3), "[^A-Za-z]+").alias("p")).collect()  # with_banned bounds them
+    patterns = [(r["id"], r["p"]) for r in rows] + [(r["id"] + "i", f"(?i){r['p']}[^A-Za-z]") for r in rows] + [("digits", "[0-9]{6}")]
+    out = banned.with_banned(table(spark, sf_dir, "documents").select("doc_id", "text"), patterns, "text")
+    return out.select("doc_id", F.when(F.size("banned") > 0, F.array_join("banned", ",")).alias("banned"))
+
+
+@query("""select doc_id, concat_ws('|', case when doc_id % 3 = 0 then '$[0].title: is missing' end, case when doc_id % 5 = 0 then '$[0].severity: is not one of low, medium, high' end,
+  case when doc_id % 7 = 0 then '$[0].confidence: is more than 1' end, case when doc_id % 11 = 0 then '$[0].startLine: is not of type integer' end, case when doc_id % 13 = 0 then '$[0].tags[1]: is not of type string' end) as violations from documents""")
+def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about documents, spoilt in five ways, under the schema of answers."""
+    bad = lambda n, a, b: F.when(F.col("doc_id") % n == 0, a).otherwise(b)
+    title = F.concat(F.lit(',"title":'), F.to_json(F.struct(F.coalesce(F.col("text"), F.lit("")).alias("t"))).substr(6, 1 << 30))
+    title = F.concat(F.lit(',"title":"t","message":'), F.regexp_replace(title, r'(?s)\A,"title":(.*)\}\z', "$1"))
+    parts = [F.lit('[{"path":"p","severity":'), bad(5, '"dire"', '"high"'), bad(3, "", title), F.lit(',"confidence":'), bad(7, "1.5", "0.5"), F.lit(',"startLine":'), bad(11, '"7"', "7"), F.lit(',"tags":["a",'), bad(13, "1", '"b"'), F.lit("]}]")]
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(schema.violations(F.concat(*parts), schema.ANSWER), "|").alias("violations"))

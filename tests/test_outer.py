@@ -78,6 +78,7 @@ def test_problem_agrees_with_the_parser(spark):
     texts = ["[]", "null", "```json\n[]\n```", "```\n```", "", "junk", "{}", "[1]", "[null]", "[{}]", '[{"title": 1}]', '[{"title": null, "tags": []}]', '[{"tags": [1]}]', '[{"tags": ["a"], "startLine": 3}]', '[{"startLine": 3.5}]', '[{"startLine": "3"}]', '[{"confidence": 1}]', '[{"confidence": true}]', "[] []", "[", '[{"a": 1, "a": 2}]', '[{"Title": 4}]', '[{"confidence": NaN}]']
     # what elements have in common must not hide one of them
     texts += ['[{"title": "a"}, null]', '[{"title": "a"}, {"title": 1}]', '[{"title": "a"}, 3]', '[{"tags": [null]}, {"tags": ["a"]}]', '[{"tags": []}, {"tags": [1]}]', '[{"startLine": 1}, {"startLine": 2.5}]', '[{"startLine": 1}, {}]', '[{"title": null}, {"title": "a"}]', '[{"confidence": 1}, {"confidence": 0.5}]', '[{"confidence": 1}, {"confidence": "x"}]']
+    texts += ["[]], [[]", "[],[]", '[],"b":[]', '[],"c":[]', "[]}", '[]},{"a":[]']
     texts += ['[{"title": "a", "extra": {"title": 1}}]', '[{"extra": 1}, {"title": 1}]', '[{"path": "STRING>>"}]', '[{"title": ["a"]}]', '[{"title": {"a": "b"}}]', '[[]]', '[{"title": "a"}, []]', '[{"startLine": true}]', '[{"tags": "a"}]', '[{"tags": [["a"]]}]']
     got = {r["t"]: r["ok"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", fd.valid_answer(fd.strip_fence(F.col("t"))).alias("ok")).collect()}
     assert got == {t: not problem(t) for t in texts}
