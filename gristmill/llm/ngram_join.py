@@ -18,7 +18,8 @@ prefix shingles as the smaller l of the two before its whole sets are compared.
    joined with them and compared.
 4. *Contract*: connected components of the links (alternating large and small stars, distributed). A long list
    within one component is done. In the others, each class looks for classes of larger components, in as many of its
-   shortest lists as it takes to meet all that share enough prefix shingles. A pair inside a component
+   shortest lists as it takes to meet all that share enough prefix shingles; a pair is made in the first list that its
+   seeker shares with the other (told by 32 bits of the shingle's hash). A pair inside a component
    is not compared: it cannot change a component.
 
 Classes are told apart by 128 bits: where two sets share the 64 bits that name them, the second gets another name.
@@ -508,16 +509,18 @@ def jaccard_components(documents: DataFrame, hot_entries: int = HOT_ENTRIES) ->
     every = every.withColumn("m", F.min("m").over(own) - F.col("s")).withColumn("open", F.count("*").over(own))
     # what has too few open lists to meet anyone goes
     every = every.where("open >= m").withColumn("seeks", F.col("comp") < F.col("major")).withColumn("k", F.count_if("seeks").over(own))
-    every = every.withColumn("i", F.row_number().over(own.orderBy(F.desc("seeks"), "size", "token")))
-    every = materialize(every.withColumn("seeks", F.expr("seeks and i <= k - greatest(m, 1) + 1")).select(*left.columns, "seeks"), "open-lists")
+    turn = own.orderBy(F.desc("seeks"), "size", "token")
+    # only open lists can be shared by classes of two components: own has a class's, by 32 bits, in the order in which it seeks.
+    # A pair that shares several is made in the first of them: what its seeker has looked at before must not be the other one's
+    every = every.withColumn("i", F.row_number().over(turn)).withColumn("own", F.collect_list(F.expr("hash(token)")).over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    every = every.withColumn("seeks", F.expr("seeks and i <= k - greatest(m, 1) + 1")).withColumn("lack", F.col("open") - F.size(F.array_distinct("own")))
+    every = materialize(every.select(*left.columns, "s", "lack", "own", "i", "seeks"), "open-lists")
     minor = every.where("seeks").drop("seeks")
-    left = every.drop("seeks").join(materialize(minor.select("token").distinct(), "shingle-sought"), "token", "left_semi")
-    x, y = minor.join(held, "sig").alias("x"), left.join(held, "sig").alias("y")
-    both = F.array_intersect("x.own", "y.own")
-    lacks = F.greatest(F.col("x.k") - F.size("x.own"), F.col("y.k") - F.size("y.own"))
+    left = every.drop("seeks", "i").join(materialize(minor.select("token").distinct(), "shingle-sought"), "token", "left_semi")
+    x, y = minor.alias("x"), left.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
-    met = met & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
-    met = met & (F.size(both) + lacks + F.least("x.s", "y.s") >= must_share("x.n", "y.n", "x.l", "y.l"))
+    met = met & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")) & ~F.arrays_overlap(F.slice("x.own", F.lit(1), F.col("x.i") - 1), "y.own")
+    met = met & (F.size(F.array_intersect("x.own", "y.own")) + F.greatest("x.lack", "y.lack") + F.least("x.s", "y.s") >= must_share("x.n", "y.n", "x.l", "y.l"))
     more = x.join(y, met).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
     if not more.isEmpty():
