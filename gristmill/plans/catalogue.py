@@ -488,7 +488,7 @@ def changes_over_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {LINES},
 s as (select doc_id, i, case when gone then null else l end as text from (select k.*, d.l[i + 1] as l from k join d on d.doc_id = k.doc_id where k.n <= 30 or i < 12 or i >= k.n - 12)),
 g as (select kept.doc_id, kept.pos, concat('t', kept.pos % 4) as title, s.text from kept join s on s.doc_id = kept.doc_id and s.i = kept.line - 1)
-select doc_id, pos as start_line, title, substr(sha256(concat('d', doc_id, '.py:', title, ':=', regexp_replace(text, '^\s+|\s+$', '', 'g'))), 1, 16) as stable_id from g""")
+select doc_id, pos as start_line, title, substr(sha256(concat('d', doc_id, '.py:', title, ':=', regexp_replace(text, '^\\s+|\\s+$', '', 'g'))), 1, 16) as stable_id from g""")
 def stable_finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings on the lines that an edit keeps: their identity is that of the line's text, wherever it has moved."""
     diffs = edited(spark, sf_dir)
