@@ -15,7 +15,7 @@ written in many files, which many tasks read.
 
 Nulls and ties: null and empty text is one empty line. A document is a doc_id: rows that repeat one
 lose the same lines, and a line is shared when at least two different ids hold it. Null ids count as
-one document that comes after all others (as does the id 2 ** 63 - 1, which is the same). Texts are split whole, in slices of 512 documents. An empty table gives
+one document that comes after all others (as does the id 2 ** 63 - 1, which is the same); their rows are looked up and joined text by text, so that they share no task. Texts are split whole, in slices of 512 documents. An empty table gives
 an empty result. Other columns pass through unchanged, but for n_lines and n_dropped, which are replaced.
 """
 
@@ -300,11 +300,18 @@ class LineIndex:
         return postings.select("key", "doc_id", "shard").mapInArrow(probe, "key binary, doc_id long, shard int")
 
     def drops(self, postings: DataFrame, touched: set[int]) -> DataFrame:
-        """doc_id and the keys that it must lose."""
+        """doc_id and the keys that it must lose. Rows without an id are not among them."""
         first = self.counts.read(touched).where("first_doc < last_doc").select("shard", "key", "first_doc")
-        lost = self.maybe_shared(postings).join(first, ["shard", "key"]).where("doc_id > first_doc")
+        lost = self.maybe_shared(postings.where(F.col("doc_id") < NO_ID)).join(first, ["shard", "key"]).where("doc_id > first_doc")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
+    def drops_of_nameless(self, texts: DataFrame) -> DataFrame:
+        """As drops, for texts without an id, named by their hash (as doc_id): what any document shares with them they lose, so each text is looked up for itself."""
+        batch = ShardTable(self.spark, "line-nameless", "key binary, doc_id long")
+        touched = batch.append(self.keys_of(texts))
+        shared = self.counts.read(touched).where("first_doc < last_doc").select("shard", "key")
+        return self.maybe_shared(batch.read()).join(shared, ["shard", "key"]).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+
     def dedup(self, documents: DataFrame, whole: bool = False) -> DataFrame:
         """documents (all of them in the index) with the text that stays, n_lines (before) and n_dropped. whole: they are all that the index holds, so its postings serve."""
         if not self.shards:
@@ -313,7 +320,12 @@ class LineIndex:
         if not whole:
             table = ShardTable(self.spark, "line-batch", "key binary, doc_id long")
             table.append(self.keys_of(documents))
-        drops = materialize(self.drops(table.read(), table.shards()).withColumnRenamed("doc_id", "id"), "line-drops")
+        ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+        drops = self.drops(table.read(), table.shards()).select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("hash"), "keys")
+        nameless = documents.where(ids == NO_ID).select("text", F.xxhash64("text").alias("doc_id"))
+        if some := not nameless.isEmpty():
+            drops = drops.unionByName(self.drops_of_nameless(nameless).select(F.lit(NO_ID).alias("id"), F.col("doc_id").alias("hash"), "keys"))
+        drops = materialize(drops, "line-drops")
         least = self.min_chars
         rest = [c for c in documents.columns if c not in ("n_lines", "n_dropped", "text")]
         kinds = documents.schema
@@ -332,7 +344,11 @@ class LineIndex:
                     kept.append(t if stay is None else "\n".join(stay))
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["doc", "text", "n_lines", "n_dropped"])
 
-        joined = documents.select(F.struct(*rest).alias("doc"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")).join(drops.hint("merge"), "id", "left")
+        # rows without an id are spread by their texts
+        hashed = F.when(ids == NO_ID, F.xxhash64("text")).otherwise(0).alias("hash")
+        on = ["id", "hash"] if some else ["id"]
+        joined = documents.select(F.struct(*rest).alias("doc"), "text", ids.alias("id"), hashed).drop(*({"hash"} - set(on)))
+        joined = joined.join(drops.select(*on, "keys").hint("merge"), on, "left")
         out = joined.select("doc", "text", "keys").mapInArrow(strip, schema)
         return out.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in documents.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
