@@ -87,9 +87,12 @@ def plan_records(pages: DataFrame, min_revisit: int, broadcast_bytes: int = BROA
     groups = rows.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min_by("url", F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first_url"), F.count("*").alias("n"))
     shared = materialize(groups.where("n > 1 and first_id is not null").select("digest", "first_id", "first_url"), "warc-shared")
     if (shared.agg(F.sum(F.coalesce(F.octet_length("first_url"), F.lit(0)) + 150)).first()[0] or 0) <= broadcast_bytes:
-        shared = F.broadcast(shared)
+        met = rows.join(F.broadcast(shared), "digest", "left")
+    else:
+        # short payloads refer to none, so the many equal ones among them are no join key
+        met = rows.where(F.col("size") >= min_revisit).join(shared, "digest", "left").unionByName(rows.where(F.col("size") < min_revisit), allowMissingColumns=True)
     revisits = (F.col("first_id").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(shared, "digest", "left").select("page_id", "url", "html", "size", "digest", F.when(revisits, F.col("first_id")).alias("refers_to"), "first_url")
+    return met.select("page_id", "url", "html", "size", "digest", F.when(revisits, F.col("first_id")).alias("refers_to"), "first_url")
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, min_revisit: int = 100, level: int = 3, date: str = "", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
