@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import expr, fixed, globs
-from gristmill.operators import asof, banned, cache, consensus, findings, hunks, pack, prompts, rollups, runs, schema, sections
+from gristmill.operators import asof, banned, cache, consensus, findings, hunks, ledger, pack, prompts, rollups, runs, schema, sections
 from gristmill.operators.review import ask, errors_of, requests_for
 from gristmill.sources.providers import ProviderError, Replay, Request, Response
-from gristmill.sources.shared import materialize
-from gristmill.streaming import sessions
+from gristmill.sources.shared import materialize, shared_folder
+from gristmill.streaming import closing, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -416,6 +416,30 @@ def review_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ok.groupBy("run_id").agg(F.count("*").cast("int").alias("n_findings")).select("run_id", F.lit("none").alias("error"), "n_findings").unionByName(failed)
 
 
+class Flaky:
+    """Refuses a document in its first i % 5 rounds."""
+
+    name = "flaky"
+
+    def __init__(self, now: int):
+        self.now = now
+
+    def review(self, request: Request) -> Response:
+        if int(re.search(r"\bd(\d+)\b", request.user_prompt)[1]) % 5 >= self.now:
+            raise ProviderError(f"not in round {self.now}")
+        return Response(ANSWER)
+
+
+@query("""select cast(doc_id as varchar) as run_id, doc_id % 5 < 3 as answered, cast(least(doc_id % 5 + 1, 3) as int) as attempts, case when doc_id % 5 >= 3 then 'ProviderError: not in round 3' end as error from documents""")
+def resumed_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, asked of a flaky provider in three rounds that share a ledger: each request until it is answered."""
+    book = ledger.Ledger(spark, shared_folder(spark, "ledger"))
+    requests = materialize(requests_for(document_chunks(spark, sf_dir), prompts.DIFF_SYSTEM, lambda d, f: prompts.prompt(d, f)), "resumed-requests")
+    for now in (1, 2, 3):
+        out = ledger.resume(requests, lambda label, now=now: Flaky(now), "flaky:m", book)
+    return out.select("run_id", "answered", "attempts", "error")
+
+
 # -- runs over time, moved lines ----------------------------------------------------------------------
 
 #: Lines of documents that an edit deletes, and before which it puts a new one: all but the middle of long texts.
@@ -561,6 +585,15 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", micros("session_start").alias("start_us"), micros("session_end").alias("end_us"), "n_events")
 
 
+@query("""with g as (select user_id, ts, event_id, event_type = 'purchase' as ends, lag(ts) over w as before, lag(event_type = 'purchase') over w as ended from events window w as (partition by user_id order by ts, event_id)),
+s as (select *, sum(case when before is null or ended or ts - before >= interval 12 hours then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as i from g)
+select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as last_us, count(*) as n_events, bool_or(ends) as closed from s group by user_id, i""")
+def purchase_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's sessions, which a purchase closes, or twelve hours without any event."""
+    out = closing.closed_sessions(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "purchase", gap_seconds=12 * 3600)
+    return out.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("last_event").alias("last_us"), "n_events", "closed")
+
+
 # -- rules and schemas --------------------------------------------------------------------------------
 
 WORDS_OF = "regexp_extract_all({0}, '[A-Za-z]+')"
