@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import bpe, decontam, lang_id, line_dedup, ngram_join
-from gristmill.llm.common import scratch, shared_folder, table
+from gristmill.llm.common import materialize, scratch, shared_folder, table, without
 from gristmill.llm.queries import tokenizer
 
 #: A language is accepted from this posterior on.
@@ -62,9 +62,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     What decides is the text alone: rows of one id with different texts are judged apart, rows with null ids like all others. Null texts and those without words are clean.
     """
-    keyed = docs.withColumn("__text", F.md5("text"))
+    keyed = docs.withColumn("__text", F.unhex(F.md5("text")))
     hit = decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), keep=["__text"]).where("contaminated").select("kept.__text").distinct()
-    return keyed.join(hit, "__text", "left_anti").select(*docs.columns)
+    return without(keyed, materialize(hit, "leaking-texts"), "__text").select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,12 @@ def split_words(text: Column, delimiters: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A set of keys up to this many rows is broadcast, at some 60 bytes a row.
+BROADCAST_KEYS = 500_000
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """rows whose column on is not among keys (distinct, as a table; null is among none). Few keys are broadcast, so that texts stay where they are; many are met by a shuffle."""
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, "left_anti")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialize
+from gristmill.llm.common import materialize, without
 
 WORDS = 5
 CELLS = 1 << 21
@@ -537,5 +537,5 @@ def jaccard_components(documents: DataFrame, hot_entries: int = HOT_ENTRIES) ->
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """documents with one document of each component: the smallest doc_id. Rows that repeat a doc_id are one document; null ids stay."""
-    gone = jaccard_components(documents).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    gone = materialize(jaccard_components(documents).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return without(documents, gone, "doc_id")

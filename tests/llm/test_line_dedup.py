@@ -59,3 +59,25 @@ def test_only_touched_shards_change(spark):
     assert len(changed) <= 1 and len(index.counts.folders) > 1
     old = next(iter(counts))
     assert len(index.counts.folders[old]) == len(counts[old]) - 1
+
+
+def test_rows_without_ids_are_spread_by_text(spark):
+    rng = random.Random(8)
+    texts = [f"a line of many {i % 7}\nown line number {i}\nA line of null ids" for i in range(300)]
+    docs = [(i if i < 20 else None, t) for i, t in enumerate(texts)] + [(None, None), (None, ""), (None, texts[40]), (None, texts[3]), (ld.NO_ID, "a line of null ids\nown line number 3")]
+    rng.shuffle(docs)
+    out = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    plainly = plain([(None if i == ld.NO_ID else i, t) for i, t in docs])
+    assert sorted(((None if r["doc_id"] == ld.NO_ID else r["doc_id"], r["text"]) for r in out.collect()), key=str) == plainly
+    # what only rows without ids hold is one document's and stays
+    alone = ld.dedup_lines(spark.createDataFrame([(None, "the same long line")] * 3, "doc_id long, text string"))
+    assert [r["text"] for r in alone.collect()] == ["the same long line"] * 3
+
+
+def test_keys_are_left_out_either_way(spark):
+    from gristmill.llm.common import materialize, without
+
+    rows = spark.createDataFrame([(i % 5 if i % 7 else None, i) for i in range(40)], "k long, v long")
+    keys = materialize(spark.createDataFrame([(1,), (4,), (9,), (None,)], "k long"), "keys")
+    few, many = (sorted(map(tuple, without(rows, keys, "k", most).collect()), key=str) for most in (100, 0))
+    assert few == many == sorted((tuple(r) for r in rows.collect() if r["k"] not in (1, 4)), key=str)
