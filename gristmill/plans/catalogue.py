@@ -375,6 +375,15 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(p, 256).alias("prompt_sha256"))
 
 
+@query("""select doc_id, sha256(concat('Review these source files.', chr(10), chr(10), 'Report at most 20 findings.', chr(10), 'Report at most 3 findings for a file.', chr(10),
+  case when doc_id % 2 = 0 then concat('Languages: Go', chr(10)) else '' end, chr(10), '--- BEGIN FILES ---', chr(10), text, chr(10), '--- END FILES ---', chr(10))) as prompt_sha256 from documents""")
+def codebase_prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts about whole files, with a limit by file; files of an unknown kind name no language."""
+    files = F.array(F.concat(F.lit("d"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".go").otherwise(".unknown")))
+    p = prompts.prompt(F.col("text"), files, "codebase", max_findings=20, per_file=3)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(p, 256).alias("prompt_sha256"))
+
+
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a diff of one chunk."""
     path = F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py"))
