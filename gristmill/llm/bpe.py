@@ -5,9 +5,10 @@ encoded from the left with the longest token that matches, checked against the t
 two tokens may stand side by side only if merging by rank would leave them so, which a memo answers.
 Where the pair may not stand, the next shorter prefix token is tried, then the step before is taken
 back. Each position is given up at most once, so the work is linear in the piece, and the result is
-that of the merges themselves.
+that of the merges themselves. As long as all longest tokens may stand, one scan of the automaton gives them.
 
-Pieces recur, so a bounded memo holds the finished ids of short ones. Nulls are empty texts; an
+Pieces recur, so a bounded memo holds the ids of short ones, in two generations: what is asked for while the younger one
+fills is kept, the rest goes. Nulls are empty texts; an
 empty text has no ids. Texts and pieces of any length are encoded whole and need no more than linear time and memory. Lone surrogates
 cannot occur in Spark strings. Of merges with equal rank the leftmost is done first. Repeated rows and ids are encoded each, an empty table gives an empty
 result. Other columns pass through encode and decode, but for ids, n_tokens and decoded, which are replaced; encode_digests reads only doc_id and text.
@@ -17,9 +18,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -33,6 +36,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Memo(dict):
+    """The ids of pieces as 32-bit numbers, encoded when they are asked for first. A full generation becomes the older one, and what is asked for again comes back from there."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]]):
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.encode(piece.encode())).tobytes()
+            if len(piece) > MEMO_BYTES:
+                return ids
+        if len(self) >= MEMO_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Exact BPE for one vocabulary (every single byte must be a token)."""
 
@@ -41,16 +63,25 @@ class Encoder:
 
         self.ranks, self.tokens = ranks, {r: b for b, r in ranks.items()}
         self.automaton = ahocorasick.Automaton()
-        for b in ranks:
-            self.automaton.add_word(b.decode("latin-1"), len(b))
+        for b, r in ranks.items():
+            self.automaton.add_word(b.decode("latin-1"), r)
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.memo: dict[str, tuple[int, bytes, bytes]] = {}
+        # by rank
+        at = range(max(self.tokens) + 1)
+        self.bytes_of = pa.array([self.tokens.get(r) for r in at], pa.large_binary())
+        self.decimals = pa.array([b",%d" % r for r in at], pa.large_binary())
+        self.sizes = [len(self.tokens.get(r, b"")) for r in at]
+        self.width = max(self.sizes)
+        self.memo = Memo(self.encode_piece)
         # in order of rank, so that a token's parts are known before any token that is made of it
         for r in sorted(self.tokens):
             self.parts[r] = self._parts(r)
+        self.usable = [r in self.tokens and self.made(r) for r in at]
+        for r in self.tokens:
+            self.prefix(r)
 
     def prefix(self, token: int) -> int | None:
         """The longest token that is a proper prefix of this one."""
@@ -107,42 +138,55 @@ class Encoder:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         n, text = len(piece), piece.decode("latin-1")
-        longest = [1] * n
-        for end, size in self.automaton.iter(text):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
+        scan, sizes, usable, shorter, compatible = self.automaton.iter_long, self.sizes, self.usable, self.shorter, self.compatible
         out: list[int] = []
+        at, last = 0, None
+        for _, token in scan(text):
+            if not usable[token] or not (last is None or (self.fit(last, token) if (known := compatible.get((last, token))) is None else known)):
+                break
+            out.append(token)
+            at += sizes[token]
+            last = token
+        else:
+            return out
         dead = bytearray(n + 1)
-        at, token = 0, self.ranks[piece[: longest[0]]]
         while True:
-            end = at + len(self.tokens[token])
-            if not dead[end] and self.made(token) and (not out or self.fit(out[-1], token)):
+            end = at + sizes[token]
+            if not dead[end] and usable[token] and (last is None or (self.fit(last, token) if (known := compatible.get((last, token))) is None else known)):
                 out.append(token)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                token = self.ranks[piece[at : at + longest[at]]]
+                at, last = end, token
+                _, token = next(scan(text[at : at + self.width]))
                 continue
-            token = self.prefix(token)
+            token = shorter[token]
             while token is None:
                 dead[at] = 1
                 last = out.pop()
-                at -= len(self.tokens[last])
-                token = self.prefix(last)
+                at -= sizes[last]
+                token = shorter[last]
+                last = out[-1] if out else None
+
+    def encode(self, pieces: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32)
+
+    def decode(self, ids: np.ndarray) -> pa.Buffer | bytes:
+        return joined(self.bytes_of, ids)
+
+    def decimal(self, ids: np.ndarray) -> memoryview:
+        """The ids in decimal, commas between them."""
+        return memoryview(joined(self.decimals, ids))[1:]
 
-    def piece(self, piece: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, the ids in decimal each with a comma before, and the bytes they decode to."""
-        ids = self.encode_piece(piece.encode())
-        found = len(ids), b"".join(b",%d" % i for i in ids), self.decode(ids)
-        if len(piece) <= MEMO_BYTES:
-            if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
-            self.memo[piece] = found
-        return found
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+def joined(texts: pa.Array, ids: np.ndarray) -> pa.Buffer | bytes:
+    """The texts of the ids, one after the other: as Arrow lays them out."""
+    if not len(ids):
+        return b""
+    taken = texts.take(pa.array(ids))
+    if taken.null_count:
+        raise KeyError("an id that is no token")
+    _, ends, data = taken.buffers()
+    return data.slice(0, int(np.frombuffer(ends, np.int64)[len(ids)]))
 
 
 @lru_cache(maxsize=2)
@@ -165,7 +209,7 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text") ->
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
         own, pieces = encoder(vocabulary(path), pattern)
-        return pa.array([[i for p in pieces.findall(t.as_py() or "") for i in own.encode_piece(p.encode())] for t in texts], pa.list_(pa.int32()))
+        return pa.array([own.encode(pieces.findall(t.as_py() or "")) for t in texts], pa.list_(pa.int32()))
 
     return documents.withColumn("ids", ids_of(text)).withColumn("n_tokens", F.size("ids").cast("long"))
 
@@ -176,7 +220,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
     @F.arrow_udf("binary")
     def bytes_of(lists: pa.Array) -> pa.Array:
         own, _ = encoder(vocabulary(path), pattern)
-        return pa.array([own.decode(x.as_py() or []) for x in lists], pa.binary())
+        return pa.array([bytes(own.decode(np.array(x.as_py() or [], np.int32))) for x in lists], pa.binary())
 
     return rows.withColumn("decoded", bytes_of(ids))
 
@@ -190,14 +234,10 @@ def encode_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             n, a, b = [], [], []
             for t in batch.column(1):
-                memo, found = own.memo, []
-                for p in pieces.findall(t.as_py() or ""):
-                    x = memo.get(p)
-                    found.append(own.piece(p) if x is None else x)
-                counts, ids, out = zip(*found) if found else ((), (), ())
-                n.append(sum(counts))
-                a.append(sha(b"".join(ids)[1:]).hexdigest())
-                b.append(sha(b"".join(out)).hexdigest())
+                ids = own.encode(pieces.findall(t.as_py() or ""))
+                n.append(len(ids))
+                a.append(sha(own.decimal(ids)).hexdigest())
+                b.append(sha(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
