@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import findings as fd
 from gristmill.operators.prompts import Rules
-from gristmill.operators.review import Outcome, ask, found_in, latency, requests_of
+from gristmill.operators.review import Outcome, ask, found_in, latency, requests_of, tasks_for
 from gristmill.sources.providers import Reviewer
 from gristmill.sources.shared import materialize
 
@@ -57,25 +57,39 @@ def standing(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("key").agg(answered.alias("answered"), F.count("*").cast("int").alias("attempts"), F.max_by("content", F.when(good, at)).alias("content"), F.sum("llm_ms").alias("llm_ms"), F.when(~answered, last).alias("error"))
 
 
-def due(keyed: DataFrame, known: DataFrame, max_attempts: int) -> DataFrame:
-    """Of requests with their key one for each that has neither an answer nor max_attempts attempts; attempt is the number of the next."""
-    open_ = keyed.join(known.select("key", "answered", "attempts"), "key", "left").where("not coalesce(answered, false)").withColumn("attempt", F.coalesce("attempts", F.lit(0)) + 1)
-    return open_.where(F.col("attempt") <= max_attempts).dropDuplicates(["key"]).select("key", "attempt", "system_prompt", "user_prompt", "max_tokens")
+def due(keys: DataFrame, known: DataFrame, max_attempts: int) -> DataFrame:
+    """(key, attempt) of each key that has neither an answer nor max_attempts attempts; attempt is the number of the next."""
+    open_ = keys.select("key").distinct().join(known.select("key", "answered", "attempts"), "key", "left").where("not coalesce(answered, false)")
+    return open_.select("key", (F.coalesce("attempts", F.lit(0)) + 1).alias("attempt")).where(F.col("attempt") <= max_attempts)
 
 
-def resume(requests: DataFrame, make: Callable[[str], Reviewer], label: str, ledger: Ledger, max_attempts: int = 3, waves: int = 1, **how) -> DataFrame:
+def texts_of(requests: DataFrame, todo: DataFrame, label: str, tasks: int) -> DataFrame:
+    """todo with what one of the requests of its key says, as requests of their own (a request is its key to the models' side, and its attempt a chunk), in tasks partitions.
+
+    Texts are shuffled once: to where they are joined, made single and asked.
+    """
+    said = requests.select(request_key(label).alias("key"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("system_prompt", "user_prompt")], "max_tokens").repartition(tasks, "key")
+    one = said.join(todo.repartition(tasks, "key").hint("shuffle_hash"), "key").dropDuplicates(["key"])
+    return one.select(F.col("key").alias("run_id"), F.col("attempt").alias("chunk_idx"), "system_prompt", "user_prompt", "max_tokens")
+
+
+def resume(requests: DataFrame, make: Callable[[str], Reviewer], label: str, ledger: Ledger, max_attempts: int = 3, waves: int = 1, tasks: int | None = None, **how) -> DataFrame:
     """Ask what is due once and give each request (run_id, chunk_idx) with how it stands: answered, attempts, content, llm_ms, error.
 
-    Nothing is raised for requests that fail; calling again asks them again, until max_attempts. llm_ms is that of all attempts. how: as of review.ask.
+    Nothing is raised for requests that fail; calling again asks them again, until max_attempts. llm_ms is that of all attempts. tasks, how: as of review.ask.
     """
-    keyed = materialize(requests.withColumn("key", request_key(label)), "ledger-requests")
-    todo = materialize(due(keyed, standing(ledger.attempts()), max_attempts), "ledger-due")
-    # a request is its key to the models' side, and its attempt a chunk
-    named = todo.select(F.col("key").alias("run_id"), F.col("attempt").alias("chunk_idx"), F.coalesce("system_prompt", F.lit("")).alias("system_prompt"), F.coalesce("user_prompt", F.lit("")).alias("user_prompt"), "max_tokens")
-    for wave in range(waves if not todo.isEmpty() else 0):
-        answers = ask(named.where(F.pmod(F.xxhash64("run_id"), F.lit(waves)) == wave), make, [label], **how)
+    keys = materialize(requests.select("run_id", "chunk_idx", request_key(label).alias("key")), "ledger-requests")
+    todo = materialize(due(keys, standing(ledger.attempts()), max_attempts), "ledger-due")
+    calls = todo.count()
+    tasks = tasks or tasks_for(-(-calls // waves), ledger.spark.sparkContext.defaultParallelism)
+    named = texts_of(requests, todo, label, tasks)
+    if waves > 1 and calls:
+        named = materialize(named, "ledger-texts")
+    for wave in range(waves if calls else 0):
+        mine = named.where(F.pmod(F.xxhash64("run_id"), F.lit(waves)) == wave) if waves > 1 else named
+        answers = ask(mine, make, [label], tasks=tasks, dealt=waves == 1, **how)
         ledger.append(answers.select(F.col("run_id").alias("key"), F.col("chunk_idx").alias("attempt"), "content", "tokens_used", "llm_ms", "error", F.current_timestamp().alias("asked_at")))
-    return keyed.select("run_id", "chunk_idx", "key").join(standing(ledger.attempts()), "key", "left").drop("key")
+    return keys.join(standing(ledger.attempts()), "key", "left").drop("key")
 
 
 def best_effort(parts: DataFrame, make: Callable[[str], Reviewer], label: str, ledger: Ledger, max_findings: int = 50, rules: Rules | None = None, max_attempts: int = 3, waves: int = 1, how: dict | None = None, **asking) -> tuple[Outcome, DataFrame]:

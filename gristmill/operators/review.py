@@ -1,8 +1,8 @@
 """Asking models from executors, and the whole review as one plan.
 
-Requests are made by ``requests_for``, which redacts first unless told not to. Calls run in partitions of ``CALLS_PER_TASK`` requests with
-``pool`` threads each, so what is open at once is bounded by the tasks that run together times pool (fewer ``tasks`` bound it further). Answers are
-written to the shared folder before anything reads them, so that no later stage repeats a paid call.
+Requests are made by ``requests_for``, which redacts first unless told not to. Calls run in partitions (``tasks_for``) with ``pool`` threads each, so
+what is open at once is bounded by the tasks that run together times pool (fewer ``tasks`` bound it further). Answers are written to the shared folder
+before anything reads them, so that no later stage repeats a paid call; only a task that is lost repeats its own.
 
 A request that a provider refuses, or whose answer is invalid even after a repair, is a row with an error. ``review`` and ``compare`` raise
 the error of the first such request; batch users read them with ``errors_of`` instead.
@@ -29,7 +29,12 @@ from gristmill.schemas import RESPONSE
 from gristmill.sources.providers import AuthError, ProviderError, Request, Reviewer
 from gristmill.sources.shared import materialize
 
-CALLS_PER_TASK = 16
+#: A task makes so many calls at least and at most. Between them there are TASKS tasks, or TASKS_PER_CORE for each core if that is more: a task costs a
+#: tenth of a second and more besides its calls, and each is a row of every shuffle before it, so their number must not follow the input from the start.
+CALLS_PER_TASK, MOST_PER_TASK = 16, 4096
+TASKS, TASKS_PER_CORE = 128, 4
+#: Answers that a task holds before it hands them on.
+HELD = 256
 REPAIR = "Your last answer could not be read as the JSON array that was asked for: {why}.\n\nAnswer again with the corrected JSON array and nothing else.\n\nThe last answer:\n{answer}"
 
 
@@ -87,8 +92,31 @@ def problem(content: str) -> str:
     return ""
 
 
-def ask(requests: DataFrame, make: Callable[[str], Reviewer], labels: list[str], tasks: int | None = None, pool: int = 4, repair: bool = True) -> DataFrame:
-    """Each request to each model; an invalid answer is asked for once more. Errors are rows (content null), not failures."""
+def tasks_for(calls: int, cores: int) -> int:
+    each = -(-calls // max(TASKS, TASKS_PER_CORE * cores))
+    return max(1, -(-calls // min(max(each, CALLS_PER_TASK), MOST_PER_TASK)))
+
+
+def in_turn(work: Callable[[int], dict], n: int, workers: ThreadPoolExecutor, pool: int) -> list[dict]:
+    """work of 0 to n - 1, by threads that each take the next number; none begins another one after a failure."""
+    turn, out = iter(range(n)), [None] * n
+
+    def go() -> None:
+        try:
+            for i in turn:
+                out[i] = work(i)
+        except BaseException:
+            for _ in turn:
+                pass
+            raise
+
+    for done in [workers.submit(go) for _ in range(min(pool, n))]:
+        done.result()
+    return out
+
+
+def ask(requests: DataFrame, make: Callable[[str], Reviewer], labels: list[str], tasks: int | None = None, pool: int = 4, repair: bool = True, dealt: bool = False) -> DataFrame:
+    """Each request to each model; an invalid answer is asked for once more. Errors are rows (content null), not failures. dealt: requests lie in their tasks' partitions already."""
 
     def call(row: dict, client: Reviewer | ProviderError) -> dict:
         start, out = time.monotonic(), {"content": None, "tokens_used": 0, "error": None}
@@ -119,12 +147,20 @@ def ask(requests: DataFrame, make: Callable[[str], Reviewer], labels: list[str],
                 clients[label] = e
         with ThreadPoolExecutor(pool) as workers:
             for batch in batches:
-                for k in range(0, batch.num_rows, CALLS_PER_TASK):
-                    rows = batch.slice(k, CALLS_PER_TASK).to_pylist()
-                    yield pa.RecordBatch.from_pylist(list(workers.map(lambda r: call(r, clients[r["label"]]), rows)), schema=arrow)
+                for k in range(0, batch.num_rows, HELD):
+                    part = batch.slice(k, HELD)
+                    columns = dict(zip(part.schema.names, part.columns))
+
+                    def asked(i: int, columns: dict = columns) -> dict:
+                        row = {c: v[i].as_py() for c, v in columns.items()}  # one at a time: a part may hold large diffs
+                        return call(row, clients[row["label"]])
+
+                    yield pa.RecordBatch.from_pylist(in_turn(asked, part.num_rows, workers, pool), schema=arrow)
 
     each = requests.withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
-    tasks = tasks or max(1, -(-requests.count() * len(labels) // CALLS_PER_TASK))
+    if dealt:
+        return each.mapInArrow(run, RESPONSE)
+    tasks = tasks or tasks_for(requests.count() * len(labels), requests.sparkSession.sparkContext.defaultParallelism)
     return each.repartition(tasks, "run_id", "chunk_idx", "label").mapInArrow(run, RESPONSE)
 
 

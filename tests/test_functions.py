@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.functions import expr, globs
+from gristmill.functions import expr, fixed, globs
 from gristmill.operators import cache, consensus, findings, pack, sections
 
 
@@ -37,6 +37,21 @@ def test_redact_exactly(spark, text, want):
     assert value(spark, expr.redact(F.lit(text))) == want
 
 
+def test_one_look_for_the_parts_of_secrets(spark):
+    """The look is by the parts' rare letters; here by the parts themselves, on parts as they are, cut, and among others."""
+    parts = ["akia", "secret", "token", "passw", "credential", "bearer", "eyj", "key", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "gha_", "xoxb-", "xoxo-", "xoxp-", "xoxor-", "xoxt-", "sk-", "://", "ſecret", "toKen"]
+    r = random.Random(7)
+    case = lambda t: "".join(r.choice((x.lower(), x.upper())) if x.isascii() else x for x in t)
+    cut = lambda t: t[r.choice((0, 0, 1)) : len(t) - r.choice((0, 0, 1))]
+    texts = [*parts, *map(str.upper, parts), *[x[1:] for x in parts], *[x[:-1] for x in parts]]
+    texts += ["".join(r.choice(("", " ", "k", "c", "_", "ä", "\n")) + cut(case(r.choice(parts))) for _ in range(r.choice((1, 1, 2, 3)))) for _ in range(4000)]
+    texts += ["".join(r.choice("kcbwjx:_tesro-/hgay") for _ in range(r.randrange(1, 9))) for _ in range(20_000)]
+    plain = r"(?i)akia|secret|token|passw|credential|bearer|eyj|key|gh[pousr]_|xox[bporas]-|sk-|://"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(plain).alias("want"), F.col("t").rlike(fixed.SECRET_PARTS).alias("got")).collect()
+    assert [x["t"] for x in rows if x["want"] != x["got"]] == []
+    assert 1000 < sum(x["want"] for x in rows) < len(rows) - 1000
+
+
 @pytest.mark.parametrize("a,b,want", [("foo", "", True), ("SQL injection", "sql injection ", True), ("null pointer here", "pointer null", True), ("a b c d", "a x y z", False), ("", "", True), ("a a a", "a b", True)])
 def test_titles(spark, a, b, want):
     assert value(spark, expr.title_similar(F.lit(a), F.lit(b))) is want
