@@ -13,11 +13,11 @@ POSITION = ["model_idx", "chunk_idx", "ord"]
 
 
 def strip_fence(content: Column) -> Column:
-    """Without one ``` fence: the first line, and the last if it is a fence too. An empty fence is an empty list."""
+    """Without one ``` fence: the first line, and the last if it is a fence too. An empty fence is an empty list. What begins and ends as a list has none, and no space to trim."""
     text = trim_space(content)
     body = F.regexp_replace(F.regexp_replace(text, r"(?s)\A```[^\n]*\n?", ""), r"(?s)\n?[^\S\n]*```[^\S\n]*\z", "")
     body = trim_space(F.when(text.startswith("```"), body).otherwise(text))
-    return F.when(body == "", F.when(text.startswith("```"), F.lit("[]")).otherwise(F.lit(""))).otherwise(body)
+    return F.when(content.startswith("[") & content.endswith("]"), content).when(body == "", F.when(text.startswith("```"), F.lit("[]")).otherwise(F.lit(""))).otherwise(body)
 
 
 #: JSON type of each field; integers are numbers without a fraction.
@@ -57,7 +57,9 @@ def answer_items(text: Column) -> Column:
 
     def judged(w: Column) -> Column:
         plain = F.when(F.schema_of_variant(w).rlike(PLAIN), F.try_variant_get(w, "$", TYPED))
-        return F.coalesce(F.when(F.forall(plain, lambda x: x.isNotNull()), plain), typed_items(F.try_variant_get(w, "$", ITEMS)))
+        # bound by a transform, as an expression in a lambda is made as often as it is named
+        whole = F.get(F.transform(F.array(plain), lambda p: F.when(F.forall(p, lambda x: x.isNotNull()), p)), 0)
+        return F.coalesce(whole, typed_items(F.try_variant_get(w, "$", ITEMS)))
 
     found = F.get(F.transform(F.array(whole_json(text)), judged), 0)
     return F.when(text == "null", F.array().cast(TYPED)).otherwise(found)
