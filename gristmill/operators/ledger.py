@@ -69,7 +69,7 @@ def texts_of(requests: DataFrame, todo: DataFrame, label: str, tasks: int) -> Da
     Texts are shuffled once: to where they are joined, made single and asked.
     """
     said = requests.select(request_key(label).alias("key"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("system_prompt", "user_prompt")], "max_tokens").repartition(tasks, "key")
-    one = said.join(todo.repartition(tasks, "key").hint("shuffle_hash"), "key").dropDuplicates(["key"])
+    one = said.join(todo.repartition(tasks, "key"), "key").dropDuplicates(["key"])
     return one.select(F.col("key").alias("run_id"), F.col("attempt").alias("chunk_idx"), "system_prompt", "user_prompt", "max_tokens")
 
 
